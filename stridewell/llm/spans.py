@@ -19,10 +19,10 @@ one.
 
 Shared windows that overlap or touch are then joined per document.
 
-Skew.  An anchor in more than ``hot_share`` of all runs (there are at most
-1 / hot_share of these, so the list sent to the workers has a fixed bound)
-isn't used as a key: its runs are cut into single long windows, keyed by
-themselves.  Within a block of documents equal contexts are combined before
+Skew.  An anchor in more than ``hot_share`` of all runs (by default as many as
+an average shuffle partition holds; the list sent to the workers has at most
+2 / hot_share keys) isn't used as a key: its runs are cut into single long
+windows, keyed by themselves.  Within a block of documents equal contexts are combined before
 the shuffle, so a key's rows are bounded by the number of blocks and of its
 distinct contexts.  Anchors with more than ``group_rows`` distinct contexts
 are compared window by window in the JVM instead of in one worker's memory.
@@ -38,6 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 SEED_LENGTH = 50
 BASE = 0x9E3779B97F4A7C15
 _RUNS = "h long, ctx long, doc long, a int, n int, multi boolean, stand_in boolean"
@@ -274,7 +276,7 @@ def merge_spans(spans: DataFrame, key: str, start: str, end: str) -> DataFrame:
 
 
 def shared_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", *, length: int = 200, seed: int = SEED_LENGTH,
-                 hot_share: float = 1 / 2000, group_rows: int = 20_000, block_chars: int = 8_000_000,
+                 hot_share: float | None = None, group_rows: int = 20_000, block_chars: int = 8_000_000,
                  chunk_chars: int = 60_000) -> DataFrame:
     """Longest stretches of each text made of shared ``length``-character windows.
 
@@ -287,10 +289,9 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", *, l
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     docs = docs.filter(F.col("doc_id").isNotNull() & (F.length("text") >= length))
 
-    runs = docs.mapInArrow(_run_rows(length, seed, np.zeros(0, np.uint64), block_chars, chunk_chars), _RUNS)
-    hot = _hot_keys(runs, hot_share)
-    if len(hot):
-        runs = docs.mapInArrow(_run_rows(length, seed, hot, block_chars, chunk_chars), _RUNS)
+    share = hot_share or 1 / max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hot = _hot_keys(docs, length, seed, share, block_chars, chunk_chars)
+    runs = docs.mapInArrow(_run_rows(length, seed, hot, block_chars, chunk_chars), _RUNS)
 
     by_key, by_ctx = Window.partitionBy("h"), Window.partitionBy("h", "ctx")
 
@@ -329,15 +330,30 @@ def shared_spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", *, l
     return merged.select(F.col("doc").alias(id_col), F.col("s").alias("span_start"), F.col("e").alias("span_end"))
 
 
-def _hot_keys(runs: DataFrame, share: float) -> np.ndarray:
-    """Anchors in more than ``share`` of all runs: at most 1 / share of them."""
-    from pyspark.sql import Observation
+def _hot_keys(docs: DataFrame, length: int, seed: int, share: float, block_chars: int, chunk_chars: int) -> np.ndarray:
+    """All anchors in ``share`` of all runs or more, and no more than 2 / share keys.
 
-    seen = Observation()
-    counts = runs.observe(seen, F.count(F.lit(1)).alias("all")).groupBy("h").count()
-    top = counts.orderBy(F.desc("count"), "h").limit(int(1 / share)).collect()
-    floor = max(seen.get["all"] * share, 50)
-    return np.array([r["h"] for r in top if r["count"] > floor], np.int64).view(np.uint64)
+    Each block of documents reports keys with at least half that share of its
+    own runs. What a block doesn't report adds up to less than half the share,
+    so a key over the share has at least half of it in the reports.
+    """
+    whole = _run_rows(length, seed, np.zeros(0, np.uint64), block_chars, chunk_chars)
+
+    def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole(batches):
+            keys, n = np.unique(rows.column(0).to_numpy(), return_counts=True)
+            often = n >= max(2, share / 2 * rows.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([None, *keys[often].tolist()], pa.int64()), pa.array([rows.num_rows, *n[often].tolist()], pa.int64())], names=["h", "n"]
+            )
+
+    ensure_checkpoint_dir(docs.sparkSession)
+    reports = docs.mapInArrow(heavy, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).checkpoint()
+    total = reports.filter("h IS NULL").collect()
+    if not total:
+        return np.zeros(0, np.uint64)
+    top = reports.filter(f"h IS NOT NULL AND n >= {share / 2 * total[0]['n']}").collect()
+    return np.array([r["h"] for r in top], np.int64).view(np.uint64)
 
 
 def shared_report(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
