@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import grid, intervals, units
+from ..operators import grid, intervals, timestamps, units
 from ..tables import table
 
 MINUTE_NS = 60_000_000_000
@@ -40,3 +40,20 @@ def p1_values(spark: SparkSession, folder: str) -> DataFrame:
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     found = units.header_quantities(table(spark, folder, "acq_headers"), table(spark, folder, "instruments"))
     return found.filter("NOT is_common").select("acq_id", "field").distinct()
+
+
+def p4_instants(spark: SparkSession, folder: str) -> DataFrame:
+    """The start of every acquisition as one UTC instant, with the notation it was read in."""
+    clocks = F.broadcast(table(spark, folder, "instruments").select("instrument", "tz", "date_order"))  # one row an instrument
+    headers = table(spark, folder, "acq_headers").select(
+        "acq_id", "instrument", F.coalesce("metadata_timestamp", "header_time").alias("start"),
+        F.unix_micros(F.col("received_ts").cast("timestamp")).alias("arrival"),
+    ).filter("acq_id IS NOT NULL")
+    return timestamps.normalise(headers.join(clocks, "instrument", "left"), "acq_id", "instrument", "start", "arrival")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    starts = p4_instants(spark, folder).filter("instant_us IS NOT NULL").select("acq_id", "instant_us").distinct()
+    a = starts.withColumnRenamed("acq_id", "acq_id_a")
+    b = starts.withColumnRenamed("acq_id", "acq_id_b")
+    return a.join(b, "instant_us").filter("acq_id_a < acq_id_b").select("acq_id_a", "acq_id_b").distinct()
