@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import records, records_sql
+from .tables import table
+
+RECORDS = ["p1_found", "p1_values", "p3_found", "p3_grid", "p4_found", "p4_instants", "p7_found"]
 
-def entry(spark: SparkSession, folder: str) -> DataFrame:
-    from .tables import table
 
+def entry(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: getattr(records, name) for name in RECORDS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: getattr(records_sql, name.upper()) for name in RECORDS if hasattr(records_sql, name.upper())}
