@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import records, records_sql
-from .tables import table
+from .plans import arrays, records, records_sql
+
+arrays.register_sources()
 
 RECORDS = [
     "p1_found", "p1_values", "p2_found", "p2_flags", "p3_found", "p3_grid", "p4_found", "p4_instants", "p5_found", "p5_manifest", "p5_records",
@@ -16,12 +17,13 @@ RECORDS = [
 
 
 def entry(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events")
+    """Common-mode removal on hourly event sums, then threshold picks."""
+    return arrays.find_picks(spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(records, name) for name in RECORDS}
+    return arrays.QUERIES | {name: getattr(records, name) for name in RECORDS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: getattr(records_sql, name.upper()) for name in RECORDS if hasattr(records_sql, name.upper())}
+    return arrays.SQL | {name: getattr(records_sql, name.upper()) for name in RECORDS if hasattr(records_sql, name.upper())}

@@ -430,13 +430,23 @@ def binary(f: Callable, a: LabeledFrame, b, where: SparkColumn | None = None) ->
     elif not b.dims or not a.dims:
         one, many = (right, left) if not b.dims else (left, right)
         joined = many.withColumn("__k", F.lit(0)).join(F.broadcast(one.withColumn("__k", F.lit(0))), "__k").drop("__k")  # a single row
-    else:  # an outer product: every cell of the result is wanted
-        joined = left.withColumn("__k", F.lit(0)).join(right.withColumn("__k", F.lit(0)), "__k").drop("__k")
+    else:
+        joined = _outer(left, right)
     df = joined.select(*[idx(d) for d in dims], f(F.col("__a"), F.col("__b")).alias("value"))
     coords = {k: c for k, c in (b.coords | a.coords).items() if c.dim is not None and not isinstance(c, C.Column)}
     return LabeledFrame(df, dims, coords, extents=b.extents | a.extents)
 
 
+def _outer(left: DataFrame, right: DataFrame, parts: int = 8) -> DataFrame:
+    """Every cell with every cell: both sides are cut into parts and each pair of
+    parts is one key of an ordinary equi-join."""
+    each = F.explode(F.expr(f"sequence(0, {parts - 1})"))
+    cut = lambda df: F.expr(f"cast(pmod(xxhash64({', '.join(f'`{c}`' for c in df.columns)}), {parts}) as int)")
+    a = left.withColumn("__p", cut(left)).withColumn("__q", each)
+    b = right.withColumn("__q", cut(right)).withColumn("__p", each)
+    return a.join(b, ["__p", "__q"]).drop("__p", "__q")
+
+
 def choose(cond: Callable[[SparkColumn], SparkColumn], f: Callable, a: LabeledFrame, otherwise: float = NAN) -> LabeledFrame:
     """A ufunc with ``where``: f where the condition holds, else a fixed value."""
     return a.apply(lambda x: F.when(cond(x), f(x)).otherwise(F.lit(otherwise)))
