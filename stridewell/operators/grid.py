@@ -26,11 +26,13 @@ def observed_slots(runs: DataFrame, key: str, slot_ns: int) -> DataFrame:
     sample is known), value0 (value of the first sample, rising by 1).  A run is
     expanded to slots, not to samples.
     """
+    runs = runs.select(F.col(f"`{key}`").alias("__key"), "start", "n", "step", "value0")
+    name, key = key, "__key"
     last = "start + (n - 1) * step"
     runs = runs.withColumn("n", F.expr("CASE WHEN step > 0 THEN n ELSE 1 END")).withColumn("step", F.expr("CASE WHEN step > 0 THEN step ELSE 1 END"))
     # long steps: one row a sample; short ones: one row a slot
-    by_sample = runs.filter(f"step >= {slot_ns}").select(key, F.expr("explode(sequence(0L, n - 1L))").alias("k"), "start", "step", "value0")
-    by_sample = by_sample.select(key, F.expr("start + k * step").alias("t"), F.expr("value0 + k").alias("v"))
+    by_sample = runs.filter(f"step >= {slot_ns}").select(key, F.expr("explode(sequence(0L, n - 1L))").alias("__j"), "start", "step", "value0")
+    by_sample = by_sample.select(key, F.expr("start + __j * step").alias("t"), F.expr("value0 + __j").alias("v"))
     by_sample = by_sample.select(
         key, F.expr(_floor_div("t", f"{slot_ns}L")).alias("slot"), F.struct("t", "v").alias("first"), F.struct("t", "v").alias("last")
     )
@@ -45,7 +47,8 @@ def observed_slots(runs: DataFrame, key: str, slot_ns: int) -> DataFrame:
         F.expr(f"named_struct('t', start + ({k0}) * step, 'v', value0 + ({k0}))").alias("first"),
         F.expr(f"named_struct('t', start + ({k1}) * step, 'v', value0 + ({k1}))").alias("last"),
     )
-    return by_sample.unionByName(by_slot).groupBy(key, "slot").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    both = by_sample.unionByName(by_slot).groupBy(key, "slot").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return both.withColumnRenamed(key, name)
 
 
 def regular_grid(observed: DataFrame, key: str, slot_ns: int, *, gap_limit_ns: int | None = None, target: int = 50_000) -> DataFrame:
@@ -58,7 +61,9 @@ def regular_grid(observed: DataFrame, key: str, slot_ns: int, *, gap_limit_ns: i
     (its neighbours are further apart than the limit; value null).  Sources
     without readings have no rows; an empty table gives none.
     """
-    rows = time_blocks(observed, key, "slot", target=target).drop("core")
+    rows = observed.select(F.col(f"`{key}`").alias("__key"), "slot", "first", "last")
+    name, key = key, "__key"
+    rows = time_blocks(rows, key, "slot", target=target).drop("core")
     in_block = Window.partitionBy(key, "block").orderBy("slot")
     rows = rows.withColumn("next", F.lead(F.struct("slot", "first")).over(in_block))
     # the reading after a block's last one is the first of the next block
@@ -71,7 +76,7 @@ def regular_grid(observed: DataFrame, key: str, slot_ns: int, *, gap_limit_ns: i
     )
     share = f"(g * {slot_ns} - last.t) / (next.first.t - last.t)"
     return slots.select(
-        key, F.col("g").alias("slot"),
+        F.col(key).alias(name), F.col("g").alias("slot"),
         F.expr(f"CASE WHEN g = slot THEN 'observed' WHEN true {limit} THEN 'filled' ELSE 'missing' END").alias("status"),
         F.expr(f"CASE WHEN g = slot THEN cast(first.v AS double) WHEN true {limit} THEN last.v + {share} * (next.first.v - last.v) END").alias("value"),
     )

@@ -36,7 +36,7 @@ class Rules:
     shortest_stuck: int = 12
     level_reach: int = 12  # readings on either side for the level
     spread_reach: int = 40  # and for the spread
-    candidate: float = 0.1  # least posterior of a candidate
+    candidate: float = 0.1  # least posterior of a candidate: of stuck, or of not being normal
 
 
 def _rolling_median(x: np.ndarray, reach: int, stride: int = 1) -> np.ndarray:
@@ -165,7 +165,7 @@ def flag(values: np.ndarray, out_of_range: np.ndarray, chain: np.ndarray, rules:
         starts = np.flatnonzero(begin)
         after = starts + size
         resumed = (after < len(clean)) & ~np.append(apart, True)[after]
-        spike = f & (size[number] <= rules.longest_spike) & resumed[number] & (p[clean, SPIKE] >= rules.candidate)
+        spike = f & (size[number] <= rules.longest_spike) & resumed[number] & (p[clean, NORMAL] <= 1 - rules.candidate)
         cause[clean[spike]] = 1
     cause[out_of_range] = 3
     return cause

@@ -45,13 +45,13 @@ def to_canonical(df: DataFrame, *, dimension: str = "dimension", value: str = "v
     not common.  All rows are kept, repeated ones too.
     """
     rows = df.sparkSession.createDataFrame(
-        conversion_rows(canonical, edges), "c_dim string, c_text string, c_unit string, c_cased boolean, c_scale double, c_offset double, c_target string"
+        conversion_rows(canonical, edges), "__u_dim string, __u_text string, __u_unit string, __u_cased boolean, __u_scale double, __u_offset double, __u_target string"
     )
     clean = F.regexp_replace(F.trim(F.col(unit)), r"(?<=.)\.$", "")
     cased = [s for table in CASED.values() for spellings in table.values() for s in spellings]
     text = F.when(clean.isin(cased), clean).otherwise(F.lower(clean))
     keyed = df.withColumn("__text", text)
-    joined = keyed.join(F.broadcast(rows), (F.col(dimension) == F.col("c_dim")) & (F.col("__text") == F.col("c_text")), "left")
+    joined = keyed.join(F.broadcast(rows), (F.col(dimension) == F.col("__u_dim")) & (F.col("__text") == F.col("__u_text")), "left")
     home = F.create_map(*[F.lit(x) for pair in canonical.items() for x in pair])
     target = F.try_element_at(home, F.col(dimension))
     number = F.col(value).cast("double")
@@ -59,8 +59,8 @@ def to_canonical(df: DataFrame, *, dimension: str = "dimension", value: str = "v
     return joined.select(
         *[F.col(f"`{c}`") for c in df.columns],
         target.alias("common_unit"),
-        F.when(missing & target.isNotNull(), number).otherwise(number * F.col("c_scale") + F.col("c_offset")).alias("common_value"),
-        (missing | F.coalesce(F.col("c_unit") == target, F.lit(False))).alias("is_common"),
+        F.when(missing & target.isNotNull(), number).otherwise(number * F.col("__u_scale") + F.col("__u_offset")).alias("common_value"),
+        (missing | F.coalesce(F.col("__u_unit") == target, F.lit(False))).alias("is_common"),
     )
 
 
