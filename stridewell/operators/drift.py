@@ -60,17 +60,17 @@ def _same(a, b) -> bool:
     return a == b
 
 
-def advance(state: dict | None, attrs: dict) -> tuple[dict, list[tuple[str, str, str | None]]]:
+def advance(state: dict | None, attrs: dict, unknown: tuple = (None, None)) -> tuple[dict, list[tuple[str, str, str | None]]]:
     """The state after a file and its changes (attr, change, earlier name).
 
     A state has [type, value] by name; both are null while never known.  Without
-    a state (a device's first file) there are no changes.
+    a state (a device's first file) there are no changes, and null attributes are
+    ``unknown``.
     """
-    unknown = [None, None] if state is not None else [_INHERITED, None]
     before = state or {}
     after = {}
     for name, value in attrs.items():
-        after[name] = before.get(name, unknown) if value is None else [json_type(value), value]
+        after[name] = before.get(name, list(unknown if state is None else (None, None))) if value is None else [json_type(value), value]
     if state is None:
         return after, []
     changes = []
@@ -146,7 +146,7 @@ _COLUMNS = [("device_id", "long", pa.int64()), ("block", "int", pa.int32()), ("h
             ("extras", "map<string,string>", pa.map_(pa.string(), pa.string()))]
 
 
-def _walk(table: pd.DataFrame, init: dict | None):
+def _walk(table: pd.DataFrame, init: dict | None, unknown: tuple = (None, None)):
     """States of a group's files in order: (row, state, changes, version, fingerprint)."""
     state, version, seen = (init, 0, fingerprint(init)) if init is not None else (None, 0, None)
     last = None
@@ -157,7 +157,7 @@ def _walk(table: pd.DataFrame, init: dict | None):
         attrs = _parse(row.attrs_json)
         if attrs is None:
             continue
-        state, changes = advance(state, attrs)
+        state, changes = advance(state, attrs, unknown)
         mark = fingerprint(state)
         version += mark != seen
         seen = mark
@@ -185,7 +185,7 @@ def drift(df: DataFrame, *, device: str = "device_id", file_no: str = "file_no",
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, ["device_id", "block"]):
             table = group.to_pandas()
-            steps = list(_walk(table, None))
+            steps = list(_walk(table, None, (_INHERITED, None)))
             if steps:
                 yield pa.RecordBatch.from_pydict(
                     {"device_id": [int(table.device_id[0])], "block": pa.array([int(table.block[0])], pa.int32()), "summary": [json.dumps(steps[-1][1])]}

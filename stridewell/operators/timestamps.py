@@ -83,7 +83,7 @@ def local_to_utc(local: datetime, zone: ZoneInfo) -> int:
 def _number(text: str) -> list[tuple[str, int, float]]:
     """Seconds, milli-, micro- or nanoseconds since 1970, by the number's size."""
     found = _NUMBER.fullmatch(text)
-    if not found:
+    if not found or len(text) > 60:
         return []
     whole, fraction, power = found[1], found[2] or "", int(found[3] or 0)
     if abs(power) > 30:
