@@ -13,6 +13,8 @@ def lfilter(b, a, x: np.ndarray, zi: np.ndarray | None = None) -> tuple[np.ndarr
     n = max(len(a), len(b))
     b, a = np.pad(b, (0, n - len(b))), np.pad(a, (0, n - len(a)))
     z = np.zeros((len(x), n)) if zi is None else np.pad(np.broadcast_to(zi, (len(x), n - 1)).astype(float), ((0, 0), (0, 1)))
+    if not x.shape[1]:
+        return np.zeros(x.shape), z[:, :-1].copy()
     if not a[1:].any() and n > 8:  # FIR: a convolution
         full = np.array([np.convolve(row, b) for row in x])
         full[:, : n - 1] += z[:, :-1]

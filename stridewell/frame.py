@@ -130,7 +130,10 @@ class LabeledFrame:
                 raise ValueError(f"coordinate along {c.dim} has the wrong length")
         grid = np.meshgrid(*[np.arange(n) for n in data.shape], indexing="ij") if data.ndim else []
         table = pd.DataFrame({idx(d): g.ravel() for d, g in zip(dims, grid)} | {"value": data.ravel()})
-        return cls(spark.createDataFrame(table), dims, made, name, attrs or {}, extents=dict(zip(dims, data.shape)))
+        df = spark.createDataFrame(table)
+        if data.dtype.kind == "f":  # NaN arrives as null
+            df = df.withColumn("value", F.coalesce("value", F.lit(NAN)))
+        return cls(df, dims, made, name, attrs or {}, extents=dict(zip(dims, data.shape)))
 
     def to_numpy(self) -> np.ndarray:
         """The dense array; cells without a row are NaN."""
