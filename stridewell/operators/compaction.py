@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .blocks import time_blocks
 
 RECORD_BYTES = 24  # time, channel and value
+SALTS = 32
 _RECORD = ["time__ns", "distance__i", "value"]
 
 
@@ -52,8 +53,11 @@ def manifest(file_list: DataFrame, file_rows: DataFrame) -> DataFrame:
     )
     listed = listed.select("file_id", "f.mtime", "f.path", F.col("f.n").alias("listed_records"))
     marks = fingerprints(file_rows)
-    first = marks.groupBy("records", "sum_a", "xor_b").agg(F.min("file_id").alias("kept_as"))
-    classed = marks.join(first, ["records", "sum_a", "xor_b"]).select("file_id", "records", "kept_as")
+    # a class of copies may hold any share of the files: its join key is salted
+    salt = F.expr(f"cast(pmod(xxhash64(file_id), {SALTS}) as int)")
+    first = marks.groupBy("records", "sum_a", "xor_b").agg(F.min("file_id").alias("kept_as"), F.collect_set(salt).alias("salts"))
+    first = first.withColumn("salt", F.explode("salts")).drop("salts")
+    classed = marks.withColumn("salt", salt).join(first, ["records", "sum_a", "xor_b", "salt"]).select("file_id", "records", "kept_as")
     found = listed.join(classed, "file_id", "full").withColumn("records", F.coalesce("records", F.lit(0)))
     return found.withColumn("bytes", F.col("records") * RECORD_BYTES)
 
