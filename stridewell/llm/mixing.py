@@ -150,8 +150,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, *, tokenizer: str = DE
     rows = rows.select("shard", "pos", "doc_id", "source", F.col("repeat_no").cast("int").alias("repeat_no"), "n_tokens")
     if with_text:
         texts = documents.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
-        first = rows.select("doc_id").distinct()
-        texts = texts.join(first.hint("shuffle_hash"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+        wanted_ids = rows.select("doc_id").distinct()
+        texts = texts.join(wanted_ids.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
         rows = rows.join(texts, "doc_id").select("shard", "pos", "doc_id", "source", "repeat_no", "n_tokens", "text")
     return rows
 

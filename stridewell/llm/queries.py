@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..tables import table
 from . import bpe, mixing, spans
@@ -13,14 +12,8 @@ from . import bpe, mixing, spans
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document; a document delivered twice comes out once."""
-    documents = table(spark, folder, "documents").select("doc_id", "text", "received_ts")
-    return bpe.encode(_once(documents), keep=["doc_id"])
-
-
-def _once(documents: DataFrame) -> DataFrame:
-    """One row for each doc_id. Only ids move; the texts stay where they are."""
-    first = documents.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("received_ts").alias("received_ts"))
-    return documents.join(first, ["doc_id", "received_ts"], "left_semi")
+    documents = table(spark, folder, "documents").select("doc_id", "text").filter("doc_id IS NOT NULL")
+    return bpe.encode(documents.dropDuplicates(["doc_id"]))
 
 
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
