@@ -111,3 +111,56 @@ def test_traces(spark, tmp_path):
         from_traces(traces)
     write_sds(traces, str(tmp_path / "sds"))
     assert (tmp_path / "sds" / "year=1970" / "network=FR").exists()
+
+
+def steim1(values):
+    """One Steim-1 frame row of 32-bit differences (the simplest valid coding)."""
+    import struct
+
+    diffs = np.diff(np.concatenate([[0], values])).tolist()
+    frames, k = b"", 0
+    first = True
+    while k < len(diffs) or first:
+        codes, words = 0, []
+        if first:
+            words += [int(values[0]) & 0xFFFFFFFF, int(values[-1]) & 0xFFFFFFFF]
+        while len(words) < 15 and k < len(diffs):
+            codes |= 3 << (30 - 2 * (len(words) + 1))
+            words.append(int(diffs[k]) & 0xFFFFFFFF)
+            k += 1
+        words += [0] * (15 - len(words))
+        frames += struct.pack(">16I", codes, *words)
+        first = False
+    return frames
+
+
+def test_miniseed(spark, tmp_path):
+    from stridewell.sources import miniseed
+
+    start = 1_680_000_000_123_400_000
+    x = np.arange(100, dtype=np.int64)
+    parts = [miniseed.write_record("FR", "STA", "00", "HHZ", start + k * 500_000_000, 100, x[k * 50 : k * 50 + 50]) for k in range(2)]
+    late = miniseed.write_record("FR", "STA", "00", "HHZ", start + 2_000_000_000, 100, x[:40] * 0.5)
+    (tmp_path / "a.mseed").write_bytes(b"".join(parts) + late)
+    (tmp_path / "b.mseed").write_bytes(b"\0" * 500)
+    rows = sorted(miniseed.open_traces(spark, f"{tmp_path}/*.mseed").collect(), key=lambda r: r.start_ns)
+    assert [(r.network, r.station, r.channel, r.start_ns, r.delta, len(r.samples)) for r in rows] == [
+        ("FR", "STA", "HHZ", start, 0.01, 100), ("FR", "STA", "HHZ", start + 2_000_000_000, 0.01, 40)]
+    assert rows[0].samples == x.tolist() and rows[1].samples[3] == 1.5
+    values = np.cumsum(np.random.default_rng(0).integers(-1000, 1000, 40))
+    assert np.array_equal(miniseed._samples(steim1(values), miniseed.STEIM1, ">", 40), values)
+    assert miniseed._fields(0b111111_000001_100000_011111_000000, 6, 5) == [-1, 1, -32, 31, 0]
+    with pytest.raises(ValueError):
+        miniseed._samples(b"", 99, ">", 1)
+
+
+def test_open_any(spark, tmp_path):
+    from stridewell.frame import save_frame
+    from stridewell.sources.opening import open_any
+
+    (tmp_path / "S1").mkdir()
+    (tmp_path / "S1" / "0.tdms").write_bytes(silixa())
+    assert open_any(spark, f"{tmp_path}/S1/*.tdms").count() == 3 and "station" in open_any(spark, f"{tmp_path}/{{station}}/*.tdms").columns
+    f = LabeledFrame.from_numpy(spark, np.arange(3.0), dims=("x",))
+    save_frame(f, str(tmp_path / "native"))
+    assert open_any(spark, str(tmp_path / "native"), engine="native").equals(f)
