@@ -70,3 +70,72 @@ SELECT out_file, count(*) AS files, sum(records)::BIGINT AS planned_records, sum
   (sum(records) * 24)::BIGINT AS bytes, true AS agrees
 FROM plan GROUP BY out_file
 """
+
+_READINGS = """
+WITH b AS (
+  SELECT DISTINCT 'readings' AS tbl, reading_id AS row_id, 0 AS pos, lane_id, time__ns AS t, value, range_lo, range_hi
+  FROM readings LEFT JOIN instruments USING (instrument) WHERE value IS NOT NULL AND NOT isnan(value)
+  UNION ALL
+  SELECT tbl, row_id, k - 1, lane_id, t + (k - 1) * step_ns, samples[k], range_lo, range_hi FROM (
+    SELECT DISTINCT 'packed_blocks' AS tbl, block_id AS row_id, lane_id, start_ns AS t, step_ns, samples, range_lo, range_hi
+    FROM packed_blocks LEFT JOIN instruments USING (instrument)), LATERAL (SELECT unnest(range(1, len(samples) + 1)) AS k)
+  WHERE NOT isnan(samples[k])),
+o AS (SELECT *, coalesce(value < range_lo OR value > range_hi, false) AS oor, lag(value) OVER (PARTITION BY tbl, lane_id ORDER BY t, row_id, pos) AS pv FROM b),
+r AS (SELECT *, sum(CASE WHEN pv = value THEN 0 ELSE 1 END) OVER (PARTITION BY tbl, lane_id ORDER BY t, row_id, pos ROWS UNBOUNDED PRECEDING) AS run FROM o),
+s AS (SELECT *, count(*) OVER (PARTITION BY tbl, lane_id, run) >= 12 AS stuck FROM r),
+l AS (SELECT *, median(value) OVER (PARTITION BY tbl, lane_id ORDER BY t, row_id, pos ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS lev
+      FROM s WHERE NOT oor AND NOT stuck),
+m AS (SELECT *, abs(value - lev) > 10 * 1.4826 * median(abs(value - lev))
+        OVER (PARTITION BY tbl, lane_id ORDER BY t, row_id, pos ROWS BETWEEN 40 PRECEDING AND 40 FOLLOWING) AS far FROM l),
+n AS (SELECT *, CASE WHEN far = lag(far) OVER (PARTITION BY tbl, lane_id ORDER BY t, row_id, pos) THEN 0 ELSE 1 END AS c,
+        row_number() OVER (PARTITION BY tbl, lane_id ORDER BY t DESC, row_id DESC, pos DESC) AS left_over FROM m),
+g AS (SELECT *, sum(c) OVER (PARTITION BY tbl, lane_id ORDER BY t, row_id, pos ROWS UNBOUNDED PRECEDING) AS k FROM n),
+z AS (SELECT *, count(*) OVER (PARTITION BY tbl, lane_id, k) AS size, min(left_over) OVER (PARTITION BY tbl, lane_id, k) AS rest FROM g),
+flags AS (
+  SELECT tbl, row_id, pos::INTEGER AS pos, CASE WHEN oor THEN 'out of range' ELSE 'stuck' END AS cause FROM s WHERE oor OR stuck
+  UNION ALL SELECT tbl, row_id, pos::INTEGER, 'spike' FROM z WHERE far AND size <= 3 AND rest > 1)
+"""
+
+P2_FLAGS = _READINGS + "SELECT tbl, row_id, pos, cause FROM flags"
+
+P2_FOUND = _READINGS + "SELECT tbl, row_id, pos FROM flags"
+
+
+def _p1_found() -> str:
+    """Fields whose stated unit isn't the common one, by the same tables of words."""
+    from ..functions.unitgraph import CASED, SPELLINGS
+    from ..operators.units import FIELD_WORDS
+
+    def words(dimension: str) -> str:
+        found = {s.lower() for t in (SPELLINGS, CASED) for v in t.get(dimension, {}).values() for s in v if s[0].isalpha()}
+        return "|".join(sorted(found, key=lambda s: (-len(s), s)))
+
+    def remark(field: str, dimension: str) -> str:
+        stop = "" if field == "spacing" else ";,/"
+        pattern = (rf"(?:^|[^\pL])(?:{'|'.join(FIELD_WORDS[field])})(?:[^\pL.{stop}][^.{stop}]{{0,40}}?)?[^\pL\d.{stop}]({words(dimension)})(?:$|[^\pL\d])")
+        return f"nullif(regexp_extract(lower(remarks), '{pattern}', 1), '')"
+
+    def common(dimension: str, unit: str) -> str:
+        return ", ".join("'" + s.replace("'", "''") + "'" for s in SPELLINGS[dimension][unit])
+
+    imperial = "CASE WHEN unit_system = 'imperial' THEN 'ft' END"
+    number = r"^\s*(?:every\s+)?[+-]?[0-9]+(?:[.,][0-9]+)?(?:[eE][+-]?[0-9]+)?\s*(.*?)\s*$"
+    clean = lambda x: f"regexp_replace(lower(trim({x})), '(.)\\.$', '\\1')"
+    return f"""
+WITH h AS (SELECT DISTINCT acq_id, dx, dxunit, dt, dtunit, datarate, spacing, remarks, unit_system FROM acq_headers LEFT JOIN instruments USING (instrument)),
+u AS (
+  SELECT acq_id, dx, dt, datarate, spacing,
+    coalesce(nullif({clean('dxunit')}, ''), {remark('dx', 'length')}, {imperial}, 'm') AS dx_u,
+    coalesce(nullif({clean('dtunit')}, ''), {remark('dt', 'time')}, 's') AS dt_u,
+    coalesce(nullif(lower(regexp_extract(datarate, '{number}', 1)), ''), {remark('datarate', 'rate')}, 'hz') AS rate_u,
+    coalesce({remark('spacing', 'length')}, {imperial}, 'm') AS sp_u, coalesce({remark('spacing', 'time')}, 'ms') AS st_u
+  FROM h)
+SELECT DISTINCT acq_id, field FROM (
+  SELECT acq_id, 'dx' AS field FROM u WHERE dx IS NOT NULL AND dx_u NOT IN ({common('length', 'm')})
+  UNION ALL SELECT acq_id, 'dt' FROM u WHERE dt IS NOT NULL AND dt_u NOT IN ({common('time', 's')})
+  UNION ALL SELECT acq_id, 'datarate' FROM u WHERE regexp_matches(datarate, '{number}') AND (datarate LIKE 'every%' OR rate_u NOT IN ({common('rate', 'Hz')}))
+  UNION ALL SELECT acq_id, 'spacing' FROM u WHERE (spacing[1] IS NOT NULL AND sp_u NOT IN ({common('length', 'm')})) OR (spacing[2] IS NOT NULL AND st_u NOT IN ({common('time', 'ms')})))
+"""
+
+
+P1_FOUND = _p1_found()
