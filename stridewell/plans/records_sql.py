@@ -139,3 +139,24 @@ SELECT DISTINCT acq_id, field FROM (
 
 
 P1_FOUND = _p1_found()
+
+P6_FOUND = r"""
+WITH h AS (SELECT DISTINCT device_id, header_id, file_no, attrs_json FROM zone_headers WHERE device_id IS NOT NULL AND file_no IS NOT NULL AND header_id IS NOT NULL AND json_type(attrs_json) = 'OBJECT'),
+n AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY file_no, header_id) AS seq FROM h),
+a AS (SELECT device_id, header_id, seq, name, json_extract(attrs_json, '$."' || name || '"') AS j FROM n, LATERAL (SELECT unnest(json_keys(attrs_json)) AS name)),
+t AS (SELECT device_id, header_id, seq, name,
+        CASE json_type(j) WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS type,
+        regexp_replace(regexp_replace(j::VARCHAR, '\s', '', 'g'), '\.0+([],}]|$)', '\1', 'g') AS val FROM a),
+i AS (SELECT *, seq - row_number() OVER (PARTITION BY device_id, name ORDER BY seq) AS island FROM t),
+s AS (SELECT device_id, header_id, seq, name,
+        last_value(type IGNORE NULLS) OVER w AS type, last_value(CASE WHEN type IS NOT NULL THEN val END IGNORE NULLS) OVER w AS val
+      FROM i WINDOW w AS (PARTITION BY device_id, name, island ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT s.device_id, s.name, s.type, s.val, n.header_id, s.seq + 1 AS seq FROM s JOIN n ON n.device_id = s.device_id AND n.seq = s.seq + 1),
+added AS (SELECT s.*, row_number() OVER (PARTITION BY s.device_id, s.seq, s.type, s.val ORDER BY s.name) AS k FROM s ANTI JOIN b USING (device_id, seq, name) WHERE s.seq > 1),
+gone AS (SELECT b.*, row_number() OVER (PARTITION BY b.device_id, b.seq, b.type, b.val ORDER BY b.name) AS k FROM b ANTI JOIN s USING (device_id, seq, name)),
+pairs AS (SELECT added.device_id, added.header_id, added.seq, added.name AS new, gone.name AS old FROM added JOIN gone USING (device_id, seq, type, val, k))
+SELECT device_id, header_id, new AS attr, 'renamed' AS change FROM pairs
+UNION ALL SELECT device_id, header_id, name, 'added' FROM added ANTI JOIN (SELECT device_id, seq, new AS name FROM pairs) USING (device_id, seq, name)
+UNION ALL SELECT device_id, header_id, name, 'removed' FROM gone ANTI JOIN (SELECT device_id, seq, old AS name FROM pairs) USING (device_id, seq, name)
+UNION ALL SELECT s.device_id, s.header_id, s.name, 'retyped' FROM s JOIN b USING (device_id, seq, name) WHERE s.type <> b.type
+"""
