@@ -10,6 +10,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark(tmp_path_factory):
     from stridewell.session import local_session
 
-    session = local_session(4, "tests", **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints"))})
+    session = local_session(4, "tests", **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")), "spark.driver.memory": "6g"})
     yield session
     session.stop()
