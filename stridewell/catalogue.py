@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import arrays, records, records_sql
+from .plans import arrays, records, records_sql, streams
 
 arrays.register_sources()
+STREAMS = streams.__name__  # importing it registers its queries
 
 RECORDS = [
     "p1_found", "p1_values", "p2_found", "p2_flags", "p3_found", "p3_grid", "p4_found", "p4_instants", "p5_found", "p5_manifest", "p5_records",

@@ -206,6 +206,30 @@ class LabeledFrame:
     def drop_coords(self, *names: str) -> LabeledFrame:
         return self._with(self.df, coords={k: c for k, c in self.coords.items() if k not in names})
 
+    def drop_dims(self, *names: str) -> LabeledFrame:
+        """Dimensions of size 1 (or already constant) leave; their labels too."""
+        coords = {k: c for k, c in self.coords.items() if c.dim not in names}
+        return self._with(self.df.drop(*[idx(d) for d in names]), dims=tuple(d for d in self.dims if d not in names), coords=coords)
+
+    def to_bytes(self) -> bytes:
+        """Descriptor and rows in one Arrow stream, for messages."""
+        import pyarrow as pa
+
+        table = self.df.select(*[idx(d) for d in self.dims], self.value).toArrow().replace_schema_metadata({"frame": json.dumps(self.describe())})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        return sink.getvalue().to_pybytes()
+
+    @classmethod
+    def from_bytes(cls, spark, raw: bytes) -> LabeledFrame:
+        import pyarrow as pa
+
+        table = pa.ipc.open_stream(raw).read_all()
+        d = json.loads(table.schema.metadata[b"frame"])
+        coords = {k: C.from_dict(v) for k, v in d["coords"].items()}
+        return cls(spark.createDataFrame(table), tuple(d["dims"]), coords, d["name"], d["attrs"], d["value"])
+
     def equals(self, other: LabeledFrame) -> bool:
         """Same dims, labels, names and values (NaN equals NaN)."""
         if (self.dims, self.name, self.attrs, self.dtype) != (other.dims, other.name, other.attrs, other.dtype) or self.coords.keys() != other.coords.keys():

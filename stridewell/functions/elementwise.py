@@ -75,6 +75,13 @@ def imag(z: Column) -> Column:
     return z["im"]
 
 
+def real_if_close(frame, tol: float = 100.0):
+    """The real parts of a complex frame if all imaginary ones are within ``tol`` epsilons; else the frame."""
+    im = F.col(frame.value)["im"]
+    close = frame.df.agg(F.coalesce(F.bool_and(F.abs(im) < tol * 2.220446049250313e-16), F.lit(True))).first()[0]
+    return frame.apply(real) if close else frame
+
+
 UNARY: dict[str, Callable[[Column], Column]] = {
     "absolute": F.abs, "fabs": F.abs, "negative": lambda x: -x, "positive": lambda x: x, "square": lambda x: x * x,
     "sqrt": F.sqrt, "cbrt": F.cbrt, "exp": F.exp, "exp2": lambda x: F.pow(F.lit(2.0), x), "expm1": F.expm1,

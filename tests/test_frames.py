@@ -196,3 +196,21 @@ def test_sets(spark, grid):
         setops.combine_by_field([{"a": 1}, [make(0, 1)]])
     c = Collection(spark.createDataFrame([("das1", 0), ("das2", 0), ("das2", 1)], "instrument string, acquisition int"), ("instrument", "acquisition"))
     assert c.query(instrument="das?", acquisition=0).df.count() == 2 and c.query(acquisition=slice(1, None)).df.count() == 1 and c.query(nothing=3).df.count() == 3
+
+
+def test_bytes_and_complex_parts(spark, grid):
+    assert LabeledFrame.from_bytes(spark, grid.to_bytes()).equals(grid)
+    z = grid.apply(lambda x: E.complex_of(x, x * 0))
+    assert np.array_equal(E.real_if_close(z).to_numpy(), FLOATS)
+    w = grid.apply(lambda x: E.complex_of(x, x))
+    assert E.real_if_close(w) is w and np.allclose(w.apply(E.imag).to_numpy(), FLOATS)
+    assert grid.isel(x=slice(0, 1)).drop_dims("x").shape == (4,)
+
+
+def test_settings(spark):
+    from stridewell import config
+
+    before = config.get(spark, "n_workers")
+    config.put(spark, "n_workers", 3)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "3"
+    config.put(spark, "n_workers", before)
