@@ -4,9 +4,35 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_PACKAGE = Path(__file__).resolve().parent
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package.
+
+    Nothing is done where they find it anyway (it is installed, on PYTHONPATH or
+    in the working directory); else Spark hands a copy to them, once a session.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    root = str(_PACKAGE.parent)
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if "site-packages" in root or any(p and os.path.realpath(p) == os.path.realpath(root) for p in known):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="stridewell-")) / "stridewell.zip"  # read by the driver's file server only
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(_PACKAGE.rglob("*.py")):
+            z.write(p, p.relative_to(_PACKAGE.parent))
+    context.addPyFile(str(archive))
+
 
 def local_session(cores: int | str = 8, app: str = "stridewell", **conf: str) -> SparkSession:
     """A session for tests and benches on one machine."""
@@ -24,6 +50,7 @@ def local_session(cores: int | str = 8, app: str = "stridewell", **conf: str) ->
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
