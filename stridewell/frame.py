@@ -62,7 +62,8 @@ class LabeledFrame:
             return c.size
         if dim in self.extents:
             return self.extents[dim]
-        return (self.df.agg(F.max(idx(dim))).first()[0] or -1) + 1
+        last = self.df.agg(F.max(idx(dim))).first()[0]
+        return 0 if last is None else last + 1
 
     @property
     def sizes(self) -> dict[str, int]:

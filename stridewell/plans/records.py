@@ -46,7 +46,7 @@ def p4_instants(spark: SparkSession, folder: str) -> DataFrame:
     """The start of every acquisition as one UTC instant, with the notation it was read in."""
     clocks = F.broadcast(table(spark, folder, "instruments").select("instrument", "tz", "date_order"))  # one row an instrument
     headers = table(spark, folder, "acq_headers").select(
-        "acq_id", "instrument", F.coalesce("metadata_timestamp", "header_time").alias("start"),
+        "acq_id", "instrument", F.coalesce(F.when(F.trim("metadata_timestamp") != "", F.col("metadata_timestamp")), "header_time").alias("start"),
         F.unix_micros(F.col("received_ts").cast("timestamp")).alias("arrival"),
     ).filter("acq_id IS NOT NULL")
     return timestamps.normalise(headers.join(clocks, "instrument", "left"), "acq_id", "instrument", "start", "arrival")
