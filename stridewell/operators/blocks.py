@@ -16,6 +16,8 @@ from ..session import ensure_checkpoint_dir
 
 #: Rows of a layout up to which it is broadcast; above, Catalyst joins it by key.
 BROADCAST_ROWS = 200_000
+#: Cells whose counts one task adds up.
+CELL_GROUP = 4096
 
 
 def broadcast_checked(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -28,7 +30,8 @@ def time_blocks(df: DataFrame, key: str, at: str, *, target: int = 50_000, halo:
 
     Blocks of a key follow each other along ``at`` (long).  With a ``halo``,
     rows within about that many rows of a block's ends are repeated in it with
-    ``core`` false; every row has ``core`` true in exactly one block.  Keys of at
+    ``core`` false (the block after the last may hold only such rows); every row
+    has ``core`` true in exactly one block.  Keys of at
     most ``target`` rows are one block.  Rows with a null key or ``at`` are in
     block 0.
     """
@@ -42,18 +45,21 @@ def time_blocks(df: DataFrame, key: str, at: str, *, target: int = 50_000, halo:
         return df.withColumn("block", F.lit(0)).withColumn("core", F.lit(True))
     celled = df.join(broadcast_checked(long_keys), key, "left").withColumn("__cell", F.expr(f"({at} - __lo) div __width")).drop("__lo", "__width")
     cells = celled.filter("__cell IS NOT NULL").groupBy(key, "__cell").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(key).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    layout = (
-        cells.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-        .withColumn("__core", F.expr(f"cast(__before div {target} as int)"))
-        .withColumn("__last", F.max("__core").over(Window.partitionBy(key)))
-    )
+    # running sum of the cells, in two steps so that no task sums all cells of a key
+    cells = cells.withColumn("__group", F.expr(f"__cell div {CELL_GROUP}"))
+    before = Window.partitionBy(key).orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = cells.groupBy(key, "__group").agg(F.sum("__n").alias("__ahead"))
+    groups = groups.select(key, "__group", F.coalesce(F.sum("__ahead").over(before), F.lit(0)).alias("__ahead"))
+    within = Window.partitionBy(key, "__group").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    layout = cells.withColumn("__before", F.coalesce(F.sum("__n").over(within), F.lit(0))).join(groups, [key, "__group"])
+    layout = layout.withColumn("__before", F.col("__before") + F.col("__ahead"))
     margin = halo + 4 * (target // fine) if halo else 0
+    core = f"cast(__before div {target} as int)"
     layout = layout.select(
-        key, "__cell", "__core",
-        F.expr(f"greatest(0, least(__core, cast((__before - {margin}) div {target} as int)))").alias("__from"),
-        F.expr(f"least(__last, greatest(__core, cast((__before + __n - 1 + {margin}) div {target} as int)))").alias("__to"),
-    ).checkpoint() if halo else layout.select(key, "__cell", "__core").checkpoint()
+        key, "__cell", F.expr(core).alias("__core"), F.expr(f"greatest(0, least({core}, cast((__before - {margin}) div {target} as int)))").alias("__from"),
+        F.expr(f"greatest({core}, cast((__before + __n - 1 + {margin}) div {target} as int))").alias("__to"),
+    )
+    layout = (layout if halo else layout.select(key, "__cell", "__core")).checkpoint()
     placed = celled.join(broadcast_checked(layout), [key, "__cell"], "left")
     if not halo:
         return placed.withColumn("block", F.coalesce("__core", F.lit(0))).withColumn("core", F.lit(True)).drop("__cell", "__core")

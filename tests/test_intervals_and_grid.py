@@ -42,7 +42,8 @@ def test_unusable_intervals(spark):
     assert merge_intervals(df.limit(0), "k", "a", "b").count() == 0
 
 
-def test_blocks_hold_every_row_once_and_halos_reach(spark):
+def test_blocks_hold_every_row_once_and_halos_reach(spark, monkeypatch):
+    monkeypatch.setattr("stridewell.operators.blocks.CELL_GROUP", 8)
     rows = [(1, t) for t in range(1000)] + [(2, 5)] * 3 + [(None, 1), (3, None)]
     df = spark.createDataFrame(rows, "k long, t long")
     for halo in (0, 20):
@@ -56,7 +57,7 @@ def test_blocks_hold_every_row_once_and_halos_reach(spark):
         for b, members in blocks.items():
             core = [t for t, c in members if c]
             seen = {t for t, _ in members}
-            assert core and (not halo or all(t in seen for t in range(max(0, min(core) - halo), min(999, max(core) + halo) + 1)))
+            assert (core or halo) and (not halo or not core or all(t in seen for t in range(max(0, min(core) - halo), min(999, max(core) + halo) + 1)))
 
 
 def test_coverage_fills_the_step_of_the_series(spark):
