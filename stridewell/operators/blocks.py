@@ -25,44 +25,85 @@ def broadcast_checked(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def time_blocks(df: DataFrame, key: str, at: str, *, target: int = 50_000, halo: int = 0, fine: int = 64) -> DataFrame:
+def time_blocks(df: DataFrame, key: str, at: str, *, target: int = 50_000, halo: int = 0, fine: int = 64, ties: str | None = None, ends: bool = False) -> DataFrame:
     """Add ``block`` and ``core`` columns.
 
-    Blocks of a key follow each other along ``at`` (long).  With a ``halo``,
-    rows within about that many rows of a block's ends are repeated in it with
-    ``core`` false (the block after the last may hold only such rows); every row
+    Blocks of a key follow each other along ``at`` (long).  With a ``halo``, at
+    least that many rows before and after a block's own (or all there are) are
+    repeated in it with ``core`` false, however unevenly the rows lie in time
+    (the block after the last may hold only such rows); every row
     has ``core`` true in exactly one block.  Keys of at
     most ``target`` rows are one block.  Rows with a null key or ``at`` are in
-    block 0.
+    block 0.  With a halo, rows of one time are cut along ``ties`` (long) if
+    they are many, and ``ends`` adds a column of that name: bit 1 in rows about
+    the key's first, bit 2 about its last, so that a block knows what it holds.
     """
     ensure_checkpoint_dir(df.sparkSession)
     sizes = df.groupBy(key).agg(F.count("*").alias("__n"), F.min(at).alias("__lo"), F.max(at).alias("__hi"))
-    long_keys = sizes.filter((F.col("__n") > target) & F.col(key).isNotNull() & (F.col("__hi") > F.col("__lo")))
+    long_keys = sizes.filter((F.col("__n") > target) & F.col(key).isNotNull() & ((F.col("__hi") > F.col("__lo")) | F.lit(bool(halo and ties))))
     long_keys = long_keys.select(
-        key, F.col("__lo"), F.expr(f"greatest(1, (__hi - __lo) div cast(ceil(__n / {target}) * {fine} as bigint) + 1)").alias("__width")
+        key, F.col("__lo"), F.expr(f"greatest(1, (__hi - __lo) div cast(ceil(__n / {target}) * {fine} as bigint) + 1)").alias("__width"), F.col("__n").alias("__total")
     ).checkpoint()
     if long_keys.isEmpty():
-        return df.withColumn("block", F.lit(0)).withColumn("core", F.lit(True))
-    celled = df.join(broadcast_checked(long_keys), key, "left").withColumn("__cell", F.expr(f"({at} - __lo) div __width")).drop("__lo", "__width")
-    cells = celled.filter("__cell IS NOT NULL").groupBy(key, "__cell").agg(F.count("*").alias("__n"))
+        whole = df.withColumn("block", F.lit(0)).withColumn("core", F.lit(True))
+        return whole.withColumn("ends", F.lit(3)) if ends else whole
+    celled = df.join(broadcast_checked(long_keys.drop("__total")), key, "left").withColumn("__cell", F.expr(f"({at} - __lo) div __width"))
+    celled = celled.withColumn("__group", F.expr(f"__cell div {CELL_GROUP}"))
+    place = ["__cell"]
+    if halo:
+        celled = celled.withColumn("__cell", F.expr("__lo + __cell * __width")).drop("__lo", "__width")
+        celled, cells, place = _even_cells(celled, key, at, max(1, target // fine), ties)
+    else:
+        celled = celled.drop("__lo", "__width")
+        cells = celled.filter("__cell IS NOT NULL").groupBy(key, "__group", "__cell").agg(F.count("*").alias("__n"))
     # running sum of the cells, in two steps so that no task sums all cells of a key
-    cells = cells.withColumn("__group", F.expr(f"__cell div {CELL_GROUP}"))
     before = Window.partitionBy(key).orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
     groups = cells.groupBy(key, "__group").agg(F.sum("__n").alias("__ahead"))
     groups = groups.select(key, "__group", F.coalesce(F.sum("__ahead").over(before), F.lit(0)).alias("__ahead"))
-    within = Window.partitionBy(key, "__group").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(key, "__group").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
     layout = cells.withColumn("__before", F.coalesce(F.sum("__n").over(within), F.lit(0))).join(groups, [key, "__group"])
     layout = layout.withColumn("__before", F.col("__before") + F.col("__ahead"))
-    margin = halo + 4 * (target // fine) if halo else 0
     core = f"cast(__before div {target} as int)"
+    if not halo:
+        layout = layout.select(key, *place, F.expr(core).alias("__core")).checkpoint()
+        placed = celled.join(broadcast_checked(layout), [key, *place], "left")
+        return placed.withColumn("block", F.coalesce("__core", F.lit(0))).withColumn("core", F.lit(True)).drop("__group", *place, "__core")
+    # a block's own rows may begin and end late by up to its key's largest cell
+    margins = cells.groupBy(key).agg((F.max("__n") + halo).alias("__margin")).join(long_keys.select(key, "__total"), key)
+    layout = layout.join(broadcast_checked(margins.checkpoint()), key)
     layout = layout.select(
-        key, "__cell", F.expr(core).alias("__core"), F.expr(f"greatest(0, least({core}, cast((__before - {margin}) div {target} as int)))").alias("__from"),
-        F.expr(f"greatest({core}, cast((__before + __n - 1 + {margin}) div {target} as int))").alias("__to"),
+        key, *place, F.expr(core).alias("__core"), F.expr(f"greatest(0, least({core}, cast((__before - __margin) div {target} as int)))").alias("__from"),
+        F.expr(f"greatest({core}, cast((__before + __n - 1 + __margin) div {target} as int))").alias("__to"),
+        F.expr("CASE WHEN __before = 0 THEN 1 ELSE 0 END + CASE WHEN __before + __n = __total THEN 2 ELSE 0 END").alias("ends"),
     )
-    layout = (layout if halo else layout.select(key, "__cell", "__core")).checkpoint()
-    placed = celled.join(broadcast_checked(layout), [key, "__cell"], "left")
-    if not halo:
-        return placed.withColumn("block", F.coalesce("__core", F.lit(0))).withColumn("core", F.lit(True)).drop("__cell", "__core")
+    layout = (layout if ends else layout.drop("ends")).checkpoint()
+    placed = celled.join(broadcast_checked(layout), [key, *place], "left")
     placed = placed.withColumn("block", F.explode(F.expr("coalesce(sequence(__from, __to), array(0))")))
-    core = F.col("__core").isNull() | (F.col("__core") == F.col("block"))
-    return placed.withColumn("core", core).drop("__cell", "__core", "__from", "__to")
+    placed = placed.withColumn("core", F.col("__core").isNull() | (F.col("__core") == F.col("block"))).drop("__group", *place, "__core", "__from", "__to")
+    return placed.withColumn("ends", F.coalesce("ends", F.lit(3))) if ends else placed
+
+
+def _even_cells(celled: DataFrame, key: str, at: str, mean: int, ties: str | None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Cut cells of over four times ``mean`` rows again, by the times they hold, then by ``ties``.
+
+    ``__cell`` is the beginning of a cell's time, ``__tie`` that of its ties.
+    Returns the rows with their cells, the counted cells, and a cell's columns in
+    order.  Each turn cuts what is left at least eightfold, and counts once more.
+    """
+    place = ["__cell", "__tie"]
+    celled = celled.withColumn("__tie", F.when(F.col("__cell").isNotNull(), F.lit(0).cast("long")))
+    extent = [F.min(at).alias("__a"), F.max(at).alias("__b"), F.min(ties or at).alias("__c"), F.max(ties or at).alias("__d")]
+    while True:
+        cells = celled.filter("__cell IS NOT NULL").groupBy(key, "__group", *place).agg(F.count("*").alias("__n"), *extent).checkpoint()
+        heavy = cells.filter((F.col("__n") > 4 * mean) & ((F.col("__b") > F.col("__a")) | ((F.col("__d") > F.col("__c")) & F.lit(bool(ties)))))
+        heavy = heavy.withColumn("__by", F.expr("__b > __a")).selectExpr(
+            key, *place, "__by", "CASE WHEN __by THEN __a ELSE __c END AS __first",
+            f"(CASE WHEN __by THEN cast(__b AS decimal(20, 0)) - __a ELSE cast(__d AS decimal(20, 0)) - __c END) div greatest(8, __n div {mean}) + 1 AS __width",
+        ).checkpoint()
+        if heavy.isEmpty():
+            return celled, cells.drop("__a", "__b", "__c", "__d"), place
+        celled = celled.join(broadcast_checked(heavy), [key, *place], "left")
+        begin = "cast(__first + ((cast({0} AS decimal(20, 0)) - __first) div __width) * cast(__width AS decimal(20, 0)) AS bigint)"
+        cell = F.expr(f"CASE WHEN __by THEN {begin.format(at)} ELSE __cell END")
+        tie = F.expr(f"CASE WHEN __by THEN __tie WHEN NOT __by THEN {begin.format(ties or at)} ELSE __tie END")
+        celled = celled.withColumns({"__cell": cell, "__tie": tie}).drop("__by", "__first", "__width")

@@ -16,14 +16,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .blocks import time_blocks
+from .blocks import broadcast_checked, time_blocks
 
 NORMAL, SPIKE, STUCK, OUT = range(4)
 TRANSITIONS = np.array([[0.985, 0.005, 0.005, 0.005], [0.5, 0.4, 0.05, 0.05], [0.05, 0.005, 0.94, 0.005], [0.5, 0.05, 0.05, 0.4]])
@@ -38,6 +40,11 @@ class Rules:
     spread_reach: int = 40  # and for the spread
     candidate: float = 0.1  # least posterior of a candidate: of stuck, or of not being normal
 
+    @property
+    def context(self) -> int:
+        """Plausible readings on either side that decide a reading, with what may be a stuck run's rest at the outer end."""
+        return self.level_reach + self.spread_reach + self.longest_spike + self.shortest_stuck
+
 
 def _rolling_median(x: np.ndarray, reach: int, stride: int = 1) -> np.ndarray:
     reach = min(reach, max(0, (len(x) - 1)))
@@ -114,6 +121,34 @@ def posteriors(emission: np.ndarray, chain: np.ndarray, segment: int = 64) -> np
     return result[column, row]
 
 
+def _repeats(values: np.ndarray, chain: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per reading: first of its lane, same as the one before, its run, and whether that run is long enough to be stuck."""
+    start = np.ones(len(values), bool)
+    start[1:] = chain[1:] != chain[:-1]
+    same = np.zeros(len(values), bool)
+    same[1:] = (values[1:] == values[:-1]) & ~start[1:]
+    run, run_length = _runs(~same)
+    return start, same, run, run_length[run] >= rules.shortest_stuck
+
+
+def lacking(values: np.ndarray, out_of_range: np.ndarray, chain: np.ndarray, core: np.ndarray, ends: np.ndarray, rules: Rules) -> np.ndarray:
+    """Per chain (a block of a lane): are there too few plausible readings around its own, though the lane goes on?
+
+    ``ends`` (per chain): 1 if it holds the lane's first rows, 2 the last, 3 both.
+    """
+    short = np.zeros(len(ends), bool)
+    if not len(values):
+        return short
+    clean = np.flatnonzero(~out_of_range & ~_repeats(values, chain, rules)[3])
+    size = np.bincount(chain[clean], minlength=len(ends))
+    place = np.arange(len(clean)) - np.repeat(np.cumsum(size) - size, size)
+    own, place = chain[clean][core[clean]], place[core[clean]]
+    before, after = np.full(len(ends), len(values)), np.full(len(ends), len(values))
+    np.minimum.at(before, own, place)
+    np.minimum.at(after, own, size[own] - 1 - place)
+    return ((before < rules.context) & (ends & 1 == 0)) | ((after < rules.context) & (ends & 2 == 0))
+
+
 def flag(values: np.ndarray, out_of_range: np.ndarray, chain: np.ndarray, rules: Rules = Rules()) -> np.ndarray:
     """Cause of each reading (0 none, 1 spike, 2 stuck, 3 out of range).
 
@@ -123,12 +158,7 @@ def flag(values: np.ndarray, out_of_range: np.ndarray, chain: np.ndarray, rules:
     n = len(values)
     if not n:
         return np.zeros(0, np.int8)
-    start = np.ones(n, bool)
-    start[1:] = chain[1:] != chain[:-1]
-    same = np.zeros(n, bool)
-    same[1:] = (values[1:] == values[:-1]) & ~start[1:]
-    run, run_length = _runs(~same)
-    long_run = run_length[run] >= rules.shortest_stuck
+    start, same, run, long_run = _repeats(values, chain, rules)
     clean = np.flatnonzero(~out_of_range & ~long_run)
     z, far = np.zeros(n), np.zeros(n, bool)
     edges = np.append(np.flatnonzero(np.diff(chain[clean], prepend=-1)), len(clean)) if len(clean) else np.zeros(1, np.int64)
@@ -179,8 +209,9 @@ def implausible(df: DataFrame, *, lane: str, at: str, row_id: str, value: str, l
     array of numbers (pos is the place in it, ``at`` the time of its first).
     Null and NaN are missing and never flagged; a null bound doesn't bind.  Rows
     with a null lane, time or id are left out; rows delivered twice (same id) are
-    taken once.  Long lanes are cut into blocks that overlap by ``halo`` rows,
-    more than any rule looks around, so flags don't depend on the cut.
+    taken once.  Long lanes are cut into blocks that overlap by ``halo`` rows.
+    A block that finds fewer plausible readings there than the rules look around
+    (long stuck runs, many deliveries) is taken again with a wider overlap.
     """
     packed = step is not None
     rows = df.select(
@@ -190,16 +221,16 @@ def implausible(df: DataFrame, *, lane: str, at: str, row_id: str, value: str, l
     ).filter("lane IS NOT NULL AND at IS NOT NULL AND row_id IS NOT NULL AND value IS NOT NULL")
     if not packed:
         rows = rows.filter("NOT isnan(value)")
-    rows = time_blocks(rows, "lane", "at", target=max(1, target // 64) if packed else target, halo=halo)
-    rows = rows.repartition("lane", "block").sortWithinPartitions("lane", "block", "at", "row_id")
 
     def batch_flags(t: pa.Table) -> pa.RecordBatch:
-        take = {c: t.column(c).to_numpy() for c in ("lane", "block", "at", "row_id", "core")}
+        take = {c: t.column(c).to_numpy() for c in ("lane", "block", "at", "row_id", "core", "ends")}
         new = np.ones(t.num_rows, bool)
         new[1:] = (take["lane"][1:] != take["lane"][:-1]) | (take["block"][1:] != take["block"][:-1])
         again = np.zeros(t.num_rows, bool)
         again[1:] = (take["row_id"][1:] == take["row_id"][:-1]) & ~new[1:]
         chain = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        ends = np.bitwise_or.reduceat(take["ends"], first)
         pos = np.zeros(t.num_rows, np.int32)
         if packed:
             t, chain = t.filter(pa.array(~again)), chain[~again]
@@ -220,13 +251,18 @@ def implausible(df: DataFrame, *, lane: str, at: str, row_id: str, value: str, l
             values, out, ids, core = t.column("value").to_numpy(), t.column("out").to_numpy(), take["row_id"], take["core"]
             keep = np.flatnonzero(~again)
         values, out, ids, core, chain, pos = (x[keep] for x in (values, out, ids, core, chain, pos))
-        _, chain = np.unique(chain, return_inverse=True)
+        short = lacking(values, out, chain, core, ends, rules)
+        held, chain = chain, np.unique(chain, return_inverse=True)[1]
         cause = flag(values, out, chain, rules)
-        on = (cause > 0) & core
+        on = (cause > 0) & core & ~short[held]
         names = np.array(["", "spike", "stuck", "out of range"], object)
+        at, none = first[short], int(on.sum())
+        rest = len(at)  # one row for each block that has to be taken again, without an id
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids[on]), pa.array(pos[on]), pa.array(names[cause[on]], pa.string())], names=["row_id", "pos", "cause"]
-        )
+            [pa.concat_arrays([pa.nulls(none, lanes), pa.array(take["lane"][at], lanes)]), pa.concat_arrays([pa.nulls(none, pa.int32()), pa.array(take["block"][at], pa.int32())]),
+             *(pa.concat_arrays([x, pa.nulls(rest, x.type)]) for x in (pa.array(ids[on]), pa.array(pos[on]), pa.array(names[cause[on]], pa.string())))],
+            names=["lane", "block", "row_id", "pos", "cause"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -236,8 +272,8 @@ def implausible(df: DataFrame, *, lane: str, at: str, row_id: str, value: str, l
             if count < (2000 if packed else 100_000):
                 continue
             t = pa.Table.from_batches(held)
-            lanes, blocks = t.column("lane").to_numpy(), t.column("block").to_numpy()
-            open_group = np.flatnonzero((lanes != lanes[-1]) | (blocks != blocks[-1]))
+            lane_of, blocks = t.column("lane").to_numpy(), t.column("block").to_numpy()
+            open_group = np.flatnonzero((lane_of != lane_of[-1]) | (blocks != blocks[-1]))
             done = int(open_group[-1]) + 1 if len(open_group) else 0  # the last group may go on
             if done:
                 yield batch_flags(t.slice(0, done))
@@ -245,4 +281,21 @@ def implausible(df: DataFrame, *, lane: str, at: str, row_id: str, value: str, l
         if count:
             yield batch_flags(pa.Table.from_batches(held))
 
-    return rows.mapInArrow(run, "row_id long, pos int, cause string")
+    lane_type = rows.schema["lane"].dataType
+    lanes = to_arrow_type(lane_type)
+
+    def flagged(rows: DataFrame, halo: int, only: DataFrame | None = None) -> DataFrame:
+        placed = time_blocks(rows, "lane", "at", target=max(1, target // 64) if packed else target, halo=halo, ties="row_id", ends=True)
+        if only is not None:
+            placed = placed.join(broadcast_checked(only), ["lane", "block"], "left_semi")
+        placed = placed.repartition("lane", "block").sortWithinPartitions("lane", "block", "at", "row_id")
+        return placed.mapInArrow(run, f"lane {lane_type.simpleString()}, block int, row_id long, pos int, cause string").checkpoint()
+
+    found = flagged(rows, halo)
+    parts, short = [found], found.filter("row_id IS NULL").select("lane", "block")
+    while not short.isEmpty():
+        halo *= 8
+        again = flagged(rows.join(broadcast_checked(short.select("lane").distinct()), "lane", "left_semi"), halo, short)
+        parts.append(again)
+        short = again.filter("row_id IS NULL").select("lane", "block")
+    return reduce(DataFrame.unionByName, parts).filter("row_id IS NOT NULL").select("row_id", "pos", "cause")

@@ -111,3 +111,43 @@ def test_null_bounds_do_not_bind(spark):
     rows = [(1, t, t, float(v), None, None, 1, "c") for t, v in enumerate(noise(50))]
     assert run(spark, rows).count() == 0
 
+
+def test_flags_do_not_depend_on_blocks_of_bursty_lanes(spark):
+    n = 4000
+    x = noise(n, 7)
+    x[[*range(25, n, 50), 2999, n - 2]] = 300  # near any cut, and last before the jumps in time
+    x[np.arange(40, n, 200)[:, None] + np.arange(12)] = 99.5
+    burst = np.where(np.arange(n) < 3000, np.arange(n), 10_000_000 + np.arange(n) * 1000)
+    outlying = np.append(np.arange(n - 1), 10**15)
+    one_time = np.full(n, 5)
+    want = np.flatnonzero(causes(x, 0, 500))
+    assert len(want) > 300
+    for times in (burst, outlying, one_time):
+        rows = [(1, int(t), k, float(v), 0.0, 500.0, 1, "c") for k, (t, v) in enumerate(zip(times, x))]
+        got = run(spark, rows, target=300, halo=80).collect()
+        assert sorted(r.row_id for r in got) == list(want)
+
+
+def test_blocks_look_past_what_is_not_plausible(spark):
+    x = noise(3000, 8)
+    x[600:1500] = 99.5
+    x[[595, 599, 1500, 1503, 2000]] = 250
+    x[2100:2400] = 900  # out of range
+    x[[2098, 2401]] = 250
+    rows = lane_rows(1, x) + 200 * lane_rows(1, x)[299:302]
+    got = run(spark, rows, target=300, halo=20).collect()
+    assert sorted(r.row_id for r in got) == list(np.flatnonzero(causes(x, 0, 500)))
+
+
+def test_halos_are_whole_on_bursty_lanes(spark):
+    from stridewell.operators.blocks import time_blocks
+
+    times = [*range(3000), *range(10**9, 10**9 + 10**6, 1000), 10**15]
+    df = spark.createDataFrame([(1, t, k) for k, t in enumerate(times)], "lane long, t long, id long")
+    rows = time_blocks(df, "lane", "t", target=640, halo=50, ties="id").collect()
+    assert sorted(r.id for r in rows if r.core) == list(range(len(times)))
+    for block in {r.block for r in rows if r.core}:
+        held = sorted(r.id for r in rows if r.block == block)
+        own = [r.id for r in rows if r.block == block and r.core]
+        assert held == list(range(held[0], held[-1] + 1)) and len(own) < 800
+        assert held[0] <= max(0, min(own) - 50) and held[-1] >= min(len(times) - 1, max(own) + 50)
