@@ -173,9 +173,9 @@ def flag(values: np.ndarray, out_of_range: np.ndarray, chain: np.ndarray, rules:
     lanes = int(chain[-1]) + 1
     repeats = np.bincount(chain, same & ~long_run, lanes) / np.maximum(1, np.bincount(chain, ~long_run, lanes))
     p_same = np.clip(repeats, 1e-3, 0.5)[chain]
-    density = np.exp(-0.5 * np.minimum(z, 25.0) ** 2) * 0.3989
+    near = np.exp(-0.5 * np.minimum(z, 25.0) ** 2)  # 1 at the level; a far reading is no normal one, even if it repeats the one before
     e = np.empty((n, 4))
-    e[:, NORMAL] = np.where(same, p_same, (1 - p_same) * density)
+    e[:, NORMAL] = near * np.where(same, p_same, (1 - p_same) * 0.3989)
     e[:, SPIKE] = np.where(same, 1e-3, 5e-3)
     e[:, STUCK] = np.where(same, 0.98, 1e-4)
     e[:, OUT] = 0.0

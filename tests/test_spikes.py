@@ -43,6 +43,13 @@ def test_bounds_hold_exactly():
     assert causes(x, 0, 200)[20] == 3 and causes(x, 0, 200)[30] == 3 and causes(x, 0, 200)[10] == 1
 
 
+def test_equal_spikes_on_coarse_lanes():
+    for step in (0.01, 0.5, 1, 1.5):
+        x = np.round(noise(600, 9) / step) * step
+        x[100:102], x[200:203], x[300], x[400:404] = 160, 160, 160, 160
+        assert set(np.flatnonzero(causes(x) == 1)) == {100, 101, 200, 201, 202, 300}
+
+
 def test_coarse_and_short_lanes():
     assert not causes(np.round(noise(500))).any()
     for n in range(0, 6):
