@@ -122,18 +122,29 @@ def _cast(value, kind: str):
 
 
 def migrate(state: dict) -> dict:
-    """One row of the common table from the last known values of a file's attributes."""
-    row, extras = dict(DEFAULTS), {}
-    for name, (_, value) in sorted(state.items()):
-        steps = 0
+    """One row of the common table from the last known values of a file's attributes.
+
+    Of several attributes with one target, the target itself goes first, then
+    the others by name; the first that has a value takes it.  Further ones with
+    a value keep their own name, and ``collisions`` has them with that target.
+    """
+    row, extras, collisions, taken = dict(DEFAULTS), {}, {}, set()
+    for own, (_, value) in sorted(state.items(), key=lambda item: (item[0] in RENAMES, item[0])):
+        name, steps = own, 0
         while name in RENAMES and steps < len(RENAMES):
             name, steps = RENAMES[name], steps + 1
+        if name in taken:
+            if value is not None:
+                extras[own], collisions[own] = json.dumps(value), name
+            continue
+        if value is not None:
+            taken.add(name)
         if name in CASTS:
             column, kind = CASTS[name]
             row[column] = _cast(value, kind)
         elif value is not None:
             extras[name] = json.dumps(value)
-    row["extras"] = list(extras.items())
+    row["extras"], row["collisions"] = list(extras.items()), list(collisions.items())
     return row
 
 
@@ -143,7 +154,7 @@ _COLUMNS = [("device_id", "long", pa.int64()), ("block", "int", pa.int32()), ("h
              pa.list_(pa.struct([("attr", pa.string()), ("change", pa.string()), ("earlier", pa.string())]))),
             ("version", "int", pa.int32()), ("fingerprint", "string", pa.string()),
             *((column, *_KINDS[kind]) for column, kind in CASTS.values()),
-            ("extras", "map<string,string>", pa.map_(pa.string(), pa.string()))]
+            *((name, "map<string,string>", pa.map_(pa.string(), pa.string())) for name in ("extras", "collisions"))]
 
 
 def _walk(table: pd.DataFrame, init: dict | None, unknown: tuple = (None, None)):
@@ -168,8 +179,9 @@ def drift(df: DataFrame, *, device: str = "device_id", file_no: str = "file_no",
     """Changes, schema version and migrated attributes of every file.
 
     One row a header: device_id, header_id, file_no, changes (array of attr,
-    change, earlier name), version, fingerprint, the migrated columns and
-    ``extras`` (other attributes as JSON).  Files are taken by file_no, equal
+    change, earlier name), version, fingerprint, the migrated columns,
+    ``extras`` (other attributes as JSON) and ``collisions`` (attributes kept in
+    ``extras`` under their own name, and the taken name they'd have been given).  Files are taken by file_no, equal
     ones by header id; headers delivered twice come out once.  Headers with a
     null device, number or id, or whose attributes aren't a JSON object, are left
     out and change no state.  A null attribute keeps its last known value.

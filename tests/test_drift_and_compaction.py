@@ -45,6 +45,15 @@ def test_migration_steps_chain():
     assert row["extras"] == [("Odd", '{"x": 1}')]
 
 
+def test_attributes_with_one_target_are_all_kept():
+    row = migrate(advance({}, {"AmpPower": 3, "Amplifier": 7, "BlockRate": None, "blockRate": 5, "Block_Rate_mHz": 6, "FwVersion": None, "Firmware": "a"})[0])
+    assert dict(row["extras"]) == {"Amplifier": "7", "AmpPower": "3", "blockRate": "5"}
+    assert dict(row["collisions"]) == {"AmpPower": "Amplifier", "blockRate": "BlockRate"}
+    assert row["block_rate"] == 6.0 and row["firmware"] == "a"
+    row = migrate(advance({}, {"GaugeLength": 2, "Gauge": None, "Origin": 4, "origin": None})[0])
+    assert row["gauge_length"] == 2.0 and row["origin"] == 4.0 and not row["extras"] and not row["collisions"]
+
+
 def test_devices_in_blocks(spark):
     rows, k = [], 0
     for device in range(4):
