@@ -46,20 +46,20 @@ class Rules:
         return self.level_reach + self.spread_reach + self.longest_spike + self.shortest_stuck
 
 
-def _rolling_median(x: np.ndarray, reach: int, stride: int = 1) -> np.ndarray:
+def _rolling_median(x: np.ndarray, reach: int) -> np.ndarray:
     reach = min(reach, max(0, (len(x) - 1)))
     padded = np.pad(x, reach, mode="reflect") if len(x) > reach else np.pad(x, reach, mode="edge")
-    windows = sliding_window_view(padded, 2 * reach + 1)[::stride]
+    windows = sliding_window_view(padded, 2 * reach + 1)
     out = np.empty(len(windows))
     for at in range(0, len(windows), 16384):  # bounded copies
         out[at : at + 16384] = np.partition(windows[at : at + 16384], reach, axis=1)[:, reach]
-    return np.repeat(out, stride)[: len(x)] if stride > 1 else out
+    return out
 
 
 def local_normal(x: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
     """Level and spread around each of a lane's plausible readings."""
     level = _rolling_median(x, rules.level_reach)
-    spread = 1.4826 * _rolling_median(np.abs(x - level), rules.spread_reach, 4)
+    spread = 1.4826 * _rolling_median(np.abs(x - level), rules.spread_reach)
     if len(spread) and not spread.all():  # flat stretches: the lane's own resolution
         gaps = np.diff(np.unique(x))
         spread = np.where(spread > 0, spread, gaps.min() if len(gaps) else np.inf)

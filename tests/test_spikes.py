@@ -2,7 +2,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stridewell.operators.spikes import TRANSITIONS, flag, implausible, posteriors
+from stridewell.operators.spikes import TRANSITIONS, Rules, flag, implausible, local_normal, posteriors
 
 SCHEMA = "lane long, t long, id long, v double, lo double, hi double, block long, core string"
 
@@ -43,6 +43,14 @@ def test_bounds_hold_exactly():
     assert causes(x, 0, 200)[20] == 3 and causes(x, 0, 200)[30] == 3 and causes(x, 0, 200)[10] == 1
 
 
+def test_spread_is_taken_at_every_reading():
+    x = noise(400, 11) * np.linspace(1, 5, 400)
+    level, spread = local_normal(x, Rules())
+    away = np.abs(x - level)
+    for k in range(40, 360):
+        assert level[k] == np.median(x[k - 12 : k + 13]) and np.isclose(spread[k], 1.4826 * np.median(away[k - 40 : k + 41]))
+
+
 def test_equal_spikes_on_coarse_lanes():
     for step in (0.01, 0.5, 1, 1.5):
         x = np.round(noise(600, 9) / step) * step
