@@ -89,19 +89,28 @@ class _Reader(DataSourceReader):
 
 
 class _Stream(DataSourceStreamReader):
-    """The offset is the last file's name; files come in name order."""
+    """The offset is the set of files seen, so files may come late under any name.
+
+    Offsets of earlier checkpoints, which had the last file's name only, are
+    taken as all names up to it.
+    """
 
     def __init__(self, options):
         self.pattern = options["path"]
+        self.seen: set[str] = set()
 
     def initialOffset(self):
-        return {"last": ""}
+        return {"files": []}
 
     def latestOffset(self):
-        return {"last": max(glob.glob(self.pattern), default="")}
+        self.seen.update(glob.glob(self.pattern))
+        return {"files": sorted(self.seen)}
 
     def partitions(self, start, end):
-        return [_Log(p) for p in sorted(glob.glob(self.pattern)) if start["last"] < p <= end["last"]]
+        files = end["files"] if "files" in end else [p for p in sorted(glob.glob(self.pattern)) if p <= end["last"]]
+        self.seen.update(start.get("files", []), files)
+        done, last = set(start.get("files", [])), start.get("last", "")
+        return [_Log(p) for p in files if p not in done and p > last]
 
     def read(self, partition):
         return read_log(partition.path)

@@ -100,6 +100,19 @@ def test_packets_in_batch_and_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 80
 
 
+def test_packets_that_come_late_under_an_earlier_name(spark, tmp_path):
+    import json
+
+    spark.dataSource.register(packets.PacketSource)
+    h = json.dumps(packets.header_for(10, 4, "int", 1.0, "ms", 2.0)).encode()
+    for n, name in enumerate("bac"):
+        packets.write_log(str(tmp_path / f"{name}.log"), [h, packets.encode_packet(n, np.zeros((10, 4)), "int")])
+        stream = spark.readStream.format("packets").option("path", f"{tmp_path}/*.log").load()
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert sorted(r.start_ns for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(4 * [*range(n + 1)])
+
+
 def test_traces(spark, tmp_path):
     time = C.Sampled(np.array([0, 60 * 10_000_000]), [50, 40], 10_000_000, "time", True)
     f = LabeledFrame.from_numpy(spark, np.arange(180.0).reshape(2, 90), {"channel": np.array(["HHZ", "HHN"], object), "time": time}, ("channel", "time"))
