@@ -1,16 +1,17 @@
-"""Long exact spans shared between records, by level-wise doubling.
+"""Long exact spans shared between records, by winnowed anchors.
 
 A window of ``length`` (200) characters is *shared* if it stands verbatim in
-the text of another document too.  Instead of comparing all windows, lengths
-are doubled: only what is repeated at a short length is looked at at a longer
-one.
+the text of another document too.  Instead of comparing all windows, only what
+is repeated at a short length is looked at at a longer one.  This stands in for
+level-wise doubling (50, 100, 200): anchors go from 50 to contexts of 200 to 350
+and windows of 200, without a level of 100 and without all positions of each.
 
 1. Short windows.  Of the 50-character windows inside a 200-character window
    the one with the smallest hash is its anchor.  The choice depends on the
    characters alone, so equal long windows have equal anchors at equal places.
    Neighbouring long windows with the same anchor form a run.  Runs whose
    anchor stands in one document only are dropped.
-2. Doubled windows.  A run's context is all text its long windows cover (200
+2. Contexts.  A run's context is all text its long windows cover (200
    to 350 characters).  If the context is repeated in another document, all
    its windows are, and the run is done.
 3. Long windows.  Of the runs left, the context itself is brought together by
