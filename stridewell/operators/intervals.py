@@ -1,12 +1,11 @@
 """Continuous periods and gaps from overlapping, nested and gapped intervals.
 
-The aggregate's state is a sorted list of disjoint intervals.  It is built per
-block of an entity's time line, so no list has to fit in one task, and kept as
-rows.  Combining lists of neighbouring blocks is a linear merge; as blocks are
-in time order, it needs of the earlier ones only the furthest end.  So the
-reduction runs on one row for each block: an up-sweep takes each block's
-furthest end, a scan carries it forward, and each list is merged with what is
-carried into it.  Lists and complements (gaps) then follow row by row.
+Windows and a scan stand in for a mergeable aggregate of sorted disjoint lists
+and its reduction tree.  An entity's time line is cut into blocks, and a running
+maximum of the ends gives each block's disjoint intervals as rows, so no list
+has to fit in one task.  As blocks are in time order, a block needs of the
+earlier ones only the furthest end: one row a block is scanned, what it carries
+in is merged with the block's intervals, and complements (gaps) follow row by row.
 """
 
 from __future__ import annotations
