@@ -5,7 +5,8 @@ attributes present, with their last known type and value.  Each change of state
 is recorded, each set of names and types is a schema fingerprint, and
 fingerprints are numbered as versions.  Whatever its version, a file's
 attributes are then routed through the same chain of migration steps (renames,
-defaults, casts) into one table.
+casts, defaults) into one table.  Steps go by name; a name that no step knows
+is taken as the one it was found to be renamed from.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ CASTS = {
     "PulseRate": ("pulse_rate", "number"), "GaugeLength": ("gauge_length", "number"), "Origin": ("origin", "number"),
     "Spacing": ("spacing", "numbers"), "Extent": ("extent", "numbers"), "Firmware": ("firmware", "text"),
 }
-DEFAULTS: dict[str, object] = {}
+DEFAULTS = {"block_rate": "freq_res"}  # column to stand in where one is null: files without BlockRate have their block size from FreqRes
 
 _INHERITED = "inherited"
 _FIRST_NUMBER = re.compile(r"[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?")
@@ -91,6 +92,26 @@ def advance(state: dict | None, attrs: dict, unknown: tuple = (None, None)) -> t
     return after, sorted(changes)
 
 
+def follow(names: dict, state: dict, changes: list) -> dict:
+    """The earlier names of a state's attributes after a file.
+
+    By name, [1, name] is a name before the block, [0, name] one that stands for
+    itself; names that never changed are absent or stand for themselves.
+    """
+    if not changes:
+        return names
+    after = {n: source for n, source in names.items() if n in state}
+    for name, change, earlier in changes:
+        if change == "renamed":
+            after[name] = [0, earlier] if earlier in RENAMES or earlier in CASTS else names.get(earlier, [0, earlier])
+    return after
+
+
+def _known(names: dict, earlier: dict) -> dict:
+    """Names by their earlier ones, through those ``earlier`` than the block."""
+    return {n: earlier.get(source, source) if before else source for n, (before, source) in names.items()}
+
+
 def fingerprint(state: dict) -> str:
     shape = sorted((name, kind) for name, (kind, _) in state.items())
     return hashlib.blake2b(json.dumps(shape).encode(), digest_size=8).hexdigest()
@@ -121,16 +142,25 @@ def _cast(value, kind: str):
     return float(value) if isinstance(value, (int, float)) else None
 
 
-def migrate(state: dict) -> dict:
+def _unknown(earlier: dict) -> dict:
+    """Those names that no step knows, of known ones."""
+    return {n: e for n, e in earlier.items() if n not in RENAMES and n not in CASTS and (e in RENAMES or e in CASTS)}
+
+
+def migrate(state: dict, earlier: dict | None = None) -> dict:
     """One row of the common table from the last known values of a file's attributes.
 
+    ``earlier`` has names that no step knows, with the known ones they were found
+    to be renamed from.
     Of several attributes with one target, the target itself goes first, then
-    the others by name; the first that has a value takes it.  Further ones with
+    those of the fixed renames, then those found, by name; the first that has a value takes it.  Further ones with
     a value keep their own name, and ``collisions`` has them with that target.
     """
-    row, extras, collisions, taken = dict(DEFAULTS), {}, {}, set()
-    for own, (_, value) in sorted(state.items(), key=lambda item: (item[0] in RENAMES, item[0])):
-        name, steps = own, 0
+    row, extras, collisions, taken = {}, {}, {}, set()
+    found = earlier or {}
+    for own in sorted(state, key=lambda n: (n in found, n in RENAMES, n)):
+        value = state[own][1]
+        name, steps = found.get(own, own), 0
         while name in RENAMES and steps < len(RENAMES):
             name, steps = RENAMES[name], steps + 1
         if name in taken:
@@ -144,6 +174,9 @@ def migrate(state: dict) -> dict:
             row[column] = _cast(value, kind)
         elif value is not None:
             extras[name] = json.dumps(value)
+    for column, other in DEFAULTS.items():
+        if row.get(column) is None:
+            row[column] = row.get(other)
     row["extras"], row["collisions"] = list(extras.items()), list(collisions.items())
     return row
 
@@ -158,7 +191,8 @@ _COLUMNS = [("device_id", "long", pa.int64()), ("block", "int", pa.int32()), ("h
 
 
 def _walk(table: pd.DataFrame, init: dict | None, unknown: tuple = (None, None)):
-    """States of a group's files in order: (row, state, changes, version, fingerprint)."""
+    """States of a group's files in order: (row, state, changes, version, fingerprint, earlier names)."""
+    names = {n: [1, n] for n in init or {}}
     state, version, seen = (init, 0, fingerprint(init)) if init is not None else (None, 0, None)
     last = None
     for row in table.itertuples(index=False):
@@ -169,10 +203,11 @@ def _walk(table: pd.DataFrame, init: dict | None, unknown: tuple = (None, None))
         if attrs is None:
             continue
         state, changes = advance(state, attrs, unknown)
+        names = follow(names, state, changes)
         mark = fingerprint(state)
         version += mark != seen
         seen = mark
-        yield row, state, changes, version, mark
+        yield row, state, changes, version, mark, names
 
 
 def drift(df: DataFrame, *, device: str = "device_id", file_no: str = "file_no", header: str = "header_id", attrs: str = "attrs_json", target: int = 20_000) -> DataFrame:
@@ -212,14 +247,35 @@ def drift(df: DataFrame, *, device: str = "device_id", file_no: str = "file_no",
             now = {k: before.get(k, [None, None]) if v[0] == _INHERITED else v for k, v in json.loads(row.summary).items()}
         return pd.DataFrame(out, columns=["device_id", "block", "init"])
 
+    def relate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches, ["device_id", "block"]):
+            table = group.to_pandas()
+            init = table["init"][0]
+            steps = list(_walk(table, json.loads(init) if isinstance(init, str) else None))
+            if steps:
+                yield pa.RecordBatch.from_pydict(
+                    {"device_id": [int(table.device_id[0])], "block": pa.array([int(table.block[0])], pa.int32()), "names": [json.dumps(steps[-1][5])]}
+                )
+
+    def hand_on_names(frame: pd.DataFrame) -> pd.DataFrame:
+        out, earlier = [], {}
+        for row in frame.sort_values("block").itertuples(index=False):
+            out.append((row.device_id, row.block, json.dumps(earlier)))
+            earlier = _known(json.loads(row.names), earlier)
+        return pd.DataFrame(out, columns=["device_id", "block", "earlier"])
+
     cut = rows.filter("block > 0").select("device_id").distinct().checkpoint()
     if cut.isEmpty():
-        rows = rows.withColumn("init", F.lit(None).cast("string"))
+        rows = rows.withColumn("init", F.lit(None).cast("string")).withColumn("earlier", F.lit(None).cast("string"))
     else:
         sums = rows.join(broadcast_checked(cut), "device_id", "left_semi").repartition("device_id", "block").sortWithinPartitions(*order)
         sums = sums.mapInArrow(summarise, "device_id long, block int, summary string")
         inits = sums.groupBy("device_id").applyInPandas(hand_on, "device_id long, block int, init string").checkpoint()
         rows = rows.join(broadcast_checked(inits), ["device_id", "block"], "left")
+        names = rows.join(broadcast_checked(cut), "device_id", "left_semi").repartition("device_id", "block").sortWithinPartitions(*order)
+        names = names.mapInArrow(relate, "device_id long, block int, names string")
+        earlier = names.groupBy("device_id").applyInPandas(hand_on_names, "device_id long, block int, earlier string").checkpoint()
+        rows = rows.join(broadcast_checked(earlier), ["device_id", "block"], "left")
 
     arrow = pa.schema([(n, t) for n, _, t in _COLUMNS])
 
@@ -227,10 +283,14 @@ def drift(df: DataFrame, *, device: str = "device_id", file_no: str = "file_no",
         out: list[dict] = []
         for group in whole_groups(batches, ["device_id", "block"]):
             table = group.to_pandas()
-            init = table["init"][0]
-            for row, state, changes, version, mark in _walk(table, json.loads(init) if isinstance(init, str) else None):
+            init, known = table["init"][0], table["earlier"][0]
+            known = json.loads(known) if isinstance(known, str) else {}
+            held, found = None, {}
+            for row, state, changes, version, mark, names in _walk(table, json.loads(init) if isinstance(init, str) else None):
+                if names is not held:
+                    held, found = names, _unknown(_known(names, known))
                 named = [{"attr": a, "change": c, "earlier": e} for a, c, e in changes]
-                out.append({"device_id": row.device_id, "block": row.block, "header_id": row.header_id, "file_no": row.file_no, "changes": named, "version": version, "fingerprint": mark, **migrate(state)})
+                out.append({"device_id": row.device_id, "block": row.block, "header_id": row.header_id, "file_no": row.file_no, "changes": named, "version": version, "fingerprint": mark, **migrate(state, found)})
             if len(out) > 5000:
                 yield from pa.Table.from_pylist(out, arrow).to_batches()
                 out = []

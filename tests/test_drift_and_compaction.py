@@ -54,6 +54,17 @@ def test_attributes_with_one_target_are_all_kept():
     assert row["gauge_length"] == 2.0 and row["origin"] == 4.0 and not row["extras"] and not row["collisions"]
 
 
+def test_found_renames_and_defaults_reach_their_columns(spark):
+    files = [{"Gauge": 2.5, "a": 0}, {"g1": 2.5, "a": 1}, {"g1": None, "a": 2}, {"g2": 2.5, "a": 3, "FreqRes": 9}, {"g2": 4, "a": 4, "BlockRate": 8}]
+    files += [{"g2": 4, "a": k} for k in range(5, 40)] + [{"g2": 4, "Gauge": 3, "a": 40}, {"a": 41}, {"g2": 7, "a": 42}]
+    df = spark.createDataFrame([(1, n, n, json.dumps(f), 0, "x", 0) for n, f in enumerate(files)], DRIFT)
+    for target in (20_000, 1, 2, 7):
+        rows = {r.header_id: r for r in drift(df, target=target).collect()}
+        assert [rows[n].gauge_length for n in range(len(files))] == [2.5] * 4 + [4.0] * 36 + [3.0, None, None]
+        assert rows[3].block_rate == rows[3].freq_res == 9 and rows[4].block_rate == 8 and rows[5].block_rate is None
+        assert rows[39].extras == {"a": "39"} and rows[40].collisions == {"g2": "GaugeLength"} and rows[42].extras == {"g2": "7", "a": "42"}
+
+
 def test_devices_in_blocks(spark):
     rows, k = [], 0
     for device in range(4):
