@@ -226,7 +226,7 @@ def drift(df: DataFrame, *, device: str = "device_id", file_no: str = "file_no",
         F.col(device).cast("long").alias("device_id"), F.col(file_no).cast("long").alias("file_no"),
         F.col(header).cast("long").alias("header_id"), F.col(attrs).cast("string").alias("attrs_json"),
     ).filter("device_id IS NOT NULL AND file_no IS NOT NULL AND header_id IS NOT NULL")
-    rows = time_blocks(rows, "device_id", "file_no", target=target).drop("core")
+    rows = time_blocks(rows, "device_id", "file_no", target=target, ties="header_id", fine=16).drop("core")
     order = ["device_id", "block", "file_no", "header_id"]
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -63,7 +63,7 @@ def regular_grid(observed: DataFrame, key: str, slot_ns: int, *, gap_limit_ns: i
     """
     rows = observed.select(F.col(f"`{key}`").alias("__key"), "slot", "first", "last")
     name, key = key, "__key"
-    rows = time_blocks(rows, key, "slot", target=target).drop("core")
+    rows = time_blocks(rows, key, "slot", target=target, fine=16).drop("core")
     in_block = Window.partitionBy(key, "block").orderBy("slot")
     rows = rows.withColumn("next", F.lead(F.struct("slot", "first")).over(in_block))
     # the reading after a block's last one is the first of the next block

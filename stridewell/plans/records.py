@@ -13,7 +13,7 @@ MINUTE_NS = 60_000_000_000
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     covered = intervals.coverage(table(spark, folder, "segments")).filter("step IS NOT NULL")
-    covered = covered.withColumn("end", F.expr("tie_values + tie_lengths * step"))
+    covered = covered.withColumn("end", F.expr("try_add(tie_values, try_multiply(tie_lengths, step))"))
     return intervals.merge_intervals(covered, "series_id", "tie_values", "end", "step")
 
 

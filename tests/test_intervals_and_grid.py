@@ -1,5 +1,10 @@
 import numpy as np
 
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from stridewell.operators import intervals
 from stridewell.operators.blocks import time_blocks
 from stridewell.operators.grid import observed_slots, regular_grid
 from stridewell.operators.intervals import coverage, merge_intervals
@@ -9,7 +14,7 @@ def brute(rows):
     out = set()
     for key in {r[0] for r in rows}:
         far = start = None
-        for _, s, e, slack in sorted(r for r in rows if r[0] == key):
+        for _, s, e, slack in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], -r[3])):
             if far is None or s > far + slack:
                 if far is not None:
                     out.add((key, "period", start, far))
@@ -27,7 +32,7 @@ def test_merging_equals_brute_force_at_any_block_size(spark):
         n = 400 if key == 3 else 20
         starts = rng.integers(0, 20_000, n)
         lengths = np.where(rng.random(n) < 0.02, 3000, rng.integers(0, 40, n))
-        rows += [(key, int(s), int(s + k), 5) for s, k in zip(starts, lengths)]
+        rows += [(key, int(s), int(s + k), int(w)) for s, k, w in zip(starts, lengths, rng.integers(0, 9, n) if key % 2 else np.full(n, 5))]
     rows += rows[:30]
     df = spark.createDataFrame(rows, "series long, a long, b long, slack long").selectExpr("*", "'x' AS block", "'y' AS kind")
     for target in (50_000, 50, 7):
@@ -35,6 +40,67 @@ def test_merging_equals_brute_force_at_any_block_size(spark):
         assert len(got) == len(set(got)) and set(map(tuple, got)) == brute(rows)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 60), st.integers(0, 9), st.integers(0, 4), st.integers(0, 4)), min_size=1, max_size=60))
+def test_lists_merged_in_any_tree_are_those_of_all_rows(rows):
+    node, s, n, slack, part = (np.array(c, np.int64) for c in zip(*rows))
+    whole = intervals.leaf(node, s, s + n, slack, 3)
+    pieces = [intervals.leaf(node[part == p], s[part == p], (s + n)[part == p], slack[part == p], 3) for p in range(5)]
+    group = np.repeat(np.arange(3), 5)  # the five lists of a node follow each other
+    cuts = [(p, k) for k in range(3) for p in range(5)]
+    flat = {c: np.concatenate([getattr(pieces[p], c)[pieces[p].offset[k] : pieces[p].offset[k + 1]] for p, k in cuts]) for c in ("s", "e", "slack")}
+    sizes = [pieces[p].offset[k + 1] - pieces[p].offset[k] for p, k in cuts]
+    got = intervals.tree(intervals.Lists(np.concatenate([[0], np.cumsum(sizes)]), **flat), group, 3)
+    for c in ("offset", "s", "e", "slack"):
+        assert getattr(got, c).tolist() == getattr(whole, c).tolist()
+
+
+def test_periods_come_from_merged_lists(spark, monkeypatch):
+    rows = [(1, 0, 10, 0), (1, 5, 20, 0), (1, 20, 30, 0), (1, 40, 50, 0), (1, 2, 3, 0), (1, 35, 36, 0)] * 3
+    df = spark.createDataFrame(rows, "k long, a long, b long, s long").repartition(7)
+    assert {tuple(r) for r in merge_intervals(df, "k", "a", "b", "s").collect()} == brute(rows)
+    a, b = (intervals.leaf(np.zeros(1, np.int64), np.array([x]), np.array([y]), np.zeros(1, np.int64), 1) for x, y in ((0, 10), (5, 20)))
+    both = intervals.merge(a, b)
+    assert (both.s.tolist(), both.e.tolist()) == ([0], [20])
+
+
+def test_slack_is_that_of_the_interval_that_starts(spark):
+    rows = [(1, 0, 100, 0)] * 2 + [(1, 105, 110, 0), (1, 106, 120, 50), (2, 0, 10, -7), (2, 10, 12, -7)]
+    df = spark.createDataFrame(rows, "k long, a long, b long, s long")
+    got = {tuple(r) for r in merge_intervals(df, "k", "a", "b", "s").collect()}
+    assert got == {(1, "period", 0, 100), (1, "gap", 100, 105), (1, "period", 105, 120), (2, "period", 0, 12)}
+
+
+def test_far_times_and_text_keys(spark):
+    least, most = -(2**63), 2**63 - 1
+    df = spark.createDataFrame([("x", least, least + 1, 5), ("x", most - 1, most, most), ("y", 1, 2, 0)], "k string, a long, b long, s long")
+    got = {tuple(r) for r in merge_intervals(df, "k", "a", "b", "s").collect()}
+    assert got == {("x", "period", least, least + 1), ("x", "gap", least + 1, most - 1), ("x", "period", most - 1, most), ("y", "period", 1, 2)}
+
+
+@pytest.mark.parametrize("halo", [0, 25])
+@pytest.mark.parametrize("shape", ["even", "outlier", "both ends", "bursts", "ties", "nulls"])
+def test_blocks_are_bounded_however_rows_lie(spark, shape, halo):
+    n, target = 6000, 500
+    t = np.arange(n) * 1000
+    if shape == "outlier":
+        t[0] = -(10**17)
+    if shape == "both ends":
+        t[:2] = -(2**63), 2**63 - 1
+    if shape == "bursts":
+        t = np.concatenate([np.arange(n // 2), 10**15 + np.arange(n // 2) * 10**9])
+    if shape == "ties":
+        t[: n // 2] = 77
+    rows = [(1, None if shape == "nulls" and k % 3 == 0 else int(v), k) for k, v in enumerate(t)]
+    df = spark.createDataFrame(rows, "k long, t long, id long")
+    got = time_blocks(df, "k", "t", target=target, halo=halo, ties="id").collect()
+    assert sorted(r.id for r in got if r.core) == list(range(n))
+    sizes = {}
+    for r in got:
+        sizes[r.block] = sizes.get(r.block, 0) + 1
+    assert max(sizes.values()) <= 2 * target and len(got) <= n + len(sizes) * (2 * halo + target // 2)
+
+
 def test_unusable_intervals(spark):
     rows = [(None, 1, 2, 0), (1, None, 2, 0), (1, 1, None, 0), (1, 5, 1, 0), (1, 1, 2, None), (2, 3, 3, 0)]
     df = spark.createDataFrame(rows, "k long, a long, b long, s long")
