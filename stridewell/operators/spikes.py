@@ -4,8 +4,13 @@ Each lane (a channel of an instrument) has a hidden Markov model with the states
 normal, spike, stuck and out of range.  Its emissions are relative to the lane:
 a reading's distance from the local level in local spreads, whether it repeats
 the one before (against how often the lane does so), and the instrument's hard
-bounds.  Forward and backward probabilities pick the candidates; the stated
-rules (run lengths, ten spreads, the level taken up again) decide them exactly.
+bounds.  The stated rules are where a state can emit at all: out of range what
+lies beyond the bounds, stuck in runs of twelve and more of one value, spike
+beyond ten spreads in at most three readings after which the level is taken up
+again; normal anywhere but beyond the bounds and in stuck runs, and less and
+less likely away from the level.  How often a lane changes its state is taken
+from the lane (one step of expectation and maximisation); a reading's flag is
+its most probable state by forward and backward probabilities.
 
 The chain is evaluated in short segments side by side: the segments' transfer
 matrices are multiplied out for all segments at once, messages step from segment
@@ -28,7 +33,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .blocks import broadcast_checked, time_blocks
 
 NORMAL, SPIKE, STUCK, OUT = range(4)
+#: State changes before a lane is known; the lane's own are these with this many steps of weight, and its counts.
 TRANSITIONS = np.array([[0.985, 0.005, 0.005, 0.005], [0.5, 0.4, 0.05, 0.05], [0.05, 0.005, 0.94, 0.005], [0.5, 0.05, 0.05, 0.4]])
+PRIOR_STEPS = 200.0
+SPIKE_DENSITY = 5e-3  # of a distance in spreads, anywhere beyond the ten
 
 
 @dataclass(frozen=True)
@@ -38,7 +46,6 @@ class Rules:
     shortest_stuck: int = 12
     level_reach: int = 12  # readings on either side for the level
     spread_reach: int = 40  # and for the spread
-    candidate: float = 0.1  # least posterior of a candidate: of stuck, or of not being normal
 
     @property
     def context(self) -> int:
@@ -72,10 +79,11 @@ def _runs(start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return number, np.bincount(number, minlength=int(start.sum()))
 
 
-def posteriors(emission: np.ndarray, chain: np.ndarray, segment: int = 64) -> np.ndarray:
+def posteriors(emission: np.ndarray, chain: np.ndarray, segment: int = 64, changes: np.ndarray | None = None) -> np.ndarray:
     """State probabilities (n x 4) of chains that follow each other in ``emission``.
 
-    ``chain``: number of the chain of each element (0, 1, ... in order).
+    ``chain``: number of the chain of each element (0, 1, ... in order);
+    ``changes``: each chain's state changes (chains x 4 x 4).
     """
     n = len(emission)
     length = np.bincount(chain)
@@ -88,7 +96,7 @@ def posteriors(emission: np.ndarray, chain: np.ndarray, segment: int = 64) -> np
     e[column, row] = emission
     used = np.zeros((segment, total), bool)
     used[column, row] = True
-    step = TRANSITIONS[None] * np.ones((total, 1, 1))
+    step = np.repeat(TRANSITIONS[None] if changes is None else changes, pieces if changes is not None else total, axis=0)
     identity = np.eye(4)
     transfer = np.broadcast_to(identity, (total, 4, 4)).copy()
     for k in range(segment):
@@ -108,7 +116,7 @@ def posteriors(emission: np.ndarray, chain: np.ndarray, segment: int = 64) -> np
     forward = np.empty((segment, total, 4))
     now = into
     for k in range(segment):
-        moved = (now @ TRANSITIONS) * e[k]
+        moved = (now[:, None, :] @ step)[:, 0] * e[k]
         now = np.where(used[k][:, None], moved / moved.sum(1, keepdims=True), now)
         forward[k] = now
     now = outof
@@ -116,11 +124,23 @@ def posteriors(emission: np.ndarray, chain: np.ndarray, segment: int = 64) -> np
     for k in range(segment - 1, -1, -1):
         both = forward[k] * now
         result[k] = both / both.sum(1, keepdims=True)
-        back = (e[k] * now) @ TRANSITIONS.T
+        back = (step @ (e[k] * now)[:, :, None])[:, :, 0]
         now = np.where(used[k][:, None], back / back.sum(1, keepdims=True), now)
     return result[column, row]
 
 
+def own_changes(p: np.ndarray, chain: np.ndarray) -> np.ndarray:
+    """State changes of each chain, from its state probabilities and the common ones."""
+    chains = int(chain[-1]) + 1
+    on = np.flatnonzero(chain[1:] == chain[:-1])
+    counts = np.empty((chains, 4, 4))
+    for a in range(4):
+        for b in range(4):
+            counts[:, a, b] = np.bincount(chain[on], p[on, a] * p[on + 1, b], chains)
+    counts += PRIOR_STEPS * TRANSITIONS
+    return counts / counts.sum(2, keepdims=True)
+
+
 def _repeats(values: np.ndarray, chain: np.ndarray, rules: Rules) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per reading: first of its lane, same as the one before, its run, and whether that run is long enough to be stuck."""
     start = np.ones(len(values), bool)
@@ -150,10 +170,13 @@ def lacking(values: np.ndarray, out_of_range: np.ndarray, chain: np.ndarray, cor
 
 
 def flag(values: np.ndarray, out_of_range: np.ndarray, chain: np.ndarray, rules: Rules = Rules()) -> np.ndarray:
-    """Cause of each reading (0 none, 1 spike, 2 stuck, 3 out of range).
+    """Cause of each reading (0 none, 1 spike, 2 stuck, 3 out of range): its most probable state.
 
     ``chain``: lane number of each reading, readings of a lane in time order
-    without missing ones.
+    without missing ones.  No lane's own state changes can outweigh the emissions
+    by so much that the same reading is flagged in one block and not in another:
+    beyond ten spreads normal is e**-50 of what it is at the level, and changes
+    are bounded by their common part.
     """
     n = len(values)
     if not n:
@@ -173,18 +196,7 @@ def flag(values: np.ndarray, out_of_range: np.ndarray, chain: np.ndarray, rules:
     lanes = int(chain[-1]) + 1
     repeats = np.bincount(chain, same & ~long_run, lanes) / np.maximum(1, np.bincount(chain, ~long_run, lanes))
     p_same = np.clip(repeats, 1e-3, 0.5)[chain]
-    near = np.exp(-0.5 * np.minimum(z, 25.0) ** 2)  # 1 at the level; a far reading is no normal one, even if it repeats the one before
-    e = np.empty((n, 4))
-    e[:, NORMAL] = near * np.where(same, p_same, (1 - p_same) * 0.3989)
-    e[:, SPIKE] = np.where(same, 1e-3, 5e-3)
-    e[:, STUCK] = np.where(same, 0.98, 1e-4)
-    e[:, OUT] = 0.0
-    e[out_of_range] = (0.0, 0.0, 0.0, 1.0)
-    p = posteriors(e, chain)
-
-    cause = np.zeros(n, np.int8)
-    stuck_runs = np.maximum.reduceat(p[:, STUCK], np.flatnonzero(~same)) >= rules.candidate
-    cause[long_run & (stuck_runs[run] | out_of_range)] = 2
+    brief = np.zeros(n, bool)  # far for a short time, then back at the level
     if len(clean):
         apart = np.zeros(len(clean), bool)
         apart[edges[:-1]] = True
@@ -195,10 +207,18 @@ def flag(values: np.ndarray, out_of_range: np.ndarray, chain: np.ndarray, rules:
         starts = np.flatnonzero(begin)
         after = starts + size
         resumed = (after < len(clean)) & ~np.append(apart, True)[after]
-        spike = f & (size[number] <= rules.longest_spike) & resumed[number] & (p[clean, NORMAL] <= 1 - rules.candidate)
-        cause[clean[spike]] = 1
-    cause[out_of_range] = 3
-    return cause
+        brief[clean] = f & (size[number] <= rules.longest_spike) & resumed[number]
+    # a far reading that stays, or isn't followed, is a change of level: as normal as any
+    near = np.where(far & ~brief, 1.0, np.exp(-0.5 * np.minimum(z, 25.0) ** 2))
+    e = np.zeros((n, 4))
+    e[:, NORMAL] = near * np.where(same, p_same, (1 - p_same) * 0.3989)
+    e[long_run, NORMAL] = 0.0
+    e[brief, SPIKE] = SPIKE_DENSITY
+    e[long_run, STUCK] = 0.98
+    e[out_of_range] = (0.0, 0.0, 0.0, 1.0)
+    p = posteriors(e, chain)
+    p = posteriors(e, chain, changes=own_changes(p, chain))
+    return p.argmax(1).astype(np.int8)
 
 
 def implausible(df: DataFrame, *, lane: str, at: str, row_id: str, value: str, low: str, high: str, step: str | None = None,
@@ -209,7 +229,8 @@ def implausible(df: DataFrame, *, lane: str, at: str, row_id: str, value: str, l
     array of numbers (pos is the place in it, ``at`` the time of its first).
     Null and NaN are missing and never flagged; a null bound doesn't bind.  Rows
     with a null lane, time or id are left out; rows delivered twice (same id) are
-    taken once.  Long lanes are cut into blocks that overlap by ``halo`` rows.
+    taken once.  Long lanes are cut into blocks that overlap by ``halo`` rows (a
+    sixteenth of it where a row has many readings).
     A block that finds fewer plausible readings there than the rules look around
     (long stuck runs, many deliveries) is taken again with a wider overlap.
     """
@@ -285,12 +306,13 @@ def implausible(df: DataFrame, *, lane: str, at: str, row_id: str, value: str, l
     lanes = to_arrow_type(lane_type)
 
     def flagged(rows: DataFrame, halo: int, only: DataFrame | None = None) -> DataFrame:
-        placed = time_blocks(rows, "lane", "at", target=max(1, target // 64) if packed else target, halo=halo, ties="row_id", ends=True)
+        placed = time_blocks(rows, "lane", "at", target=max(1, target // 64) if packed else target, halo=halo, ties="row_id", ends=True)  # a packed row has some 64 readings
         if only is not None:
             placed = placed.join(broadcast_checked(only), ["lane", "block"], "left_semi")
         placed = placed.repartition("lane", "block").sortWithinPartitions("lane", "block", "at", "row_id")
         return placed.mapInArrow(run, f"lane {lane_type.simpleString()}, block int, row_id long, pos int, cause string").checkpoint()
 
+    halo = max(1, halo // 16) if packed else halo
     found = flagged(rows, halo)
     parts, short = [found], found.filter("row_id IS NULL").select("lane", "block")
     while not short.isEmpty():

@@ -218,8 +218,8 @@ def normalise(df: DataFrame, id_col: str, source: str, text: str, order: str, *,
     """One UTC instant for every record whose text can be read.
 
     Columns: id, notation, instant_us (long) and n_readings (size of the array
-    of candidates).  ``order`` is a long column: the source's record order (of records
-    with one time it is arbitrary, but always the same; null times come first).  Records whose text can't be read have null notation and instant and
+    of candidates).  ``order`` is a long column: the source's record order (ties by id, or by the hash
+    of ids that aren't whole numbers; null times come first).  Records whose text can't be read have null notation and instant and
     n_readings 0.  A null source is a source of its own; null ``zone`` means UTC;
     with a null ``date_order`` both orders are candidates.  Rows with the same id
     and text come out once.  Long sources are cut into blocks; each begins
@@ -230,8 +230,9 @@ def normalise(df: DataFrame, id_col: str, source: str, text: str, order: str, *,
         F.col(order).cast("long").alias("at"), F.col(zone).cast("string").alias("zone"), F.col(date_order).cast("string").alias("date_order"),
     )
     rows = rows.withColumn("source", F.coalesce("source", F.lit("")))
-    # records of one time are cut by the hash of their id
-    rows = time_blocks(rows.withColumn("tie", F.xxhash64("id")), "source", "at", target=target, halo=halo, ties="tie")
+    whole = rows.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    rows = rows.withColumn("tie", F.col("id").cast("long") if whole else F.xxhash64("id"))
+    rows = time_blocks(rows, "source", "at", target=target, halo=halo, ties="tie")
     rows = rows.repartition("source", "block").sortWithinPartitions("source", "block", "at", "tie", "id").drop("tie")
     id_type = rows.schema["id"].dataType.simpleString()
 

@@ -86,6 +86,26 @@ def test_posteriors_equal_the_plain_recursion(lengths, seed):
         assert np.allclose(got[chain == k], want / want.sum(1, keepdims=True))
 
 
+def test_flags_are_the_most_probable_states(monkeypatch):
+    x = noise(400, 12)
+    x[[50, 51, 200]], x[300:315] = 180, 99.5
+    assert set(np.flatnonzero(causes(x))) == {50, 51, 200, *range(300, 315)}
+    monkeypatch.setattr("stridewell.operators.spikes.posteriors", lambda e, chain, **_: np.full((len(e), 4), 0.25))
+    assert not causes(x).any()
+
+
+def test_a_lanes_own_changes_follow_its_spikes():
+    from stridewell.operators import spikes
+
+    x = np.concatenate([noise(2000, 1), noise(2000, 2)])
+    x[20:2000:20] = 200
+    chain = np.repeat([0, 1], 2000)
+    p = np.zeros((4000, 4))
+    p[np.arange(4000), causes(x, chain=chain)] = 1
+    own = spikes.own_changes(p, chain)
+    assert np.allclose(own.sum(2), 1) and own[0, 0, 1] > 0.04 and own[1, 0, 1] < 0.005
+
+
 def lane_rows(lane, x, start=0):
     return [(lane, int(t), start + t, None if v is None else float(v), 0.0, 500.0, 1, "c") for t, v in enumerate(x)]
 
