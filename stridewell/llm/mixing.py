@@ -29,6 +29,13 @@ from ..session import ensure_checkpoint_dir
 from .bpe import DEFAULT_TOKENIZER, encode
 
 
+#: Blocks of all uses together.  The draws take fewer than 10**9 of them (each
+#: source adds one block and one partial pass), and tasks hold their share.
+MOST_BLOCKS = 100_000_000
+#: Parts of a source's hashed order whose running sums are taken apart.
+RANGES = 256
+
+
 @dataclass(frozen=True)
 class Quota:
     source: str
@@ -60,6 +67,11 @@ def plan_quotas(targets: list[tuple], tokens: dict[str, int], block_tokens: int)
     return quotas
 
 
+def block_size(total: int, least: int) -> int:
+    """Tokens of a block: ``least``, or so many that the blocks of all uses can be counted in a draw."""
+    return max(least, -(-total // MOST_BLOCKS))
+
+
 def split_counts(counts: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """First number and number of block copies of each source for one shard."""
     node, lo, hi = 1, 0, shards
@@ -77,6 +89,21 @@ def split_counts(counts: np.ndarray, shards: int, shard: int, seed: int) -> tupl
     return start, have
 
 
+def _before(rows: DataFrame, order, ties: list[str], amount, name: str) -> DataFrame:
+    """Add the sum of ``amount`` over the rows of the source that come before in hashed order.
+
+    Ranges of the hash are summed first, so that no task sees a whole source.
+    """
+    ranged = rows.withColumn("__o", order).withColumn("__r", F.expr(f"cast(shiftright(__o, 32) div {2**32 // RANGES} as int)"))
+    ranged = ranged.withColumn("__r", F.expr("CASE WHEN __o < 0 THEN __r - 1 ELSE __r END")).withColumn("__amount", amount)
+    sums = ranged.groupBy("source", "__r").agg(F.sum("__amount").alias("__s"))
+    ahead = Window.partitionBy("source").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES + 1 rows a source
+    sums = sums.select("source", "__r", F.coalesce(F.sum("__s").over(ahead), F.lit(0)).alias("__ahead"))
+    within = Window.partitionBy("source", "__r").orderBy("__o", *ties).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.withColumn(name, F.coalesce(F.sum("__amount").over(within), F.lit(0)))
+    return summed.join(sums, ["source", "__r"]).withColumn(name, F.col(name) + F.col("__ahead")).drop("__o", "__r", "__amount", "__ahead")
+
+
 def token_sizes(documents: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     """doc_id, source, n_tokens; one row for each id, however often delivered."""
     ids = documents.filter(F.col("doc_id").isNotNull()).select("doc_id", "source", "text")
@@ -101,7 +128,11 @@ def mix_sources(documents: DataFrame, targets: DataFrame, *, tokenizer: str = DE
     names = [s for s, _, _ in wanted if s is not None]
     sized = token_sizes(documents.filter(F.col("source").isin(names)), tokenizer).checkpoint()
     totals = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
-    quotas = plan_quotas(wanted, totals, block_tokens)
+    uses = sum((r if r is not None else 1) * totals.get(s, 0) for s, _, r in wanted if s is not None)
+    quotas = plan_quotas(wanted, totals, block_size(uses, block_tokens))
+    if not quotas:
+        empty = "shard long, pos int, doc_id long, source string, repeat_no int, n_tokens long" + (", text string" if with_text else "")
+        return spark.createDataFrame([], empty)
 
     plan = spark.createDataFrame(
         [(q.source, q.full_passes, q.rest, q.blocks) for q in quotas], "source string, full_passes long, rest long, blocks long"
@@ -109,10 +140,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, *, tokenizer: str = DE
     placed = sized.join(F.broadcast(plan), "source").withColumn(
         "block", F.expr(f"pmod(xxhash64({seed}, doc_id), blocks)")
     )  # plan: one row a source
-    order = Window.partitionBy("source").orderBy(F.expr(f"xxhash64({seed + 1}, source, block)"), "block")
     sizes = placed.groupBy("source", "block", "full_passes", "rest").agg(F.sum("n_tokens").alias("size"))
-    sizes = sizes.withColumn("so_far", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    sizes = sizes.withColumn("so_far", F.coalesce("so_far", F.lit(0)))
+    sizes = _before(sizes, F.expr(f"xxhash64({seed + 1}, source, block)"), ["block"], F.col("size"), "so_far")
     # copies of a block: its full passes, and the partial one with what is left of the quota
     copies = sizes.select(
         "source", "block",
@@ -121,8 +150,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, *, tokenizer: str = DE
                 'room', CASE WHEN k < full_passes THEN cast(null AS bigint) ELSE rest - so_far END)))
         """)).alias("c"),
     ).select("source", "block", "c.*").filter("room IS NULL OR room > 0")
-    numbered = Window.partitionBy("source").orderBy(F.expr(f"xxhash64({seed + 2}, source, block, repeat_no)"), "block", "repeat_no")
-    copies = copies.withColumn("number", F.row_number().over(numbered) - 1).checkpoint()
+    copies = _before(copies, F.expr(f"xxhash64({seed + 2}, source, block, repeat_no)"), ["block", "repeat_no"], F.lit(1), "number").checkpoint()
 
     found = {r["source"]: r["count"] for r in copies.groupBy("source").count().collect()}
     names = sorted(found)
@@ -134,7 +162,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, *, tokenizer: str = DE
         for frame in frames:
             for shard in frame["id"]:
                 start, n = split_counts(counts, shards, int(shard), seed)
-                yield pd.DataFrame({"shard": int(shard), "source": names, "start": start, "n": n})
+                yield pd.DataFrame({"shard": int(shard), "source": pd.Series(names, dtype=object), "start": start, "n": n})
 
     leaves = spark.range(shards).mapInPandas(deal, "shard long, source string, start long, n long")
     dealt = leaves.filter("n > 0").select("shard", "source", F.explode(F.expr("sequence(start, start + n - 1)")).alias("number"))

@@ -3,7 +3,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from stridewell.llm.mixing import mix_shares, mix_sources, plan_quotas, split_counts
+from stridewell.llm.mixing import MOST_BLOCKS, block_size, mix_shares, mix_sources, plan_quotas, split_counts
 
 
 def test_the_tree_deals_every_block_once():
@@ -63,3 +63,32 @@ def test_empty_tables(spark):
     targets = spark.createDataFrame([("big", 1.0, None)], "source string, target_share double, max_repeats int")
     assert mix_sources(docs.limit(0), targets).count() == 0 and mix_sources(docs, targets.limit(0)).count() == 0
     assert mix_sources(docs, targets).count() > 0
+    assert mix_sources(docs.limit(0), targets).columns == mix_sources(docs, targets).columns
+    assert dict(mix_sources(docs.limit(0), targets).dtypes) == dict(mix_sources(docs, targets).dtypes)
+    assert {r.tokens for r in mix_shares(docs.limit(0), targets).collect()} == {0}
+
+
+def test_blocks_grow_with_the_corpus():
+    assert block_size(10**6, 20_000) == 20_000
+    total = 10**15
+    size = block_size(total, 20_000)
+    counts = np.array([total // size // 3, total // size - total // size // 3])
+    assert counts.sum() <= MOST_BLOCKS
+    start, n = split_counts(counts, 1000, 999, 5)
+    assert (start + n == counts).all() and abs(int(n.sum()) - counts.sum() // 1000) < 20
+
+
+def test_running_sums_in_ranges_are_those_of_the_whole_order(spark):
+    from pyspark.sql import functions as F
+
+    from stridewell.llm.mixing import _before
+
+    rows = [("a" if k % 3 else "b", k, k % 7) for k in range(500)]
+    df = spark.createDataFrame(rows, "source string, block long, size long")
+    got = _before(df, F.expr("CASE WHEN block % 5 = 0 THEN block * 1000 - 5 ELSE xxhash64(block) END"), ["block"], F.col("size"), "so_far")
+    held = {(r.source, r.block): r for r in got.withColumn("h", F.expr("CASE WHEN block % 5 = 0 THEN block * 1000 - 5 ELSE xxhash64(block) END")).collect()}
+    for source in "ab":
+        total = 0
+        for r in sorted((r for (s, _), r in held.items() if s == source), key=lambda r: (r.h, r.block)):
+            assert r.so_far == total
+            total += r["size"]
