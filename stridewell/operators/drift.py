@@ -2,8 +2,8 @@
 
 The files of a device are read in order against the device's state: the
 attributes present, with their last known type and value.  Each change of state
-is recorded, each set of names and types is a schema fingerprint, and
-fingerprints are numbered as versions.  Whatever its version, a file's
+is recorded, each set of names and types is a schema fingerprint, and a device's
+fingerprints are numbered as versions, in the order in which they first came.  Whatever its version, a file's
 attributes are then routed through the same chain of migration steps (renames,
 casts, defaults) into one table.  Steps go by name; a name that no step knows
 is taken as the one it was found to be renamed from.
@@ -132,7 +132,7 @@ def _cast(value, kind: str):
         parts = value if isinstance(value, list) else _FIRST_NUMBER.findall(value) if isinstance(value, str) else [value]
         parts = [_cast(p, "number") for p in parts]
         return [p for p in parts if p is not None]
-    if isinstance(value, list):
+    if isinstance(value, list):  # see _whole
         value = value[0] if value else None
     if kind == "text":
         return None if value is None else value if isinstance(value, str) else json.dumps(value)
@@ -142,6 +142,11 @@ def _cast(value, kind: str):
     return float(value) if isinstance(value, (int, float)) else None
 
 
+def _whole(value, kind: str) -> bool:
+    """Whether a cast keeps all of a value: a single place takes the first of an array only."""
+    return kind == "numbers" or not isinstance(value, list) or len(value) < 2
+
+
 def _unknown(earlier: dict) -> dict:
     """Those names that no step knows, of known ones."""
     return {n: e for n, e in earlier.items() if n not in RENAMES and n not in CASTS and (e in RENAMES or e in CASTS)}
@@ -152,7 +157,8 @@ def migrate(state: dict, earlier: dict | None = None) -> dict:
 
     ``earlier`` has names that no step knows, with the known ones they were found
     to be renamed from.
-    Of several attributes with one target, the target itself goes first, then
+    An array in place of a single value gives its first item and stays whole in
+    ``extras``.  Of several attributes with one target, the target itself goes first, then
     those of the fixed renames, then those found, by name; the first that has a value takes it.  Further ones with
     a value keep their own name, and ``collisions`` has them with that target.
     """
@@ -172,6 +178,8 @@ def migrate(state: dict, earlier: dict | None = None) -> dict:
         if name in CASTS:
             column, kind = CASTS[name]
             row[column] = _cast(value, kind)
+            if not _whole(value, kind):
+                extras[own] = json.dumps(value)
         elif value is not None:
             extras[name] = json.dumps(value)
     for column, other in DEFAULTS.items():
@@ -185,16 +193,15 @@ _KINDS = {"number": ("double", pa.float64()), "numbers": ("array<double>", pa.li
 _COLUMNS = [("device_id", "long", pa.int64()), ("block", "int", pa.int32()), ("header_id", "long", pa.int64()), ("file_no", "long", pa.int64()),
             ("changes", "array<struct<attr:string,change:string,earlier:string>>",
              pa.list_(pa.struct([("attr", pa.string()), ("change", pa.string()), ("earlier", pa.string())]))),
-            ("version", "int", pa.int32()), ("fingerprint", "string", pa.string()),
+            ("fingerprint", "string", pa.string()),
             *((column, *_KINDS[kind]) for column, kind in CASTS.values()),
             *((name, "map<string,string>", pa.map_(pa.string(), pa.string())) for name in ("extras", "collisions"))]
 
 
 def _walk(table: pd.DataFrame, init: dict | None, unknown: tuple = (None, None)):
-    """States of a group's files in order: (row, state, changes, version, fingerprint, earlier names)."""
+    """States of a group's files in order: (row, state, changes, earlier names)."""
     names = {n: [1, n] for n in init or {}}
-    state, version, seen = (init, 0, fingerprint(init)) if init is not None else (None, 0, None)
-    last = None
+    state, last = init, None
     for row in table.itertuples(index=False):
         if row.header_id == last:
             continue  # delivered again
@@ -204,17 +211,14 @@ def _walk(table: pd.DataFrame, init: dict | None, unknown: tuple = (None, None))
             continue
         state, changes = advance(state, attrs, unknown)
         names = follow(names, state, changes)
-        mark = fingerprint(state)
-        version += mark != seen
-        seen = mark
-        yield row, state, changes, version, mark, names
+        yield row, state, changes, names
 
 
-def drift(df: DataFrame, *, device: str = "device_id", file_no: str = "file_no", header: str = "header_id", attrs: str = "attrs_json", target: int = 20_000) -> DataFrame:
+def drift(df: DataFrame, *, changes_only: bool = False, device: str = "device_id", file_no: str = "file_no", header: str = "header_id", attrs: str = "attrs_json", target: int = 20_000) -> DataFrame:
     """Changes, schema version and migrated attributes of every file.
 
     One row a header: device_id, header_id, file_no, changes (array of attr,
-    change, earlier name), version, fingerprint, the migrated columns,
+    change, earlier name) and, unless ``changes_only``, fingerprint, version, the migrated columns,
     ``extras`` (other attributes as JSON) and ``collisions`` (attributes kept in
     ``extras`` under their own name, and the taken name they'd have been given).  Files are taken by file_no, equal
     ones by header id; headers delivered twice come out once.  Headers with a
@@ -254,7 +258,7 @@ def drift(df: DataFrame, *, device: str = "device_id", file_no: str = "file_no",
             steps = list(_walk(table, json.loads(init) if isinstance(init, str) else None))
             if steps:
                 yield pa.RecordBatch.from_pydict(
-                    {"device_id": [int(table.device_id[0])], "block": pa.array([int(table.block[0])], pa.int32()), "names": [json.dumps(steps[-1][5])]}
+                    {"device_id": [int(table.device_id[0])], "block": pa.array([int(table.block[0])], pa.int32()), "names": [json.dumps(steps[-1][3])]}
                 )
 
     def hand_on_names(frame: pd.DataFrame) -> pd.DataFrame:
@@ -266,18 +270,22 @@ def drift(df: DataFrame, *, device: str = "device_id", file_no: str = "file_no",
 
     cut = rows.filter("block > 0").select("device_id").distinct().checkpoint()
     if cut.isEmpty():
-        rows = rows.withColumn("init", F.lit(None).cast("string")).withColumn("earlier", F.lit(None).cast("string"))
+        rows = rows.withColumn("init", F.lit(None).cast("string"))
     else:
         sums = rows.join(broadcast_checked(cut), "device_id", "left_semi").repartition("device_id", "block").sortWithinPartitions(*order)
         sums = sums.mapInArrow(summarise, "device_id long, block int, summary string")
         inits = sums.groupBy("device_id").applyInPandas(hand_on, "device_id long, block int, init string").checkpoint()
         rows = rows.join(broadcast_checked(inits), ["device_id", "block"], "left")
+    if cut.isEmpty() or changes_only:
+        rows = rows.withColumn("earlier", F.lit(None).cast("string"))
+    else:
         names = rows.join(broadcast_checked(cut), "device_id", "left_semi").repartition("device_id", "block").sortWithinPartitions(*order)
         names = names.mapInArrow(relate, "device_id long, block int, names string")
         earlier = names.groupBy("device_id").applyInPandas(hand_on_names, "device_id long, block int, earlier string").checkpoint()
         rows = rows.join(broadcast_checked(earlier), ["device_id", "block"], "left")
 
-    arrow = pa.schema([(n, t) for n, _, t in _COLUMNS])
+    columns = [c for c in _COLUMNS if not changes_only or c[0] in ("device_id", "block", "header_id", "file_no", "changes")]
+    arrow = pa.schema([(n, t) for n, _, t in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[dict] = []
@@ -286,11 +294,14 @@ def drift(df: DataFrame, *, device: str = "device_id", file_no: str = "file_no",
             init, known = table["init"][0], table["earlier"][0]
             known = json.loads(known) if isinstance(known, str) else {}
             held, found = None, {}
-            for row, state, changes, version, mark, names in _walk(table, json.loads(init) if isinstance(init, str) else None):
-                if names is not held:
-                    held, found = names, _unknown(_known(names, known))
+            for row, state, changes, names in _walk(table, json.loads(init) if isinstance(init, str) else None):
                 named = [{"attr": a, "change": c, "earlier": e} for a, c, e in changes]
-                out.append({"device_id": row.device_id, "block": row.block, "header_id": row.header_id, "file_no": row.file_no, "changes": named, "version": version, "fingerprint": mark, **migrate(state, found)})
+                made = {"device_id": row.device_id, "block": row.block, "header_id": row.header_id, "file_no": row.file_no, "changes": named}
+                if not changes_only:
+                    if names is not held:
+                        held, found = names, _unknown(_known(names, known))
+                    made |= {"fingerprint": fingerprint(state), **migrate(state, found)}
+                out.append(made)
             if len(out) > 5000:
                 yield from pa.Table.from_pylist(out, arrow).to_batches()
                 out = []
@@ -298,10 +309,11 @@ def drift(df: DataFrame, *, device: str = "device_id", file_no: str = "file_no",
             yield from pa.Table.from_pylist(out, arrow).to_batches()
 
     placed = rows.repartition("device_id", "block").sortWithinPartitions(*order)
-    found = placed.mapInArrow(run, ", ".join(f"{n} {t}" for n, t, _ in _COLUMNS))
-    if not cut.isEmpty():  # versions of a block go on from those before it
-        before = Window.partitionBy("device_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-        steps = found.groupBy("device_id", "block").agg(F.max("version").alias("n"))
-        steps = steps.select("device_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-        found = found.join(steps, ["device_id", "block"]).withColumn("version", (F.col("version") + F.col("offset")).cast("int")).drop("offset")
-    return found.drop("block")
+    found = placed.mapInArrow(run, ", ".join(f"{n} {t}" for n, t, _ in columns)).drop("block")
+    if changes_only:
+        return found
+    found = found.checkpoint()
+    versions = found.groupBy("device_id", "fingerprint").agg(F.min(F.struct("file_no", "header_id")).alias("first"))
+    number = F.row_number().over(Window.partitionBy("device_id").orderBy("first"))  # one row a schema
+    versions = versions.select("device_id", "fingerprint", number.alias("version")).checkpoint()
+    return found.join(broadcast_checked(versions), ["device_id", "fingerprint"])

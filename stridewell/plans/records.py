@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import compaction, drift, grid, intervals, spikes, timestamps, units
+from ..operators import compaction, drift, grid, intervals, pairs, spikes, timestamps, units
+from ..session import ensure_checkpoint_dir
 from ..tables import table
 
 MINUTE_NS = 60_000_000_000
@@ -53,10 +56,23 @@ def p4_instants(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    starts = p4_instants(spark, folder).filter("instant_us IS NOT NULL").select("acq_id", "instant_us").distinct()
-    a = starts.withColumnRenamed("acq_id", "acq_id_a")
-    b = starts.withColumnRenamed("acq_id", "acq_id_b")
-    return a.join(b, "instant_us").filter("acq_id_a < acq_id_b").select("acq_id_a", "acq_id_b").distinct()
+    return pairs.class_pairs(p4_instants(spark, folder).filter("instant_us IS NOT NULL"), "instant_us", "acq_id")
+
+
+def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Acquisitions that share their start: the first one and the number of the others."""
+    return pairs.class_members(p4_instants(spark, folder).filter("instant_us IS NOT NULL"), ["instant_us"], "acq_id")
+
+
+def p4_from_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Dates with slashes when nobody says whether day or month comes first: the path over
+    each instrument's record order decides."""
+    headers = table(spark, folder, "acq_headers").select(
+        "acq_id", "instrument", F.coalesce(F.when(F.trim("metadata_timestamp") != "", F.col("metadata_timestamp")), "header_time").alias("start"),
+        F.unix_micros(F.col("received_ts").cast("timestamp")).alias("arrival"), F.lit(None).cast("string").alias("tz"), F.lit(None).cast("string").alias("date_order"),
+    ).filter("acq_id IS NOT NULL")
+    found = timestamps.normalise(headers, "acq_id", "instrument", "start", "arrival")
+    return found.filter("notation LIKE 'slash%'")
 
 
 def p6_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,7 +81,7 @@ def p6_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = drift.drift(table(spark, folder, "zone_headers"))
+    found = drift.drift(table(spark, folder, "zone_headers"), changes_only=True)
     return found.select("device_id", "header_id", F.explode("changes").alias("c")).select("device_id", "header_id", "c.attr", "c.change")
 
 
@@ -83,23 +99,43 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_flags(spark, folder).select("tbl", "row_id", "pos")
 
 
-def p5_manifest(spark: SparkSession, folder: str) -> DataFrame:
+def _manifest(spark: SparkSession, folder: str) -> DataFrame:
     return compaction.manifest(table(spark, folder, "file_list"), table(spark, folder, "file_rows"))
 
 
+def p5_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return _manifest(spark, folder).drop("sum_a", "xor_b")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of files with the same records: the manifest's classes, spelled out."""
-    classed = p5_manifest(spark, folder).filter("kept_as IS NOT NULL").select("file_id", "kept_as")
-    a = classed.withColumnRenamed("file_id", "file_id_a")
-    b = classed.withColumnRenamed("file_id", "file_id_b")
-    return a.join(b, "kept_as").filter("file_id_a < file_id_b").select("file_id_a", "file_id_b")
+    return pairs.class_pairs(_manifest(spark, folder), "kept_as", "file_id")
+
+
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that are kept more than once: the one that stays and the number of the others."""
+    return pairs.class_members(_manifest(spark, folder), ["kept_as"], "file_id")
+
+
+def p5_plan(spark: SparkSession, folder: str) -> DataFrame:
+    """The output file of every file that stays."""
+    return compaction.plan(_manifest(spark, folder)).select("file_id", "out_file", "records")
+
+
+def _consolidated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The plan, and the output files as written and read back."""
+    rows = table(spark, folder, "file_rows")
+    planned = compaction.plan(_manifest(spark, folder)).checkpoint()
+    place = f"{ensure_checkpoint_dir(spark)}/consolidated-{uuid.uuid4().hex}"
+    compaction.write(rows, planned, place)
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("time__ns", "distance__i", "value")}
+    schema = f"file_id long, {', '.join(f'{c} {k}' for c, k in kinds.items())}, out_file long"
+    return planned, spark.read.schema(schema).parquet(place)
 
 
 def p5_records(spark: SparkSession, folder: str) -> DataFrame:
-    return compaction.rewrite(table(spark, folder, "file_rows"), compaction.plan(p5_manifest(spark, folder)))
+    return _consolidated(spark, folder)[1].select("out_file", "file_id", "time__ns", "distance__i", "value")
 
 
 def p5_reconcile(spark: SparkSession, folder: str) -> DataFrame:
-    frozen = p5_manifest(spark, folder)
-    planned = compaction.plan(frozen)
-    return compaction.reconcile(frozen, planned, compaction.rewrite(table(spark, folder, "file_rows"), planned))
+    return compaction.reconcile(*_consolidated(spark, folder))

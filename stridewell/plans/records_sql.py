@@ -59,15 +59,30 @@ ordered AS (
   SELECT k.file_id, k.records, coalesce(min(epoch_us(l.mtime)), 0) AS arrived FROM kept k LEFT JOIN file_list l USING (file_id)
   WHERE k.kept_as = k.file_id GROUP BY ALL),
 plan AS (
-  SELECT file_id, records, (coalesce(sum(records * 24) OVER (ORDER BY arrived, file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 4000000)::BIGINT AS out_file
+  SELECT file_id, records, (coalesce(sum(records * 24) OVER (ORDER BY arrived, file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 134217728)::BIGINT AS out_file
   FROM ordered)
 """
 
 P5_RECORDS = _PLAN + "SELECT out_file, r.file_id, time__ns, distance__i, value FROM recs r JOIN plan USING (file_id)"
 
+P5_CLASSES = _KEPT + """
+SELECT file_id, kept_as AS representative, n - 1 AS links FROM (SELECT *, count(*) OVER (PARTITION BY kept_as) AS n FROM kept) WHERE n > 1
+"""
+
+P5_PLAN = _PLAN + "SELECT file_id, out_file, records FROM plan"
+
+P5_MANIFEST = _KEPT + r""",
+listed AS (
+  SELECT file_id, mtime, regexp_replace(regexp_replace(regexp_replace(path, '^[a-z][a-z0-9+]*://+', '/'), '/(\./)+', '/', 'g'), '/{2,}', '/', 'g') AS path, n_records
+  FROM file_list WHERE file_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY mtime NULLS FIRST, path NULLS FIRST, n_records NULLS FIRST) = 1)
+SELECT file_id, mtime, path, n_records AS listed_records, coalesce(records, 0) AS records, kept_as, coalesce(records, 0) * 24 AS bytes
+FROM listed FULL JOIN kept USING (file_id)
+"""
+
 P5_RECONCILE = _PLAN + """
 SELECT out_file, count(*) AS files, sum(records)::BIGINT AS planned_records, sum(records)::BIGINT AS written_records,
-  (sum(records) * 24)::BIGINT AS bytes, true AS agrees
+  (sum(records) * 24)::BIGINT AS bytes,
+  (SELECT count(*) FROM recs WHERE file_id IN (SELECT file_id FROM kept WHERE kept_as = file_id)) = (SELECT sum(records) FROM plan) AS agrees
 FROM plan GROUP BY out_file
 """
 

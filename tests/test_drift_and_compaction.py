@@ -1,9 +1,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from stridewell.operators import compaction
 from stridewell.operators.drift import advance, drift, migrate
+from stridewell.operators.pairs import class_members, class_pairs
 
 DRIFT = "device_id long, file_no long, header_id long, attrs_json string, block int, init string, version int"
 
@@ -43,6 +45,8 @@ def test_migration_steps_chain():
     row = migrate(state)
     assert row["block_rate"] == 250.5 and row["origin"] == 1.5 and row["extent"] == [3.0, 9.0] and row["firmware"] == "7" and row["gauge_length"] is None
     assert row["extras"] == [("Odd", '{"x": 1}')]
+    row = migrate(advance({}, {"origin": [1.5, 2], "FwVersion": ["a", "b"]})[0])
+    assert row["origin"] == 1.5 and row["firmware"] == "a" and dict(row["extras"]) == {"origin": "[1.5, 2]", "FwVersion": '["a", "b"]'}
 
 
 def test_attributes_with_one_target_are_all_kept():
@@ -65,6 +69,17 @@ def test_found_renames_and_defaults_reach_their_columns(spark):
         assert rows[39].extras == {"a": "39"} and rows[40].collisions == {"g2": "GaugeLength"} and rows[42].extras == {"g2": "7", "a": "42"}
 
 
+def test_versions_are_those_of_fingerprints(spark):
+    files = [{"a": 1}, {"a": 2}, {"a": 1, "b": 1}, {"a": "x", "b": 1}, {"a": 1, "b": 2}, {"a": 1}]
+    df = spark.createDataFrame([(d, n, 10 * d + n, json.dumps(f), 0, "x", 0) for d in (1, 2) for n, f in enumerate(files)], DRIFT)
+    for target in (20_000, 2):
+        rows = {r.header_id: r for r in drift(df, target=target).collect()}
+        assert [rows[10 + n].version for n in range(6)] == [1, 1, 2, 3, 2, 1] == [rows[20 + n].version for n in range(6)]
+        assert rows[10].fingerprint == rows[15].fingerprint != rows[12].fingerprint
+        only = {r.header_id: r.changes for r in drift(df, target=target, changes_only=True).collect()}
+        assert only == {h: r.changes for h, r in rows.items()}
+
+
 def test_devices_in_blocks(spark):
     rows, k = [], 0
     for device in range(4):
@@ -112,7 +127,10 @@ def test_nothing_is_lost_or_doubled(spark, tables):
         planned = compaction.plan(frozen, target_bytes=72, block_rows=block_rows)
         written = compaction.rewrite(rows, planned)
         assert written.count() == 3 + 2 + 1 + 1 + 1
-        assert all(r.agrees for r in compaction.reconcile(frozen, planned, written).collect())
+        assert all(r.agrees for r in compaction.reconcile(planned, written).collect())
+        for bad in (written.filter("file_id <> 3"), written.unionByName(written.filter("file_id = 6")), written.withColumn("value", F.expr("value + 1")),
+                    written.withColumn("file_id", F.expr("CASE WHEN file_id = 7 THEN 6 ELSE file_id END"))):
+            assert not all(r.agrees for r in compaction.reconcile(planned, bad).collect())
         assert planned.select("out_file").distinct().count() > 1
     empty = compaction.manifest(listed.limit(0), rows.limit(0))
     assert empty.count() == 0 and compaction.plan(empty).count() == 0
@@ -124,6 +142,21 @@ def test_written_files(spark, tables, tmp_path):
     compaction.write(rows, planned, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 8
+    assert all(r.agrees for r in compaction.reconcile(planned, back).collect())
     assert len(list((tmp_path / "out").glob("*/*.parquet"))) == planned.select("out_file").distinct().count()
 
 
+def test_pairs_of_large_and_small_classes(spark):
+    rows = [(k % 3 if k < 60 else 5, k) for k in range(120)] + [(None, 1), (1, None), (9, 500)] + [(0, 3)] * 2
+    df = spark.createDataFrame(rows, "c long, id long").selectExpr("*", "1 AS x", "'y' AS cls")
+    of = {}
+    for c, i in set(rows):
+        if c is not None and i is not None:
+            of.setdefault(c, set()).add(i)
+    want = {(a, b) for s in of.values() for a in s for b in s if a < b}
+    for size in (1000, 7):
+        got = class_pairs(df, "c", "id", rows=size).collect()
+        assert len(got) == len(want) and {(r.id_a, r.id_b) for r in got} == want
+    members = {(r.id, r.representative, r.links) for r in class_members(df, ["c"], "id").collect()}
+    assert members == {(i, min(s), len(s) - 1) for s in of.values() if len(s) > 1 for i in s}
+    assert class_pairs(df.limit(0), "c", "id").count() == class_members(df.limit(0), ["c"], "id").count() == 0

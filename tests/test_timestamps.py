@@ -94,3 +94,35 @@ def test_frames(spark):
     assert (1000, us(2023, 1, 1)) in plain and (1001, None) in plain and (1002, None) in plain and (1003, us(2023, 1, 1)) in plain
     assert {(r.id, r.instant_us) for r in normalise(df, "id", "source", "text", "arrival", target=50, halo=20).collect()} == plain
     assert normalise(df.limit(0), "id", "source", "text", "arrival").count() == 0
+
+
+def test_the_path_decides_where_nothing_is_stated(spark):
+    texts = ["01/25/2023 00:00:00", "02/03/2023 00:00:00", "02/25/2023 00:00:00"]
+    readings = [candidates(t, None, None) for t in texts]
+    chosen = [r[k][1] for r, k in zip(readings, viterbi(readings))]
+    alone = [min(r, key=lambda c: c[2])[1] for r in readings]
+    assert chosen[1] == us(2023, 2, 3) and alone[1] == us(2023, 3, 2)
+    rows = [(k, "s", t, k, None, None) for k, t in enumerate(texts)] + [(9, "t", texts[1], 0, None, None)]
+    df = spark.createDataFrame(rows, "id long, source string, text string, at long, tz string, date_order string")
+    got = {r.id: (r.notation, r.instant_us) for r in normalise(df, "id", "source", "text", "at", zone="tz").collect()}
+    assert got[1] == ("slash mdy", us(2023, 2, 3)) and got[9] == ("slash dmy", us(2023, 3, 2))
+
+
+def test_viterbi_is_the_cheapest_of_all_paths():
+    import itertools
+    import random
+
+    from stridewell.operators.timestamps import BACKWARD_COST, SWITCH_COST
+
+    rng = random.Random(3)
+    for _ in range(60):
+        readings = [[(rng.choice("ab"), rng.randrange(9), rng.choice([0.0, 0.5, 1.0, 2.0])) for _ in range(rng.choice([0, 1, 2, 3]))] for _ in range(6)]
+        held = [r for r in readings if r]
+
+        def cost(path):
+            steps = sum((a[0] != b[0]) * SWITCH_COST + (b[1] < a[1]) * BACKWARD_COST for a, b in zip(path, path[1:]))
+            return steps + sum(c for _, _, c in path)
+
+        got = [r[k] for r, k in zip(readings, viterbi(readings)) if k >= 0]
+        assert len(got) == len(held)
+        assert not held or abs(cost(got) - min(map(cost, itertools.product(*held)))) < 1e-9
