@@ -61,7 +61,7 @@ def manifest(file_list: DataFrame, file_rows: DataFrame) -> DataFrame:
         F.min(F.struct("mtime", tidy_path(F.col("path")).alias("path"), F.col("n_records").alias("n"))).alias("f")
     )
     listed = listed.select("file_id", "f.mtime", "f.path", F.col("f.n").alias("listed_records"))
-    marks = fingerprints(file_rows)
+    marks = fingerprints(file_rows).checkpoint()  # one row a file, used twice
     # a class of copies may hold any share of the files: its join key is salted
     salt = F.expr(f"cast(pmod(xxhash64(file_id), {SALTS}) as int)")
     first = marks.groupBy("records", "sum_a", "xor_b").agg(F.min("file_id").alias("kept_as"), F.collect_set(salt).alias("salts"))
