@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from .blocks import time_blocks
 
 
+#: Slots of a gap that are written from one row.
+PIECE_SLOTS = 8192
+
+
 def _floor_div(x: str, by: str) -> str:
     return f"(({x}) - pmod({x}, {by})) div ({by})"
 
@@ -71,9 +75,10 @@ def regular_grid(observed: DataFrame, key: str, slot_ns: int, *, gap_limit_ns: i
     after = heads.select(key, "block", F.lead("head").over(Window.partitionBy(key).orderBy("block")).alias("after"))
     rows = rows.join(after, [key, "block"]).withColumn("next", F.coalesce("next", "after"))
     limit = f"AND next.first.t - last.t <= {gap_limit_ns}" if gap_limit_ns is not None else ""
-    slots = rows.select(
-        key, "slot", "first", "last", "next", F.expr("explode(CASE WHEN next IS NULL THEN array(slot) ELSE sequence(slot, next.slot - 1) END)").alias("g")
-    )
+    # a long gap is cut in pieces first, so that no row holds all its slots
+    piece = f"explode(CASE WHEN next IS NULL THEN array(slot) ELSE sequence(slot, next.slot - 1, {PIECE_SLOTS}L) END)"
+    pieces = rows.select(key, "slot", "first", "last", "next", F.expr(piece).alias("g0"))
+    slots = pieces.select(key, "slot", "first", "last", "next", F.expr(f"explode(sequence(g0, least(g0 + {PIECE_SLOTS - 1}L, coalesce(next.slot - 1, slot))))").alias("g"))
     share = f"(g * {slot_ns} - last.t) / (next.first.t - last.t)"
     return slots.select(
         F.col(key).alias(name), F.col("g").alias("slot"),

@@ -22,9 +22,10 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_grid(spark: SparkSession, folder: str) -> DataFrame:
     """The sample number of each series on whole minutes; gaps up to ten minutes filled."""
+    ensure_checkpoint_dir(spark)
     runs = intervals.coverage(table(spark, folder, "segments")).select(
         "series_id", F.col("tie_values").alias("start"), F.col("tie_lengths").alias("n"), "step", F.coalesce("i0", F.lit(0)).alias("value0")
-    )
+    ).checkpoint()  # read once for the sizes of series and once or twice for their slots
     seen = grid.observed_slots(runs, "series_id", MINUTE_NS)
     slots = grid.regular_grid(seen, "series_id", MINUTE_NS, gap_limit_ns=10 * MINUTE_NS)
     return slots.select("series_id", (F.col("slot") * 60).alias("slot"), "status", "value")
