@@ -77,30 +77,36 @@ class Coordinate:
             raise IndexError(f"index {i} out of {self.size}")
         return min(max(i, 0), self.size)
 
+    def at(self, i: int):
+        return as_label(self.label(np.array([i]))[0])
+
+    def _below(self, x, with_equal: bool = False) -> int:
+        """How many labels lie below x (or at it): halving the index, without listing labels."""
+        lo, hi = 0, self.size
+        while lo < hi:
+            mid = (lo + hi) // 2
+            v = self.at(mid)
+            if v < x or (with_equal and v == x):
+                lo = mid + 1
+            else:
+                hi = mid
+        return lo
+
     def indexer(self, label, method: str | None = None) -> int:
-        """Place of a label: exact (None), nearest, ffill or bfill; KeyError if there is none."""
-        labels = self.values()
+        """Place of a label: exact (None), nearest (the earlier of two), ffill or bfill; KeyError if there is none."""
+        if method not in (None, "nearest", "ffill", "bfill"):
+            raise ValueError(f"method must be nearest, ffill or bfill, not {method}")
         x = parse_label(label, self.is_time)
         if not self.monotonic():
             raise NotImplementedError("labels overlap; split at overlaps first")
-        if method is None:
-            at = int(np.searchsorted(labels, x))
-            if at < len(labels) and labels[at] == x:
-                return at
-            raise KeyError(label)
+        at = self._below(x, method == "ffill")
         if method == "ffill":
-            at = int(np.searchsorted(labels, x, "right")) - 1
-        elif method == "bfill":
-            at = int(np.searchsorted(labels, x))
-        elif method == "nearest":
-            at = int(np.clip(np.searchsorted(labels, x), 1, max(1, len(labels) - 1)))
-            if len(labels) == 1:
-                return 0
-            at -= x - labels[at - 1] <= labels[at] - x
-            return int(np.clip(at, 0, len(labels) - 1))
-        else:
-            raise ValueError(f"method must be nearest, ffill or bfill, not {method}")
-        if not 0 <= at < len(labels):
+            at -= 1
+        elif method == "nearest" and self.size:
+            at = min(max(at, 1), self.size - 1)
+            if at and x - self.at(at - 1) <= self.at(at) - x:
+                at -= 1
+        if not 0 <= at < self.size or (method is None and self.at(at) != x):
             raise KeyError(label)
         return at
 
@@ -168,10 +174,22 @@ class Coordinate:
         return pd.DataFrame({"start_index": lo, "end_index": hi, "start_value": a, "end_value": b, "delta": b - a, "type": "data"})
 
     def take(self, indexes) -> Coordinate:
-        return Dense(self.values()[np.asarray(indexes, int)], self.dim, self.is_time)
+        return Dense(self.label(np.asarray(indexes, int)), self.dim, self.is_time)
+
+    def turns(self) -> np.ndarray:
+        """First and last index of each stretch in which labels rise evenly."""
+        return np.arange(self.size)
 
     def equals(self, other) -> bool:
-        return isinstance(other, Coordinate) and self.dim == other.dim and self.size == other.size and bool(np.array_equal(self.values(), other.values()))
+        """Same dim and labels, whatever the descriptors: between the turns of both, both rise evenly."""
+        if not isinstance(other, Coordinate) or (self.dim, self.size) != (other.dim, other.size):
+            return False
+        at = np.union1d(self.turns(), other.turns()).astype(np.int64)
+        return bool(np.array_equal(self.label(at), other.label(at)))
+
+    def pieces(self, most: int = 0) -> list[tuple] | None:
+        """(first index, index after the last, label at the first, step) of each stretch, if there are more than ``most``."""
+        return None
 
     def expr(self, index: SparkColumn) -> SparkColumn:
         """Label of an index column."""
@@ -212,11 +230,21 @@ class Default(Coordinate):
     def expr(self, index):
         return index
 
+    def turns(self):
+        return np.array([0, self.size - 1] if self.size else [], np.int64)
+
+    def monotonic(self):
+        return True
+
     def sampling_interval(self, cast=True):
         return 1
 
     def indexer(self, label, method=None):
-        return int(label)
+        """A place is its own label; negative ones count from the end."""
+        at = int(label) + (self.size if label < 0 else 0)
+        if not 0 <= at < self.size:
+            raise KeyError(label)
+        return at
 
     def slice_indexer(self, start=None, stop=None, endpoint=True):
         return slice(*slice(start, stop).indices(self.size)[:2])
@@ -296,6 +324,12 @@ class Dense(Coordinate):
         values = F.array(*[F.lit(as_label(v)) for v in self.data])
         return F.get(values, index.cast("int"))
 
+    def pieces(self, most=0):
+        if self.size <= max(most, 1000):
+            return None
+        labels = self.data.tolist()
+        return [(i, i + 1, v, 0 if isinstance(v, int) else "" if isinstance(v, str) else 0.0) for i, v in enumerate(labels)]
+
     def to_dict(self):
         return {"kind": self.kind, "data": self.data.tolist(), "dim": self.dim, "time": self.time}
 
@@ -338,6 +372,16 @@ class Interp(Coordinate):
     def monotonic(self):
         return bool(np.all(np.diff(self.tie_values) > 0))
 
+    def turns(self):
+        return self.tie_indices
+
+    def pieces(self, most=0):
+        if len(self.tie_indices) <= max(most, 1):
+            return None
+        made = [(i0, i1, v0, (v1 - v0) / (i1 - i0)) for i0, i1, v0, v1 in self.segments()]
+        last = as_label(self.tie_values[-1])
+        return [*made, (int(self.tie_indices[-1]), int(self.tie_indices[-1]) + 1, last, 0.0)]
+
     def sampling_interval(self, cast=True):
         di, dv = np.diff(self.tie_indices), np.diff(self.tie_values)
         keep = di != 1 if np.any(di != 1) else np.ones(len(di), bool)
@@ -468,6 +512,15 @@ class Sampled(Coordinate):
     def monotonic(self):
         return bool(np.all(self.jumps() > -self.step)) if len(self.tie_values) > 1 else True
 
+    def turns(self):
+        return np.union1d(self.offsets, self.offsets + self.tie_lengths - 1)
+
+    def pieces(self, most=0):
+        if len(self.tie_values) <= max(most, 1):
+            return None
+        kind = type(as_label(self.tie_values[0]))
+        return [(int(o), int(o + n), as_label(v), kind(self.step)) for o, n, v in zip(self.offsets, self.tie_lengths, self.tie_values)]
+
     def ties(self):
         return self.offsets[1:]
 

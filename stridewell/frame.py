@@ -21,15 +21,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import coords as C
+from .operators.blocks import BROADCAST_ROWS
 
 NAN = float("nan")
+#: Pieces of a coordinate up to which its labels are written out as an expression; above, they are joined.
+WRITTEN_PIECES = 32
+#: Rows of the smaller side of an outer product up to which it goes along with every row of the other.
+OUTER_ROWS = 100_000
+# Bytes of an item.
+ITEM_BYTES = {"double": 8, "bigint": 8, "float": 4, "int": 4, "smallint": 2, "tinyint": 1, "boolean": 1}
 
 
 def idx(dim: str) -> str:
     return f"{dim}__i"
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class LabeledFrame:
     df: DataFrame
     dims: tuple[str, ...]
@@ -85,6 +92,18 @@ class LabeledFrame:
     def empty(self) -> bool:
         return self.df.isEmpty()
 
+    @property
+    def nbytes(self) -> int:
+        """Bytes of the dense array."""
+        return math.prod(self.shape) * ITEM_BYTES.get(self.dtype, 8)
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.to_numpy()
+
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:
+        return self.to_numpy().astype(dtype) if dtype is not None else self.to_numpy()
+
     def _with(self, df: DataFrame, **changes) -> LabeledFrame:
         return replace(self, df=df, **changes)
 
@@ -95,7 +114,7 @@ class LabeledFrame:
             if isinstance(c, C.Column):
                 df = df.withColumnRenamed(c.column, name) if c.column != name else df
             elif not (isinstance(c, C.Default)):
-                df = df.withColumn(name, c.expr(F.col(idx(c.dim)) if c.dim else None))
+                df = with_label(df, c, name)
         return df
 
     def describe(self) -> dict:
@@ -279,7 +298,7 @@ class LabeledFrame:
             return self._with(self.df.filter(keep).withColumn(idx(dim), shift), coords=rest | moved, extents=self.extents | {dim: len(r)})
         at = [int(k) + (n if k < 0 else 0) for k in at]
         wanted = self.df.sparkSession.createDataFrame(list(enumerate(at)), "new long, old long")
-        df = self.df.join(F.broadcast(wanted), i == F.col("old")).drop("old", idx(dim)).withColumnRenamed("new", idx(dim))
+        df = self.df.join(F.broadcast(wanted) if len(at) <= BROADCAST_ROWS else wanted, i == F.col("old")).drop("old", idx(dim)).withColumnRenamed("new", idx(dim))
         moved = {k: c if isinstance(c, C.Column) else c.take(at) for k, c in along.items()}
         return self._with(df, coords=rest | moved, extents=self.extents | {dim: len(at)})
 
@@ -321,7 +340,13 @@ class LabeledFrame:
             moved = piece if moved is None else moved.concat(piece)
             offset += hi - lo
         name = next(k for k, v in self.coords.items() if v is c)
-        others = {k: v.take([i for lo, hi in parts for i in range(lo, hi)]) for k, v in self.coords.items() if v.dim == c.dim and v is not c}
+        others = {}
+        for k, v in self.coords.items():
+            if v.dim == c.dim and v is not c:
+                pieces = [v.slice(slice(lo, hi)) for lo, hi in parts] or [v.slice(slice(0, 0))]
+                others[k] = pieces[0]
+                for piece in pieces[1:]:
+                    others[k] = others[k].concat(piece)
         df = self.df.filter(keep).withColumn(idx(c.dim), new)
         return self._with(df, coords=self.coords | others | {name: moved or c.slice(slice(0, 0))}, extents=self.extents | {c.dim: offset})
 
@@ -379,7 +404,7 @@ class LabeledFrame:
         if isinstance(c, C.Column):
             return self.df.select(idx(c.dim), F.col(c.column).alias(name)).distinct()
         rows = self.df.sparkSession.range(c.size).select(F.col("id").alias(idx(c.dim)))
-        return rows.withColumn(name, c.expr(F.col(idx(c.dim))))
+        return with_label(rows, c, name)
 
     # -- element-wise --------------------------------------------------------------
     def apply(self, f: Callable[[SparkColumn], SparkColumn]) -> LabeledFrame:
@@ -392,9 +417,25 @@ class LabeledFrame:
     def __mul__(self, o): return binary(lambda a, b: a * b, self, o)
     def __rmul__(self, o): return binary(lambda a, b: b * a, self, o)
     def __truediv__(self, o): return binary(divide, self, o)
-    def __floordiv__(self, o): return binary(lambda a, b: F.floor(divide(a, b)).cast("double"), self, o)
-    def __mod__(self, o): return binary(lambda a, b: a - b * F.floor(divide(a, b)), self, o)
+    def __rtruediv__(self, o): return binary(lambda a, b: divide(b, a), self, o)
+    def __floordiv__(self, o): return binary(_named("floor_divide"), self, o)
+    def __rfloordiv__(self, o): return binary(_named("floor_divide", True), self, o)
+    def __mod__(self, o): return binary(_named("mod"), self, o)
+    def __rmod__(self, o): return binary(_named("mod", True), self, o)
     def __pow__(self, o): return binary(lambda a, b: F.pow(a, b), self, o)
+    def __rpow__(self, o): return binary(lambda a, b: F.pow(b, a), self, o)
+    def __and__(self, o): return binary(_either("&", "bitwise_and"), self, o)
+    def __or__(self, o): return binary(_either("|", "bitwise_or"), self, o)
+    def __xor__(self, o): return binary(_either("^", "bitwise_xor"), self, o)
+    __rand__, __ror__, __rxor__ = __and__, __or__, __xor__
+    def __invert__(self): return self.apply((lambda x: ~x) if self.dtype == "boolean" else F.bitwise_not)
+    def __lshift__(self, o): return binary(_named("left_shift"), self, o)
+    def __rshift__(self, o): return binary(_named("right_shift"), self, o)
+    def __eq__(self, o): return binary(_named("equal"), self, o)
+    def __ne__(self, o): return binary(_named("not_equal"), self, o)
+    __hash__ = object.__hash__
+    def __pos__(self): return self.apply(lambda x: x)
+    def __divmod__(self, o): return self // o, self % o
     def __neg__(self): return self.apply(lambda x: -x)
     def __abs__(self): return self.apply(F.abs)
     def __lt__(self, o): return binary(lambda a, b: ~F.isnan(a) & ~F.isnan(b) & (a < b), self, o)
@@ -416,6 +457,49 @@ class LabeledFrame:
         raise AttributeError(name)
 
 
+def _named(name: str, turned: bool = False) -> Callable:
+    """An element-wise function by name, its arguments as they are or turned round."""
+    def call(a, b):
+        from .functions.elementwise import BINARY
+
+        return BINARY[name](b, a) if turned else BINARY[name](a, b)
+
+    return call
+
+
+def _either(sign: str, bitwise: str) -> Callable:
+    """A logical operator on conditions, a bitwise one on whole numbers."""
+    def call(a, b, logical=False):
+        if not logical:
+            return _named(bitwise)(a, b)
+        return a & b if sign == "&" else a | b if sign == "|" else a != b
+
+    call.on_conditions = lambda a, b: call(a, b, True)
+    return call
+
+
+def with_label(df: DataFrame, c: C.Coordinate, name: str) -> DataFrame:
+    """Add the labels of a coordinate; long descriptors are joined on parts of the index."""
+    pieces = None if c.dim is None else c.pieces(WRITTEN_PIECES)
+    if pieces is None:
+        return df.withColumn(name, c.expr(F.col(idx(c.dim)) if c.dim else None))
+    width = max(1, c.size // (4 * len(pieces)))
+    rows = [(part, *p) for p in pieces for part in range(p[0] // width, (p[1] - 1) // width + 1)]  # some five a piece
+    kind = "string" if isinstance(pieces[0][2], str) else "long" if isinstance(pieces[0][2], int) else "double"
+    step = "double" if isinstance(c, C.Interp) else kind
+    table = df.sparkSession.createDataFrame(rows, f"__part long, __i0 long, __i1 long, __v0 {kind}, __step {step}")
+    table = F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
+    i = F.col(idx(c.dim))
+    on = (F.expr(f"`{idx(c.dim)}` div {width}") == F.col("__part")) & (i >= F.col("__i0")) & (i < F.col("__i1"))
+    joined = df.join(table, on, "left")
+    if kind == "string":
+        label = F.col("__v0")
+    else:
+        moved = (i - F.col("__i0")) * F.col("__step")
+        label = F.col("__v0") + (F.round(moved).cast("long") if isinstance(c, C.Interp) and c.time else moved)
+    return joined.withColumn(name, label).drop("__part", "__i0", "__i1", "__v0", "__step")
+
+
 class _Loc:
     def __init__(self, frame: LabeledFrame):
         self.frame = frame
@@ -445,10 +529,10 @@ def binary(f: Callable, a: LabeledFrame, b, where: SparkColumn | None = None) ->
     Without a shared dim the smaller one must be a single value (a full
     reduction), which is joined as a constant.
     """
+    f = getattr(f, "on_conditions", f) if a.dtype == "boolean" else f
     if not isinstance(b, LabeledFrame):
         other = F.lit(b)
-        out = a.apply(lambda x: f(x, other))
-        return out
+        return a.apply(lambda x: f(x, other))
     dims = align(a, b)
     shared = [idx(d) for d in a.dims if d in b.dims]
     left = a.df.select(*[idx(d) for d in a.dims], F.col(a.value).alias("__a"))
@@ -465,9 +549,17 @@ def binary(f: Callable, a: LabeledFrame, b, where: SparkColumn | None = None) ->
     return LabeledFrame(df, dims, coords, extents=b.extents | a.extents)
 
 
-def _outer(left: DataFrame, right: DataFrame, parts: int = 8) -> DataFrame:
-    """Every cell with every cell: both sides are cut into parts and each pair of
-    parts is one key of an ordinary equi-join."""
+def _outer(left: DataFrame, right: DataFrame, parts: int = 64) -> DataFrame:
+    """Every cell with every cell, which is what an outer product is.
+
+    A side that is counted to be small goes along as one list; else both
+    sides are cut into parts and each pair of parts is one key of an equi-join.
+    """
+    for many, few in ((left, right), (right, left)):
+        if few.limit(OUTER_ROWS + 1).count() <= OUTER_ROWS:
+            held = few.agg(F.collect_list(F.struct(*few.columns)).alias("__few")).withColumn("__k", F.lit(0))  # one bounded row
+            both = many.withColumn("__k", F.lit(0)).join(F.broadcast(held), "__k")
+            return both.select(*many.columns, F.explode("__few").alias("__f")).select(*many.columns, *[F.col(f"__f.{c}").alias(c) for c in few.columns])
     each = F.explode(F.expr(f"sequence(0, {parts - 1})"))
     cut = lambda df: F.expr(f"cast(pmod(xxhash64({', '.join(f'`{c}`' for c in df.columns)}), {parts}) as int)")
     a = left.withColumn("__p", cut(left)).withColumn("__q", each)

@@ -21,8 +21,33 @@ def _log(f: Callable[[Column], Column], at_zero: float = -math.inf, low: float =
     return lambda x: F.when(F.isnan(x) | (x < low), F.lit(NAN)).when(x == low, F.lit(at_zero)).otherwise(f(x))
 
 
-def fix(x: Column) -> Column:
-    return F.when(x >= 0, F.floor(x)).otherwise(F.ceil(x)).cast("double")
+def whole(f: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """Rounding to whole numbers as doubles: NaN, infinities and what has no digits after the point stay."""
+    return lambda x: F.when(F.isnan(x) | (F.abs(x) >= 2.0**53), x.cast("double")).otherwise(f(x).cast("double"))
+
+
+floor, ceil = whole(F.floor), whole(F.ceil)
+fix = whole(lambda x: F.when(x >= 0, F.floor(x)).otherwise(F.ceil(x)))
+
+
+def mod(a: Column, b: Column) -> Column:
+    """Remainder with the sign of the divisor; NaN of infinities and by zero."""
+    a, b = a.cast("double"), b.cast("double")
+    undefined = F.isnan(a) | F.isnan(b) | (b == 0) | (F.abs(a) == math.inf)
+    rest = a % F.when(b != 0, b)
+    by_infinity = F.when((a == 0) | ((a > 0) == (b > 0)), a).otherwise(b)
+    finite = F.when((rest != 0) & ((rest < 0) != (b < 0)), rest + b).otherwise(rest)
+    return F.when(undefined, F.lit(NAN)).when(F.abs(b) == math.inf, by_infinity).otherwise(finite)
+
+
+def floor_divide(a: Column, b: Column) -> Column:
+    from ..frame import divide
+
+    a, b = a.cast("double"), b.cast("double")
+    undefined = F.isnan(a) | F.isnan(b) | (F.abs(a) == math.inf)
+    exact = (a - mod(a, b)) / F.when(b != 0, b)  # whole but for rounding
+    by_infinity = F.when((a == 0) | ((a > 0) == (b > 0)), F.lit(0.0)).otherwise(F.lit(-1.0))
+    return F.when(b == 0, divide(a, b)).when(undefined, F.lit(NAN)).when(F.abs(b) == math.inf, by_infinity).otherwise(F.rint(exact))
 
 
 def clip(x: Column, lo: float | None = None, hi: float | None = None) -> Column:
@@ -88,10 +113,10 @@ UNARY: dict[str, Callable[[Column], Column]] = {
     "log": _log(F.log), "log2": _log(F.log2), "log10": _log(F.log10), "log1p": _log(F.log1p, low=-1.0),
     "sin": F.sin, "cos": F.cos, "tan": F.tan, "arcsin": F.asin, "arccos": F.acos, "arctan": F.atan, "sinh": F.sinh, "cosh": F.cosh,
     "tanh": F.tanh, "arcsinh": F.asinh, "arccosh": F.acosh, "arctanh": F.atanh, "degrees": F.degrees, "radians": F.radians,
-    "sign": sign, "rint": F.rint, "floor": lambda x: F.floor(x).cast("double"), "ceil": lambda x: F.ceil(x).cast("double"),
+    "sign": sign, "rint": F.rint, "floor": floor, "ceil": ceil,
     "trunc": fix, "fix": fix, "around": lambda x: F.bround(x, 0), "round": lambda x: F.bround(x, 0), "nan_to_num": nan_to_num, "sinc": sinc,
     "isnan": F.isnan, "isinf": lambda x: F.abs(x) == math.inf, "isfinite": lambda x: ~F.isnan(x) & (F.abs(x) != math.inf),
-    "signbit": lambda x: (x < 0) | (x.cast("string") == "-0.0"), "logical_not": lambda x: x == 0, "i0": i0,
+    "signbit": lambda x: (x < 0) | (x.cast("string") == "-0.0"), "logical_not": lambda x: x == 0, "i0": i0, "invert": lambda x: F.bitwise_not(x),
     "reciprocal": lambda x: F.when(x == 0, F.lit(math.inf)).otherwise(1 / F.when(x != 0, x)),
 }
 
@@ -104,19 +129,22 @@ BINARY: dict[str, Callable[[Column, Column], Column]] = {
     "greater": lambda a, b: ~F.isnan(a) & ~F.isnan(b) & (a > b), "less": lambda a, b: ~F.isnan(a) & ~F.isnan(b) & (a < b),
     "equal": lambda a, b: ~F.isnan(a) & ~F.isnan(b) & (a == b), "not_equal": lambda a, b: F.isnan(a) | F.isnan(b) | (a != b),
     "logical_and": lambda a, b: (a != 0) & (b != 0), "logical_or": lambda a, b: (a != 0) | (b != 0), "logical_xor": lambda a, b: (a != 0) != (b != 0),
+    "mod": mod, "remainder": mod, "floor_divide": floor_divide, "fmod": lambda a, b: F.when((b == 0) | (F.abs(a) == math.inf), F.lit(NAN)).otherwise(a % F.when(b != 0, b)),
+    "copysign": lambda a, b: F.when(UNARY["signbit"](b), -F.abs(a)).otherwise(F.abs(a)), "float_power": F.pow,
+    "less_equal": lambda a, b: ~F.isnan(a) & ~F.isnan(b) & (a <= b), "greater_equal": lambda a, b: ~F.isnan(a) & ~F.isnan(b) & (a >= b),
+    "bitwise_and": lambda a, b: a.bitwiseAND(b), "bitwise_or": lambda a, b: a.bitwiseOR(b), "bitwise_xor": lambda a, b: a.bitwiseXOR(b),
+    "left_shift": lambda a, b: F.call_function("shiftleft", a.cast("long"), b.cast("int")),
+    "right_shift": lambda a, b: F.call_function("shiftright", a.cast("long"), b.cast("int")),
 }
 
 
 def divmod_(a: Column, b: Column) -> tuple[Column, Column]:
     """Floor quotient and remainder, with the sign of the divisor."""
-    from ..frame import divide
-
-    q = F.floor(divide(a, b)).cast("double")
-    return q, a - b * q
+    return floor_divide(a, b), mod(a, b)
 
 
 def modf(x: Column) -> tuple[Column, Column]:
-    return x - fix(x), fix(x)
+    return F.when(F.abs(x) == math.inf, F.lit(0.0)).otherwise(x - fix(x)), fix(x)
 
 
 def frexp(x: Column) -> tuple[Column, Column]:

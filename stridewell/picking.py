@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .axis import window_expr
 from .dsp import kernels
-from .frame import LabeledFrame, idx
+from .frame import LabeledFrame, idx, with_label
 from .pack import pack
 
 
@@ -62,12 +62,10 @@ def trigger_lanes(packed: DataFrame, dim: str, thresh: float) -> DataFrame:
 
 
 def _labelled(f: LabeledFrame, picks: DataFrame) -> DataFrame:
-    columns = []
     for d in f.dims:
         c = f.coords.get(d)
-        label = c.expr(F.col(idx(d))) if c is not None and c.size >= 0 else F.col(idx(d))
-        columns.append(label.alias(d))
-    return picks.select(*[idx(d) for d in f.dims], *columns, "value")
+        picks = with_label(picks, c, d) if c is not None and c.size >= 0 else picks.withColumn(d, F.col(idx(d)))
+    return picks.select(*[idx(d) for d in f.dims], *f.dims, "value")
 
 
 def tapered_selection(f: LabeledFrame, spans: DataFrame, dim: str = "last", window: str | None = None, size: int | None = None) -> LabeledFrame:

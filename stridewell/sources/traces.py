@@ -14,14 +14,15 @@ from .. import coords as C
 from ..frame import LabeledFrame, idx
 from ..pack import pack, unpack
 
-# Band code letters of the SEED convention, by sampling rate in Hz.
-BAND_EDGES = [1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0, 80.0, 250.0, 1000.0, 5000.0]
-BAND_LETTERS = ["Q", "T", "P", "R", "U", "V", "L", "B", "H", "C", "F"]
+# Band code letters of the SEED convention, by sampling rate in Hz:
+# T from 1e-6 to 1e-5, P to 1e-4, R to 0.001, U to 0.01, V to 0.1, L to 1, M to 10, B to 80, H to 250, C to 1000, F to 5000
+BAND_EDGES = [0.000001, 0.00001, 0.0001, 0.001, 0.01, 0.1, 1.0, 10.0, 80.0, 250.0, 1000.0, 5000.0]
+BAND_LETTERS = ["T", "P", "R", "U", "V", "L", "M", "B", "H", "C", "F"]
 
 
 def band_code(rate: Column) -> Column:
-    """SEED band letter of a sampling rate; X outside the table."""
-    out = F.when(rate < BAND_EDGES[0], "X")
+    """SEED band letter of a sampling rate; X outside the table and of none."""
+    out = F.when(rate.isNull() | F.isnan(rate) | (rate < BAND_EDGES[0]), "X")
     for edge, letter in zip(BAND_EDGES[1:], BAND_LETTERS):
         out = out.when(rate < edge, letter)
     return out.otherwise("X")
