@@ -172,6 +172,15 @@ def medfilt(f: LabeledFrame, kernel: dict[str, int]) -> LabeledFrame:
     kernel = {f.axis(d): k for d, k in kernel.items()}
     if any(k % 2 == 0 for k in kernel.values()):
         raise ValueError("kernel sizes must be odd")
+    wide = [d for d, k in kernel.items() if k > 1]
+    if len(wide) <= 1:  # one window a lane
+        if not wide:
+            return f
+        (dim,) = wide
+        reach = kernel[dim] // 2
+        near = F.collect_list(F.col(f.value)).over(_window(f, dim).rowsBetween(-reach, reach))
+        padded = F.array_sort(F.concat(near, F.array_repeat(F.lit(0.0), F.lit(kernel[dim]) - F.size(near))))
+        return f._with(f.df.withColumn(f.value, F.get(padded, F.lit(reach))))
     cells = math.prod(kernel.values())
     shifted = f.df
     for d, k in kernel.items():
@@ -221,6 +230,21 @@ def upsample(f: LabeledFrame, q: int, dim: str = "last", scale: bool = True) ->
     return f._with(df, coords=_moved(f, dim, finer), extents={d: n * (q if d == dim else 1) for d, n in f.extents.items()})
 
 
+def ediff1d(f: LabeledFrame, to_begin: float | None = None, to_end: float | None = None) -> LabeledFrame:
+    """Differences of neighbours of the flattened array (last dim fastest), with a value put before or after."""
+    flat, n = F.lit(0), 1
+    for d in reversed(f.dims):
+        flat, n = flat + F.col(idx(d)) * n, n * f.size(d)
+    rows = f.df.select(flat.cast("long").alias("k"), F.col(f.value).alias("v"))
+    after = rows.select((F.col("k") - 1).alias("k"), F.col("v").alias("w"))
+    first = 0 if to_begin is None else 1
+    df = rows.join(after, "k").select((F.col("k") + first).alias(idx("flat")), (F.col("w") - F.col("v")).alias(f.value))
+    ends = [(k, float(v)) for k, v in ((0, to_begin), (max(0, n - 1) + first, to_end)) if v is not None]
+    if ends:
+        df = df.unionByName(df.sparkSession.createDataFrame(ends, df.schema))
+    return LabeledFrame(df, ("flat",), {}, value=f.value, extents={"flat": max(0, n - 1) + len(ends)})
+
+
 def trapezoid(f: LabeledFrame, dim: str = "last") -> LabeledFrame:
     """Integral by the trapezoid rule with the axis' step."""
     dim = f.axis(dim)

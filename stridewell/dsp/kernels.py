@@ -96,6 +96,24 @@ def resample(x, num: int, window=None):
     return np.fft.irfft(kept, num, axis=1) * (num / n)
 
 
+def resample_spectrum(spectrum: np.ndarray, num: int, window=None) -> np.ndarray:
+    """The same from whole spectra, for complex lanes."""
+    n = spectrum.shape[1]
+    if window is not None:
+        spectrum = spectrum * np.fft.ifftshift(get_window(window, n))
+    m = min(n, num)
+    kept = np.zeros((len(spectrum), num), complex)
+    kept[:, : m // 2 + 1] = spectrum[:, : m // 2 + 1]
+    if m > 2:
+        kept[:, m // 2 + 1 - m :] = spectrum[:, m // 2 + 1 - m :]
+    if m % 2 == 0 and num < n:
+        kept[:, m // 2] += spectrum[:, n - m // 2]
+    elif m % 2 == 0 and num > n:
+        kept[:, m // 2] *= 0.5
+        kept[:, num - m // 2] = kept[:, m // 2]
+    return np.fft.ifft(kept, axis=1) * (num / n)
+
+
 def resample_filter(up: int, down: int, window=("kaiser", 5.0)) -> np.ndarray:
     reach = 10 * max(up, down)
     return firwin(2 * reach + 1, 1 / max(up, down), window=window) * up

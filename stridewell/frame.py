@@ -431,8 +431,8 @@ class LabeledFrame:
     def __invert__(self): return self.apply((lambda x: ~x) if self.dtype == "boolean" else F.bitwise_not)
     def __lshift__(self, o): return binary(_named("left_shift"), self, o)
     def __rshift__(self, o): return binary(_named("right_shift"), self, o)
-    def __eq__(self, o): return binary(_named("equal"), self, o)
-    def __ne__(self, o): return binary(_named("not_equal"), self, o)
+    def __eq__(self, o): return binary(_named("equal") if self.dtype in ("double", "float") else lambda a, b: a == b, self, o)
+    def __ne__(self, o): return binary(_named("not_equal") if self.dtype in ("double", "float") else lambda a, b: a != b, self, o)
     __hash__ = object.__hash__
     def __pos__(self): return self.apply(lambda x: x)
     def __divmod__(self, o): return self // o, self % o
@@ -511,7 +511,7 @@ class _Loc:
 def divide(a: SparkColumn, b: SparkColumn) -> SparkColumn:
     """Division as floating point has it: x/0 is infinite, 0/0 is NaN."""
     a, b = a.cast("double"), b.cast("double")
-    by_zero = F.when(F.isnan(a) | (a == 0), F.lit(NAN)).when(a > 0, F.lit(math.inf)).otherwise(F.lit(-math.inf))
+    by_zero = F.when(F.isnan(a) | (a == 0), F.lit(NAN)).when((a > 0) == (b.cast("string") != "-0.0"), F.lit(math.inf)).otherwise(F.lit(-math.inf))
     return F.when(b == 0, by_zero).otherwise(a / F.when(b != 0, b))
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import copy
 import functools
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -41,6 +42,49 @@ class Atom:
     def __call__(self, x: np.ndarray, state: State | None = None, fs: float = 1.0) -> tuple[np.ndarray, State]:
         return self.call(np.atleast_2d(np.asarray(x, float)), state, fs)
 
+    # a stage may also hold its state itself, for chunks that are handed to it one by one
+    state: State | None = None
+
+    def feed(self, x: np.ndarray, fs: float = 1.0) -> np.ndarray:
+        """The next chunk; the state stays in the stage."""
+        y, self.state = self(x, self.state, fs)
+        return y
+
+    @property
+    def initialized(self) -> bool:
+        return self.state is not None
+
+    def reset(self) -> None:
+        self.state = None
+
+    def set_state(self, state: State | None) -> None:
+        self.state = copy.deepcopy(state)
+
+    def save_state(self, path: str) -> None:
+        """As JSON with arrays in full precision."""
+        with open(path, "w", encoding="utf-8") as out:
+            json.dump(_plain(self.state), out)
+
+    def load_state(self, path: str) -> None:
+        with open(path, encoding="utf-8") as held:
+            self.state = _restored(json.load(held))
+
+
+def _plain(x):
+    if isinstance(x, np.ndarray):
+        return {"__array": x.ravel().astype(float).tolist(), "shape": list(x.shape)}
+    if isinstance(x, dict):
+        return {k: _plain(v) for k, v in x.items()}
+    if isinstance(x, (list, tuple)):
+        return [_plain(v) for v in x]
+    return x.item() if isinstance(x, np.generic) else x
+
+
+def _restored(x):
+    if isinstance(x, dict):
+        return np.array(x["__array"]).reshape(x["shape"]) if "__array" in x else {k: _restored(v) for k, v in x.items()}
+    return [_restored(v) for v in x] if isinstance(x, list) else x
+
 
 class Sequential(Atom):
     """Stages one after the other; callables are wrapped."""
@@ -229,31 +273,35 @@ class Trigger:
 class WindowModel(Atom):
     """A model over half-overlapping windows; outputs are averaged where windows overlap.
 
-    ``model``: a function of (windows x nperseg) giving the same shape.  Samples
-    come out once no further window covers them.
+    ``model``: a function of (windows x nperseg) giving the same shape or, with
+    ``phases``, (windows x phases x nperseg); or the path of an ONNX model of
+    such shapes.  Samples come out once no further window covers them; with
+    phases, a lane becomes as many rows, in their order.
     """
 
-    def __init__(self, model: Callable[[np.ndarray], np.ndarray], nperseg: int, noverlap: int | None = None, blinding: tuple[int, int] = (0, 0)):
-        self.model, self.nperseg, self.blinding = model, nperseg, blinding
+    def __init__(self, model: Callable[[np.ndarray], np.ndarray] | str, nperseg: int, noverlap: int | None = None, blinding: tuple[int, int] = (0, 0),
+                 phases: list[str] | None = None):
+        self.model, self.nperseg, self.blinding, self.phases = model, nperseg, blinding, phases
         self.noverlap = nperseg // 2 if noverlap is None else noverlap
 
+    def _apply(self, windows: np.ndarray) -> np.ndarray:
+        """(windows x phases x nperseg)."""
+        run = _onnx(self.model) if isinstance(self.model, str) else self.model
+        return np.asarray(run(windows), float).reshape(len(windows), len(self.phases or [0]), self.nperseg)
+
     def call(self, x, state, fs):
-        hop = self.nperseg - self.noverlap
-        state = copy.deepcopy(state) if state else {"x": np.zeros((len(x), 0)), "sum": np.zeros((len(x), 0)), "n": np.zeros(0)}
+        hop, rows = self.nperseg - self.noverlap, len(self.phases or [0])
+        state = copy.deepcopy(state) if state else {"x": np.zeros((len(x), 0)), "sum": np.zeros((len(x) * rows, 0)), "n": np.zeros(0)}
         held = np.concatenate([state["x"], x], axis=1)
-        total = np.concatenate([state["sum"], np.zeros((len(x), held.shape[1] - state["sum"].shape[1]))], axis=1)
+        total = np.concatenate([state["sum"], np.zeros((len(x) * rows, held.shape[1] - state["sum"].shape[1]))], axis=1)
         count = np.concatenate([state["n"], np.zeros(held.shape[1] - len(state["n"]))])
-        at, out = 0, []
         lo, hi = self.blinding[0], self.nperseg - self.blinding[1]
-        starts = []
-        while at + self.nperseg <= held.shape[1]:
-            starts.append(at)
-            at += hop
-        for lane in range(len(held)):
-            if starts:
-                windows = np.stack([held[lane, s : s + self.nperseg] for s in starts])
-                for s, y in zip(starts, self.model(windows)):
-                    total[lane, s + lo : s + hi] += y[lo:hi]
+        starts = list(range(0, held.shape[1] - self.nperseg + 1, hop))
+        at = starts[-1] + hop if starts else 0
+        for lane in range(len(held) if starts else 0):
+            windows = np.stack([held[lane, s : s + self.nperseg] for s in starts])
+            for s, y in zip(starts, self._apply(windows)):
+                total[lane * rows : (lane + 1) * rows, s + lo : s + hi] += y[:, lo:hi]
         for s in starts:
             count[s + lo : s + hi] += 1
         with np.errstate(invalid="ignore", divide="ignore"):
@@ -261,6 +309,56 @@ class WindowModel(Atom):
         return out, {"x": held[:, at:], "sum": total[:, at:], "n": count[at:]}
 
 
+@functools.lru_cache(maxsize=4)
+def _onnx(path: str) -> Callable[[np.ndarray], np.ndarray]:
+    """A stored model, loaded once a worker."""
+    session = LazyModule("onnxruntime").InferenceSession(path)
+    name = session.get_inputs()[0].name
+    return lambda windows: session.run(None, {name: np.asarray(windows, np.float32)})[0]
+
+
+class LazyModule:
+    """A module that is imported on first use, with a plain message where it is absent."""
+
+    def __init__(self, name: str):
+        self._name = name
+
+    def __getattr__(self, attribute: str):
+        import importlib
+
+        try:
+            module = importlib.import_module(self._name)
+        except ImportError as e:
+            raise ImportError(f"{self._name} is needed for this and isn't installed") from e
+        return getattr(module, attribute)
+
+
+def pick_phases(f: LabeledFrame, model: WindowModel, dim: str = "last") -> LabeledFrame:
+    """A model's phases over whole lanes: the frame's dims with ``phase`` before the last one."""
+    from pyspark.sql import functions as F
+
+    from . import coords as C
+    from .frame import idx
+    from .pack import pack, run_lanes, unpack
+
+    dim = f.axis(dim)
+    phases = model.phases or ["phase"]
+    n, hop = f.size(dim), model.nperseg - model.noverlap
+    size = (max(0, n - model.nperseg) // hop + 1) * hop if n >= model.nperseg else 0
+
+    def kernel(x):
+        return model.call(x, None, 1.0)[0].reshape(len(x), -1)
+
+    packed = run_lanes(pack(f, dim), [kernel])
+    each = F.explode(F.expr(f"sequence(0L, {len(phases) - 1}L)")).alias(idx("phase"))
+    rows = packed.select(*f.lanes(dim), each, "samples")
+    rows = rows.withColumn("samples", F.expr(f"slice(samples, cast({idx('phase')} * {size} + 1 as int), {size})"))
+    dims = (*[d for d in f.dims if d != dim], "phase", dim)
+    coords = {k: c.slice(slice(0, size)) if c.dim == dim else c for k, c in f.coords.items() if not isinstance(c, C.Column)}
+    shell = f._with(rows.withColumn(idx(dim), F.lit(0)), dims=dims, coords=coords | {"phase": C.Dense(np.array(phases, object), "phase")}, extents=f.extents | {"phase": len(phases)})
+    return unpack(rows, shell, dim, shell.coords, size)
+
+
 def run_batch(f: LabeledFrame, atom: Atom, dim: str = "last") -> LabeledFrame:
     """A chain over whole lanes, in one Arrow stage."""
     from . import coords as C

@@ -26,14 +26,49 @@ def filter(f: LabeledFrame, freq, btype: str, corners: int = 4, zerophase: bool
     return along(f, dim, (lambda x: kernels.sosfiltfilt(sos, x)) if zerophase else (lambda x: kernels.sosfilt(sos, x)[0]))
 
 
-def lfilter(b, a, f: LabeledFrame, dim: str = "last") -> LabeledFrame:
+def lfilter(b, a, f: LabeledFrame, dim: str = "last", zi=None):
+    """Filter from rest; with ``zi`` (see :func:`sosfilt`) also the states after it."""
+    if zi is not None:
+        return _with_states(f, dim, zi, (max(len(a), len(b)) - 1,), lambda x, z: kernels.lfilter(b, a, x, z))
     return along(f, dim, lambda x: kernels.lfilter(b, a, x)[0])
 
 
-def sosfilt(sos, f: LabeledFrame, dim: str = "last") -> LabeledFrame:
+def sosfilt(sos, f: LabeledFrame, dim: str = "last", zi=None):
+    """Filter from rest.  With ``zi``, lanes begin in that state and the result is
+    a pair: the frame and the states after it, a DataFrame of the lanes' index
+    columns and ``state``.  ``zi`` is ``...`` (rest), numbers for all lanes, or such a DataFrame."""
+    if zi is not None:
+        return _with_states(f, dim, zi, (len(sos), 2), lambda x, z: kernels.sosfilt(sos, x, z))
     return along(f, dim, lambda x: kernels.sosfilt(sos, x)[0])
 
 
+def _with_states(f: LabeledFrame, dim: str, zi, shape: tuple[int, ...], step):
+    """Lanes with their states before them go through one stage, and come out with the states after them."""
+    from pyspark.sql import DataFrame
+    from pyspark.sql import functions as F
+
+    from .pack import pack, run_lanes, unpack
+
+    dim = f.axis(dim)
+    k = int(np.prod(shape))
+    rows = pack(f, dim)
+    if isinstance(zi, DataFrame):
+        rows = rows.join(zi, f.lanes(dim), "left").withColumn("state", F.coalesce("state", F.array_repeat(F.lit(0.0), k)))
+    else:
+        held = np.zeros(k) if zi is ... else np.broadcast_to(np.asarray(zi, float), shape).ravel()
+        rows = rows.withColumn("state", F.array(*[F.lit(float(v)) for v in held]) if k else F.array().cast("array<double>"))
+    rows = rows.select(*f.lanes(dim), F.concat("state", "samples").alias("samples"))
+
+    def kernel(x):
+        y, z = step(x[:, k:], x[:, :k].reshape(len(x), *shape))
+        return np.concatenate([z.reshape(len(x), k), y], axis=1)
+
+    out = run_lanes(rows, [kernel])
+    states = out.select(*f.lanes(dim), F.slice("samples", 1, k).alias("state") if k else F.array().cast("array<double>").alias("state"))
+    done = out.withColumn("samples", F.expr(f"slice(samples, {k + 1}, greatest(0, size(samples) - {k}))"))
+    return unpack(done, f, dim, f.coords, f.extents.get(dim)), states
+
+
 def filtfilt(b, a, f: LabeledFrame, dim: str = "last", padtype="odd", padlen=None) -> LabeledFrame:
     return along(f, dim, lambda x: kernels.filtfilt(b, a, x, padtype, padlen))
 
@@ -56,9 +91,22 @@ def _rebuilt(f: LabeledFrame, dim: str, num: int, step_factor: float):
     return C.Interp([0, num - 1] if num > 1 else [0], ([c.start, round(end) if c.is_time else end] if num > 1 else [c.start]), dim, c.is_time)
 
 
-def resample(f: LabeledFrame, num: int, dim: str = "last", window=None) -> LabeledFrame:
+def resample(f: LabeledFrame, num: int, dim: str = "last", window=None, domain: str = "time") -> LabeledFrame:
+    """To ``num`` samples by the Fourier method.  With ``domain='freq'`` the frame holds
+    complex spectra (zero frequency first) of the lanes, and complex samples come out."""
     dim = f.axis(dim)
     n = f.size(dim)
+    if domain == "freq":
+        from .pack import run_lanes, unpack
+
+        coords = {k: c for k, c in f.coords.items() if c.dim != dim} | {dim: _rebuilt(f, dim, num, n / num)}
+
+        def kernel(x):
+            return kernels.resample_spectrum(x[:, :n] + 1j * x[:, n:], num, window)
+
+        return unpack(run_lanes(_complex_lanes(f, dim), [kernel], True), f, dim, coords, num)
+    if domain != "time":
+        raise ValueError("domain must be time or freq")
     return along(f, dim, lambda x: kernels.resample(x, num, window), _rebuilt(f, dim, num, n / num), num)
 
 

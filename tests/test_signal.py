@@ -123,7 +123,15 @@ def test_selections_with_tapers(spark):
     t0 = f.coords["time"].start
     spans = spark.createDataFrame([(1, t0 + 3 * C.NS, t0 + 7 * C.NS), (2, t0 + 3 * C.NS, t0 + 7 * C.NS), (3, None, t0)], "distance__i long, start long, end long")
     got = {(r["distance__i"], r["time__i"]): r["value"] for r in picking.tapered_selection(f, spans, "time").df.collect()}
-    assert [got[1, k] for k in range(5)] == [13, 14, 15, 16, 17] and [got[2, k] for k in range(5)] == [23, 24, 25, 26, 27] and len(got) == 10
+    assert [got[0, k] for k in range(5)] == [13, 14, 15, 16, 17] and [got[1, k] for k in range(5)] == [23, 24, 25, 26, 27] and len(got) == 10
+    tapered = picking.tapered_selection(f, spans, "time", [0.5, 1.0, 0.5])
+    assert tapered.to_numpy().tolist() == [[6.5, 14, 15, 16, 8.5], [11.5, 24, 25, 26, 13.5]]
+    assert tapered.coords["distance"].values().tolist() == [100, 200] and tapered.coords["time"].values().tolist() == [0, 1, 2, 3, 4]
+    with pytest.raises(ValueError):
+        picking.tapered_selection(f, spans, "time", np.ones(8))
+    with pytest.raises(ValueError):
+        picking.tapered_selection(f, spans.filter("start IS NULL"), "time")
+    assert [picking.next_fast_len(n) for n in (1, 5, 13, 17, 23, 121)] == [1, 5, 14, 18, 24, 121]
     padded = picking.tapered_selection(f, spans, "time", "hann", 8).df.collect()
     assert len(padded) == 16 and all(r["value"] == 0 for r in padded if r["time__i"] > 4)
 
