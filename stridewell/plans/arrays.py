@@ -15,6 +15,7 @@ from ..frame import Collection, LabeledFrame, binary, choose, divide, idx
 from ..functions import elementwise as E
 from ..operators import intervals
 from ..tables import table
+from .filters_sql import FILTERS
 from .views import EMB, EV, HOUR_NS, LI, emb_mat, ev_grid, ev_raw, li_cube
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +42,11 @@ def out(f: LabeledFrame, *extra: str) -> DataFrame:
     return f.df.select(*[idx(d) for d in f.dims], *extra, (tidy(v) if kind in ("double", "float") else v).alias("value"))
 
 
+def out4(f: LabeledFrame) -> DataFrame:
+    """The same to four decimals, for chains of many sums."""
+    return f.df.select(*[idx(d) for d in f.dims], (F.round(f.value, 4) + F.lit(0.0)).alias("value"))
+
+
 R = "round({}, 6) + 0.0"
 GRID = "time__i, lane__i, round({}, 6) + 0.0 AS value"
 
@@ -187,7 +193,7 @@ query("sliding_mean_boxcar", EV + ", k AS (SELECT unnest(range(-12, 13)) AS k),
       "m AS (SELECT n.lane__i, n.time__i, avg(g.value) AS m FROM near n JOIN g ON g.lane__i = n.lane__i AND g.time__i = n.j GROUP BY ALL) "
       f"SELECT {GRID.format('value - m')} FROM g JOIN m USING (lane__i, time__i)")(
     lambda s, d: out(axis.sliding_mean_removal(ev_grid(s, d), 24 * 3600, "boxcar", "time")))
-query("sliding_mean_hann")(lambda s, d: out(axis.sliding_mean_removal(ev_grid(s, d), 24 * 3600, "hann", "time")))
+query("sliding_mean_hann", FILTERS["sliding_mean_hann"])(lambda s, d: out4(axis.sliding_mean_removal(ev_grid(s, d), 24 * 3600, "hann", "time")))
 query("medfilt_k3", EV + f", n AS (SELECT *, coalesce(lag(value) {_W}, 0) AS a, coalesce(lead(value) {_W}, 0) AS c FROM g) "
       f"SELECT {GRID.format('a + value + c - greatest(a, value, c) - least(a, value, c)')} FROM n")(lambda s, d: out(axis.medfilt(ev_grid(s, d), {"time": 3})))
 query("medfilt_2d", EV + ", k AS (SELECT dt, dl FROM (SELECT unnest(range(-1, 2)) AS dt), (SELECT unnest(range(-1, 2)) AS dl)), "
@@ -389,25 +395,25 @@ def _(s, d):
     return p.select("vec__i", "k__i", tidy(F.col("p")).alias("value"))
 
 
-# -- filters and resampling: checked in the tests, too long for SQL -------------------------------
+# -- filters and resampling ------------------------------------------------------------------------
 _HZ = 1 / 3600
-query("filter_lowpass")(lambda s, d: out(signal.filter(ev_grid(s, d), 0.1 * _HZ, "lowpass", dim="time")))
-query("filter_bandpass_zerophase")(lambda s, d: out(signal.filter(ev_grid(s, d), [0.05 * _HZ, 0.2 * _HZ], "bandpass", zerophase=True, dim="time")))
-query("sosfilt")(lambda s, d: out(signal.sosfilt(_sos(), ev_grid(s, d), "time")))
-query("sosfiltfilt")(lambda s, d: out(signal.sosfiltfilt(_sos(), ev_grid(s, d), "time")))
-query("filtfilt")(lambda s, d: out(signal.filtfilt([0.2, 0.2], [1.0, -0.6], ev_grid(s, d), "time")))
+query("filter_lowpass", FILTERS["filter_lowpass"])(lambda s, d: out4(signal.filter(ev_grid(s, d), 0.1 * _HZ, "lowpass", dim="time")))
+query("filter_bandpass_zerophase", FILTERS["filter_bandpass_zerophase"])(lambda s, d: out4(signal.filter(ev_grid(s, d), [0.05 * _HZ, 0.2 * _HZ], "bandpass", zerophase=True, dim="time")))
+query("sosfilt", FILTERS["sosfilt"])(lambda s, d: out4(signal.sosfilt(_sos(), ev_grid(s, d), "time")))
+query("sosfiltfilt", FILTERS["sosfiltfilt"])(lambda s, d: out4(signal.sosfiltfilt(_sos(), ev_grid(s, d), "time")))
+query("filtfilt", FILTERS["filtfilt"])(lambda s, d: out4(signal.filtfilt([0.2, 0.2], [1.0, -0.6], ev_grid(s, d), "time")))
 query("lfilter_iir", EV.replace("WITH ev", "WITH RECURSIVE ev", 1) + ", y AS (SELECT lane__i, time__i, 0.5 * value AS v FROM g WHERE time__i = 0 UNION ALL "
       f"SELECT g.lane__i, g.time__i, 0.5 * g.value + 0.5 * y.v FROM y JOIN g ON g.lane__i = y.lane__i AND g.time__i = y.time__i + 1) SELECT {GRID.format('v')} FROM y")(
     lambda s, d: out(signal.lfilter([0.5], [1.0, -0.5], ev_grid(s, d), "time")))
-query("decimate")(lambda s, d: out(signal.decimate(ev_grid(s, d), 4, dim="time")))
-query("resample")(lambda s, d: out(signal.resample(ev_grid(s, d), 180, "time")))
-query("resample_poly")(lambda s, d: out(signal.resample_poly(ev_grid(s, d), 2, 3, "time")))
+query("decimate", FILTERS["decimate"])(lambda s, d: out4(signal.decimate(ev_grid(s, d), 4, dim="time")))
+query("resample", FILTERS["resample"])(lambda s, d: out4(signal.resample(ev_grid(s, d), 180, "time")))
+query("resample_poly", FILTERS["resample_poly"])(lambda s, d: out4(signal.resample_poly(ev_grid(s, d), 2, 3, "time")))
 
 
-@query("hilbert_envelope")
+@query("hilbert_envelope", FILTERS["hilbert_envelope"])
 def _(s, d):
     z = signal.hilbert(ev_grid(s, d), dim="time")
-    return z.df.select("time__i", "lane__i", tidy(E.absolute(F.col("value"))).alias("value"))
+    return z.df.select("time__i", "lane__i", (F.round(E.absolute(F.col("value")), 4) + F.lit(0.0)).alias("value"))
 
 
 def _sos():
@@ -416,17 +422,19 @@ def _sos():
     return iir_sos(4, 0.2, "lowpass")
 
 
-def _band_code_sql() -> str:
-    from ..sources.traces import BAND_EDGES, BAND_LETTERS
-
-    cases = " ".join(f"WHEN r < {e} THEN '{b}'" for e, b in zip(BAND_EDGES[1:], BAND_LETTERS))
-    return f"WITH r AS (SELECT event_id, value AS r FROM events) SELECT event_id, CASE WHEN r < {BAND_EDGES[0]} THEN 'X' {cases} ELSE 'X' END AS code FROM r"
+BAND_CODE = """
+SELECT event_id, CASE WHEN value >= 1000 AND value < 5000 THEN 'F' WHEN value >= 250 AND value < 1000 THEN 'C' WHEN value >= 80 AND value < 250 THEN 'H'
+  WHEN value >= 10 AND value < 80 THEN 'B' WHEN value >= 1 AND value < 10 THEN 'M' WHEN value >= 1e-1 AND value < 1 THEN 'L' WHEN value >= 1e-2 AND value < 1e-1 THEN 'V'
+  WHEN value >= 1e-3 AND value < 1e-2 THEN 'U' WHEN value >= 1e-4 AND value < 1e-3 THEN 'R' WHEN value >= 1e-5 AND value < 1e-4 THEN 'P'
+  WHEN value >= 1e-6 AND value < 1e-5 THEN 'T' ELSE 'X' END AS code
+FROM events
+"""
 
 
 def register_sources() -> None:
     from ..sources.traces import band_code
 
-    query("band_code", _band_code_sql())(lambda s, d: table(s, d, "events").select("event_id", band_code(F.col("value")).alias("code")))
+    query("band_code", BAND_CODE)(lambda s, d: table(s, d, "events").select("event_id", band_code(F.col("value")).alias("code")))
     query("to_traces", EV + "SELECT lane AS channel, min(h) * 3600000000000 AS start_ns, 3600.0::DOUBLE AS delta, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM g GROUP BY lane")(_traces)
 
 

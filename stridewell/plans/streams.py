@@ -14,6 +14,7 @@ from ..pipeline import Atom, DownSample, LFilter, Sequential
 from ..session import ensure_checkpoint_dir
 from ..streaming.stateful import blocks_of, filter_stream, pick_stream, process
 from .arrays import _PICKS, GRID, R, query, tidy
+from .filters_sql import FILTERS
 from .views import EV, ev_grid
 
 BLOCK = 96
@@ -35,11 +36,11 @@ def _run(stream: DataFrame, place: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{place}/out")
 
 
-def _filtered(spark: SparkSession, folder: str, atom: Atom) -> DataFrame:
+def _filtered(spark: SparkSession, folder: str, atom: Atom, digits: int = 6) -> DataFrame:
     stream, place = _arriving(spark, folder)
     out = _run(filter_stream(stream, atom), place)
     rows = out.select("lane", "i0", F.posexplode("samples").alias("p", "v"))
-    return rows.select((F.col("i0") + F.col("p")).alias("time__i"), F.col("lane").alias("lane__i"), tidy(F.col("v")).alias("value"))
+    return rows.select((F.col("i0") + F.col("p")).alias("time__i"), F.col("lane").alias("lane__i"), (F.round("v", digits) + F.lit(0.0)).alias("value"))
 
 
 _W = "OVER (PARTITION BY lane__i ORDER BY time__i)"
@@ -56,7 +57,8 @@ query("stream_downsample", EV + f"SELECT time__i // 5 AS time__i, lane__i, {R.fo
     lambda s, d: _filtered(s, d, DownSample(5)))
 query("stream_fir", EV + f"SELECT {GRID.format(f'0.5 * value + 0.3 * coalesce(lag(value) {_W}, 0) + 0.2 * coalesce(lag(value, 2) {_W}, 0)')} FROM g")(
     lambda s, d: _filtered(s, d, LFilter([0.5, 0.3, 0.2], [1.0])))
-query("stream_filter_decimate")(lambda s, d: _filtered(s, d, Sequential([LFilter(firwin(31, 0.2), [1.0]), DownSample(4)])))
+query("stream_filter_decimate", FILTERS["stream_filter_decimate"])(
+    lambda s, d: _filtered(s, d, Sequential([LFilter(firwin(31, 0.2), [1.0]), DownSample(4)]), 4))
 
 
 @query("stream_window_sums", "SELECT event_type, CAST(epoch_us(ts) // 86400000000 AS BIGINT) AS day, count(*) AS n, sum(CAST(round(value * 10000) AS BIGINT))::BIGINT AS q FROM events GROUP BY ALL")
