@@ -9,14 +9,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import axis, picking, setops, signal
+from .. import axis, labels, picking, setops, signal
 from .. import coords as C
 from ..frame import Collection, LabeledFrame, binary, choose, divide, idx
 from ..functions import elementwise as E
-from ..operators import intervals
 from ..tables import table
 from .filters_sql import FILTERS
-from .views import EMB, EV, HOUR_NS, LI, emb_mat, ev_grid, ev_raw, li_cube
+from .views import EMB, EV, HOUR_NS, LI, emb_mat, ev_counts, ev_grid, ev_raw, li_cube
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -60,9 +59,8 @@ A0, A1 = T0.replace("T", " "), T1.replace("T", " ")
 
 @query("sel_time_range", f"SELECT event_id, value FROM events WHERE ts BETWEEN '{A0}' AND '{A1}'")
 def _(s, d):
-    raw = table(s, d, "events")  # the predicate reaches the scan
-    f = LabeledFrame(raw, (), {"time": C.Column("ts")})
-    return f._with(raw.filter(f"ts >= timestamp_ntz '{A0}' AND ts <= timestamp_ntz '{A1}'")).df.select("event_id", "value")
+    f = LabeledFrame(table(s, d, "events"), (), {"time": C.Column("ts")})  # the predicate reaches the scan
+    return f.sel(time=slice(T0, T1)).df.select("event_id", "value")
 
 
 @query("sel_time_endpoint_excl", EV + f"""SELECT h - epoch_us(TIMESTAMP '{A0}') // 3600000000 AS time__i, lane__i, round(value, 6) + 0.0 AS value
@@ -96,14 +94,17 @@ query("setitem_region", EV + f"SELECT time__i, lane__i, CASE WHEN time__i >= 5 A
     lambda s, d: out(ev_grid(s, d).where_set({"time": slice(5, 9), "lane": 0}, -1.0)))
 
 
-@query("asof_ffill", "SELECT a.event_id, epoch_us(b.ts) * 1000 AS match, b.value AS match_value FROM (SELECT * FROM events WHERE event_type = (SELECT min(event_type) FROM events)) a "
-       "ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = (SELECT max(event_type) FROM events)) b ON a.ts >= b.ts")
-def _(s, d):
-    raw = ev_raw(s, d).df
-    lo, hi = raw.agg(F.min("lane"), F.max("lane")).first()
-    left = raw.filter(F.col("lane") == lo).select(F.col("time_ns"), "event_id", F.expr("time_ns div 86400000000000").alias("day"))
-    right = raw.filter(F.col("lane") == hi).select("time_ns", "value")
-    return picking.asof(left.drop("day"), right, "time_ns").select("event_id", "match", "match_value")
+_ASOF = """
+WITH e AS (SELECT event_id, event_type, epoch_us(ts) * 1000 AS t, value FROM events),
+r AS (SELECT event_type, t, {pick}(value) AS value FROM e WHERE event_id % 2 = 1 GROUP BY ALL)
+SELECT l.event_id, r.t AS match, r.value AS match_value FROM e l ASOF LEFT JOIN r ON l.event_type = r.event_type AND l.t {sign} r.t WHERE l.event_id % 2 = 0
+"""
+for _direction, _pick, _sign in (("ffill", "max", ">="), ("bfill", "min", "<=")):
+    @query(f"asof_{_direction}", _ASOF.format(pick=_pick, sign=_sign))
+    def _(s, d, direction=_direction):
+        events = ev_raw(s, d).df
+        left, right = events.filter("event_id % 2 = 0"), events.filter("event_id % 2 = 1").select("lane", "time_ns", "value")
+        return picking.asof(left.select("lane", "time_ns", "event_id"), right, "time_ns", ["lane"], direction).select("event_id", "match", "match_value")
 
 
 query("query_fnmatch", "SELECT event_type, count(*) AS n FROM events WHERE event_type GLOB '*c*' GROUP BY 1")(
@@ -226,6 +227,28 @@ query("maximum", EV + f"SELECT {GRID.format('greatest(value, 100 - value)')} FRO
 query("isnan", EV + "SELECT time__i, lane__i, x IS NULL AS value FROM gn")(lambda s, d: out(ev_grid(s, d, True).apply(F.isnan)))
 
 
+_N = "CASE WHEN x IS NULL THEN 'NaN'::DOUBLE ELSE {} END"
+for _name, _sql in (("floor", "floor(x / 3)"), ("ceil", "ceil(x / 3)"), ("trunc", "trunc(-x / 3)"), ("rint", "round_even(x / 3, 0)")):
+    query(f"{_name}_nan", EV + f"SELECT time__i, lane__i, {_N.format(_sql)} + 0.0 AS value FROM gn")(
+        lambda s, d, n=_name: out(ev_grid(s, d, True).apply(lambda x: E.UNARY[n]((-x if n == "trunc" else x) / 3))))
+query("fix_nan", EV + f"SELECT time__i, lane__i, {_N.format('trunc(x / -3)')} + 0.0 AS value FROM gn")(lambda s, d: out(ev_grid(s, d, True).apply(lambda x: E.fix(x / -3))))
+query("mod_nan", EV + f"SELECT time__i, lane__i, {_N.format(R.format('x - -7 * floor(x / -7)'))} AS value FROM gn")(lambda s, d: out(ev_grid(s, d, True) % -7.0))
+query("mod_zero", EV + "SELECT time__i, lane__i, 'NaN'::DOUBLE AS value FROM gn")(lambda s, d: out(ev_grid(s, d, True) % 0.0))
+query("floordiv_nan", EV + f"SELECT time__i, lane__i, {_N.format('floor(x / 9)')} + 0.0 AS value FROM gn")(lambda s, d: out(ev_grid(s, d, True) // 9.0))
+query("floordiv_zero", EV + "SELECT time__i, lane__i, CASE WHEN x IS NULL OR x = 0 THEN 'NaN'::DOUBLE WHEN x > 0 THEN 'Infinity'::DOUBLE ELSE '-Infinity'::DOUBLE END AS value FROM gn")(
+    lambda s, d: out(ev_grid(s, d, True) // 0.0))
+query("divide_into", EV + f"SELECT time__i, lane__i, {_N.format(R.format('500 / x'))} AS value FROM gn")(lambda s, d: out(500.0 / ev_grid(s, d, True)))
+query("power_of_two", EV + f"SELECT time__i, lane__i, {_N.format(R.format('pow(2, x / 500)'))} AS value FROM gn")(lambda s, d: out(2.0 ** (ev_grid(s, d, True) / 500.0)))
+query("conditions", EV + "SELECT time__i, lane__i, coalesce((x > 20 AND x <= 90) OR NOT (x < 150), true) AS value FROM gn")(
+    lambda s, d: (lambda f: out(((f > 20) & (f <= 90)) | ~(f < 150)))(ev_grid(s, d, True)))
+query("equal_not_equal", EV + "SELECT time__i, lane__i, coalesce(x = x, false) AS same, coalesce(x <> x, true) AS other FROM gn")(
+    lambda s, d: (lambda f: (f == f).df.withColumnRenamed("value", "same").join((f != f).df.withColumnRenamed("value", "other"), ["time__i", "lane__i"]).select("time__i", "lane__i", "same", "other"))(ev_grid(s, d, True)))
+query("bits", EV + "SELECT time__i, lane__i, xor((n & 6) | 1, 3) << 2 AS value FROM g")(
+    lambda s, d: (lambda f: out((((f & 6) | 1) ^ 3) << 2))(ev_counts(s, d)))
+query("ediff1d", EV + f", o AS (SELECT time__i * (SELECT count(*) FROM lanes) + lane__i AS k, value FROM g) SELECT k - 1 AS flat__i, {R.format('v')} AS value FROM (SELECT k, value - lag(value) OVER (ORDER BY k) AS v FROM o) WHERE v IS NOT NULL")(
+    lambda s, d: out(axis.ediff1d(ev_grid(s, d))))
+
+
 @query("divmod", EV + "SELECT time__i, lane__i, floor(value / 9) + 0.0 AS q, round(value - 9 * floor(value / 9), 6) + 0.0 AS r FROM g")
 def _(s, d):
     q, r = E.divmod_(F.col("value"), F.lit(9.0))
@@ -252,25 +275,52 @@ i AS (SELECT *, sum(CASE WHEN p IS NULL OR t - p > 1800000000000 THEN 1 ELSE 0 E
 """
 
 
-def _event_periods(s, d) -> DataFrame:
-    points = ev_raw(s, d).df.select("lane", F.col("time_ns").alias("a"), F.col("time_ns").alias("b"), F.lit(1_800_000_000_000).alias("slack"))
-    return intervals.merge_intervals(points, "lane", "a", "b", "slack")
-
-
+_HALF_HOUR = 1800
 query("availability", _ISL + "SELECT lane, min(t) AS start_value, max(t) AS end_value, max(t) - min(t) AS delta, 'data' AS type FROM i GROUP BY lane, k")(
-    lambda s, d: _event_periods(s, d).filter("kind = 'period'").select("lane", F.col("start_ns").alias("start_value"), F.col("end_ns").alias("end_value"),
-                                                                     (F.col("end_ns") - F.col("start_ns")).alias("delta"), F.lit("data").alias("type")))
+    lambda s, d: labels.availabilities(ev_raw(s, d), "time", "lane", _HALF_HOUR))
 query("discontinuities", _ISL + "SELECT lane, p AS start_value, t AS end_value, t - p AS delta, 'gap' AS type FROM i WHERE t - p > 1800000000000")(
-    lambda s, d: _event_periods(s, d).filter("kind = 'gap'").select("lane", F.col("start_ns").alias("start_value"), F.col("end_ns").alias("end_value"),
-                                                                  (F.col("end_ns") - F.col("start_ns")).alias("delta"), F.lit("gap").alias("type")))
+    lambda s, d: labels.discontinuities(ev_raw(s, d), "time", "lane", _HALF_HOUR))
 query("timeline", _ISL + "SELECT lane, min(t) AS start_value, max(t) AS end_value, 'data' AS type FROM i GROUP BY lane, k UNION ALL SELECT lane, p, t, 'gap' FROM i WHERE t - p > 1800000000000")(
-    lambda s, d: _event_periods(s, d).select("lane", F.col("start_ns").alias("start_value"), F.col("end_ns").alias("end_value"),
-                                           F.when(F.col("kind") == "gap", "gap").otherwise("data").alias("type")))
+    lambda s, d: labels.timeline(ev_raw(s, d), "time", "lane", _HALF_HOUR).drop("delta"))
 query("sampling_interval", "SELECT event_type AS lane, round((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6 / (count(*) - 1), 6) + 0.0 AS value FROM events GROUP BY 1")(
-    lambda s, d: ev_raw(s, d).df.groupBy("lane").agg(tidy((F.max("time_ns") - F.min("time_ns")) / 1e9 / (F.count("*") - 1)).alias("value")))
+    lambda s, d: labels.sampling_interval(ev_raw(s, d), "time", ["lane"]).withColumn("value", tidy(F.col("value"))))
 query("monotonic", "WITH l AS (SELECT user_id % 50 AS k, ts > lag(ts) OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS up FROM events) SELECT k, coalesce(bool_and(up), true) AS value FROM l GROUP BY k")(
-    lambda s, d: table(s, d, "events").select(F.expr("user_id % 50").alias("k"), F.expr("ts > lag(ts) OVER (PARTITION BY user_id % 50 ORDER BY event_id)").alias("up"))
-    .groupBy("k").agg(F.coalesce(F.bool_and("up"), F.lit(True)).alias("value")))
+    lambda s, d: labels.monotonic(LabeledFrame(table(s, d, "events").withColumn("k", F.expr("user_id % 50")), (), {"time": C.Column("ts")}), "time", "event_id", ["k"]))
+
+# axes with gaps: the hours in which the first type has events, as a coordinate of segments
+_HOURS = EV + """, hrs AS (SELECT DISTINCT h FROM ev WHERE lane = (SELECT min(lane) FROM ev)),
+seg AS (SELECT h, row_number() OVER (ORDER BY h) - 1 AS i, h - row_number() OVER (ORDER BY h) AS k FROM hrs),
+av AS (SELECT min(i) AS start_index, max(i) AS end_index, min(h) * 3600000000000 AS start_value, max(h) * 3600000000000 AS end_value FROM seg GROUP BY k)
+"""
+
+
+def hours_axis(s, d) -> C.Sampled:
+    events = ev_raw(s, d).df
+    first = events.agg(F.min("lane")).first()[0]
+    hours = np.array(sorted(r[0] for r in events.filter(F.col("lane") == first).select(F.expr(f"time_ns div {HOUR_NS}")).distinct().collect()), np.int64)  # labels of an axis
+    return C.Sampled(hours * HOUR_NS, np.ones(len(hours), np.int64), HOUR_NS, "time", True).simplify(0)
+
+
+_SPAN_COLUMNS = ["start_index", "end_index", "start_value", "end_value", "delta", "type"]
+_SPAN_SCHEMA = "start_index long, end_index long, start_value long, end_value long, delta long, type string"
+
+
+def _spans(s, found) -> DataFrame:
+    return s.createDataFrame([tuple(r) for r in found[_SPAN_COLUMNS].astype(object).to_numpy().tolist()], _SPAN_SCHEMA)
+
+
+query("coord_availabilities", _HOURS + "SELECT *, end_value - start_value AS delta, 'data' AS type FROM av")(lambda s, d: _spans(s, hours_axis(s, d).availabilities()))
+query("coord_discontinuities", _HOURS + "SELECT end_index AS start_index, end_index + 1 AS end_index, end_value AS start_value, nxt AS end_value, nxt - end_value AS delta, 'gap' AS type FROM (SELECT *, lead(start_value) OVER (ORDER BY start_value) AS nxt FROM av) WHERE nxt IS NOT NULL")(
+    lambda s, d: _spans(s, hours_axis(s, d).discontinuities()))
+
+_PROBES = [f"2024-01-{day:02d}T{hour:02d}:20:00" for day in range(3, 27, 2) for hour in (3, 9, 15, 22)]
+_PROBE_SQL = ", p AS (SELECT epoch_us(CAST(t AS TIMESTAMP)) * 1000 AS t FROM (VALUES " + ", ".join(f"('{t.replace('T', ' ')}')" for t in _PROBES) + ") v(t)), l AS (SELECT i, h * 3600000000000 AS v FROM seg) "
+for _method, _best in (("nearest", "ORDER BY abs(v - t), v"), ("ffill", "AND v <= t ORDER BY v DESC"), ("bfill", "AND v >= t ORDER BY v")):
+    query(f"sampled_{_method}", _HOURS + _PROBE_SQL + f"SELECT t AS label, (SELECT i FROM l WHERE true {_best} LIMIT 1)::BIGINT AS place FROM p")(
+        lambda s, d, m=_method: (lambda c: s.createDataFrame([(C.parse_label(t, True), c.indexer(t, m)) for t in _PROBES], "label long, place long"))(hours_axis(s, d)))
+    query(f"interp_{_method}", LI + ", m AS (SELECT unnest(range((SELECT min(m) FROM li), (SELECT max(m) FROM li) + 1)) AS v), p AS (SELECT (SELECT min(m) FROM li) + k * 1.37e0 + 0.21e0 AS t FROM (SELECT unnest(range(40)) AS k)) "
+          f"SELECT round(t, 6) AS label, (SELECT v - (SELECT min(m) FROM li) FROM m WHERE true {_best} LIMIT 1)::BIGINT AS place FROM p")(
+        lambda s, d, m=_method: (lambda c: s.createDataFrame([(round(c.start + k * 1.37 + 0.21, 6), c.indexer(c.start + k * 1.37 + 0.21, m)) for k in range(40)], "label double, place long"))(li_cube(s, d).coords["month"]))
 
 
 def _parts_out(parts: list[LabeledFrame]) -> DataFrame:
@@ -286,10 +336,10 @@ query("split_ntile", EV + f", p AS (SELECT *, ntile(7) OVER (PARTITION BY lane__
 query("split_concat", EV + f"SELECT {GRID.format('value')} FROM g")(lambda s, d: out(setops.concat(list(reversed(setops.split(ev_grid(s, d), [100, 101, 300], "time"))), "time")))
 
 
-@query("split_gaps", EV + f"SELECT CASE WHEN time__i < 50 THEN 0 WHEN time__i < 70 THEN 1 ELSE 2 END::BIGINT AS part, CASE WHEN time__i < 50 THEN time__i WHEN time__i < 70 THEN time__i - 50 ELSE time__i - 90 END AS time__i, lane__i, {R.format('value')} AS value FROM g WHERE time__i < 70 OR (time__i >= 90 AND time__i < 200)")
+@query("split_gaps", EV + f"SELECT CASE WHEN time__i < 50 THEN 0 WHEN time__i < 70 THEN 1 ELSE 2 END::BIGINT AS part, CASE WHEN time__i < 50 THEN time__i WHEN time__i < 70 THEN time__i - 50 ELSE time__i - 90 END AS time__i, lane__i, {R.format('value')} AS value FROM g WHERE time__i < 70 OR time__i >= 90")
 def _(s, d):
     f = ev_grid(s, d)
-    a, b, c = f.isel(time=slice(0, 50)), f.isel(time=slice(50, 70)), f.isel(time=slice(90, 200))
+    a, b, c = f.isel(time=slice(0, 50)), f.isel(time=slice(50, 70)), f.isel(time=slice(90, None))
     b = b._with(b.df, coords=b.coords | {"time": b.coords["time"].shift(HOUR_NS)})  # an hour late: a gap
     return _parts_out(setops.split(setops.concat([a, b, c], "time"), "gaps", "time", tolerance=0))
 
@@ -308,9 +358,14 @@ def _(s, d):
     return setops.combine_bags(files, ["engine"], "start", ["station"]).select("file_id", "bag")
 
 
-query("combine_by_field", EV + f"SELECT CASE WHEN lane__i < 2 THEN 'a' ELSE 'b' END AS field, {GRID.format('value')} FROM g")(
-    lambda s, d: (lambda f: Collection(out(f).filter("lane__i < 2").withColumn("field", F.lit("a")), ("field",)).union(
-        Collection(out(f).filter("lane__i >= 2").withColumn("field", F.lit("b")), ("field",))).df)(ev_grid(s, d)))
+@query("combine_by_field", EV + f"SELECT CASE WHEN lane__i < 2 THEN 'a' ELSE 'b' END AS field, time__i, CASE WHEN lane__i < 2 THEN lane__i ELSE lane__i - 2 END AS lane__i, {R.format('value')} AS value FROM g")
+def _(s, d):
+    f = ev_grid(s, d)
+    low, high = f.isel(lane=slice(0, 2)), f.isel(lane=slice(2, None))
+    late, early = {"a": low.isel(time=slice(100, None)), "b": high.isel(time=slice(250, None))}, {"a": low.isel(time=slice(0, 100)), "b": high.isel(time=slice(0, 250))}
+    found = setops.combine_by_field([late, early], "time")
+    a, b = (out(found[k]).withColumn("field", F.lit(k)) for k in "ab")
+    return a.unionByName(b)
 
 # -- picks ------------------------------------------------------------------------------------------
 _PICKS = EV + """, x AS (SELECT time__i, lane__i, h, lane, value - avg(value) OVER (PARTITION BY time__i) AS v FROM g),
@@ -383,8 +438,7 @@ def _(s, d):
 
 @query("stft_frames", EMB + f", fr AS (SELECT unnest(range(7)) AS fr), k AS (SELECT unnest(range(16)) AS k) SELECT vec__i, fr AS frame__i, k AS k__i, {R.format('value')} AS value FROM emb JOIN (SELECT * FROM fr, k) ON k__i = fr * 8 + k")
 def _(s, d):
-    f = emb_mat(s, d).df.withColumn("frame__i", F.explode(F.expr("sequence(greatest(0, (k__i - 15 + 7) div 8), least(6, k__i div 8))")))
-    return f.select("vec__i", "frame__i", (F.col("k__i") - F.col("frame__i") * 8).alias("k__i"), tidy(F.col("value")).alias("value"))
+    return out(signal.frames(emb_mat(s, d), 16, 8, "k"))
 
 
 @query("stft_power", EMB + ", fr AS (SELECT unnest(range(7)) AS fr), w AS (SELECT vec__i, fr, sum(pow(value * (0.5 - 0.5 * cos(2 * pi() * (k__i - fr * 8) / 16)), 2)) AS e FROM emb JOIN fr ON k__i >= fr * 8 AND k__i < fr * 8 + 16 GROUP BY ALL) "
@@ -434,6 +488,8 @@ FROM events
 def register_sources() -> None:
     from ..sources.traces import band_code
 
+    query("band_code_slow", BAND_CODE.replace("FROM events", "FROM (SELECT event_id, value / 10000 AS value FROM events)"))(
+        lambda s, d: table(s, d, "events").select("event_id", band_code(F.col("value") / 10000).alias("code")))
     query("band_code", BAND_CODE)(lambda s, d: table(s, d, "events").select("event_id", band_code(F.col("value")).alias("code")))
     query("to_traces", EV + "SELECT lane AS channel, min(h) * 3600000000000 AS start_ns, 3600.0::DOUBLE AS delta, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM g GROUP BY lane")(_traces)
 

@@ -50,6 +50,18 @@ gn AS (SELECT time__i, lane__i, h, lane, CASE WHEN n > 0 THEN value END AS x FRO
 """
 
 
+def ev_counts(spark: SparkSession, folder: str) -> LabeledFrame:
+    """The same grid with the number of events in each cell."""
+    f = ev_grid(spark, folder)
+    lo = f.coords["time"].start // HOUR_NS
+    lanes = f.coords["lane"].data.tolist()
+    axis = spark.createDataFrame(list(enumerate(lanes)), "lane__i long, lane string")
+    counts = event_cells(spark, folder).groupBy("h", "lane").agg(F.count("*").alias("n")).join(F.broadcast(axis), "lane")  # types label an axis
+    counts = counts.select((F.col("h") - lo).alias("time__i"), "lane__i", "n")
+    df = f.df.drop("value").join(counts, ["time__i", "lane__i"], "left").select("time__i", "lane__i", F.coalesce("n", F.lit(0)).cast("long").alias("value"))
+    return f._with(df)
+
+
 def ev_raw(spark: SparkSession, folder: str) -> LabeledFrame:
     """Events in time order of their type; the label stays a column."""
     df = table(spark, folder, "events").select(

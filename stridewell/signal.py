@@ -15,7 +15,7 @@ from .frame import LabeledFrame
 from .pack import along, rate
 
 __all__ = [
-    "decimate", "detrend", "differentiate", "fft", "filter", "filtfilt", "hilbert", "ifft", "integrate", "irfft", "lfilter", "medfilt", "resample",
+    "decimate", "detrend", "differentiate", "fft", "filter", "filtfilt", "frames", "hilbert", "ifft", "integrate", "irfft", "lfilter", "medfilt", "resample",
     "resample_poly", "rfft", "segment_mean_removal", "sliding_mean_removal", "sosfilt", "sosfiltfilt", "stft", "taper",
 ]
 
@@ -183,6 +183,32 @@ def irfft(f: LabeledFrame, n: int | None = None, dim={"last": "signal"}, norm=No
     return _inverse(f, dim, lambda z: np.fft.irfft(z, n, axis=1, norm=norm), n, False)
 
 
+def frames(f: LabeledFrame, nperseg: int, noverlap: int, dim: str = "last", new_dim: str = "frame") -> LabeledFrame:
+    """Overlapping frames of ``nperseg`` samples as a dim of their own; samples after the last whole frame are left out."""
+    from pyspark.sql import functions as F
+
+    from .frame import idx
+
+    dim = f.axis(dim)
+    hop = nperseg - noverlap
+    if not 0 < hop <= nperseg:
+        raise ValueError("frames must overlap by less than their length")
+    count = max(0, (f.size(dim) - nperseg) // hop + 1)
+    i = f"`{idx(dim)}`"
+    of = f"sequence(greatest(0L, ({i} - {nperseg} + {hop}) div {hop}), least({count - 1}L, {i} div {hop}))"
+    inside = F.expr(f"greatest(0L, ({i} - {nperseg} + {hop}) div {hop}) <= least({count - 1}L, {i} div {hop})")
+    rows = f.df.filter(inside).withColumn(idx(new_dim), F.explode(F.expr(of)))
+    rows = rows.withColumn(idx(dim), F.col(idx(dim)) - F.col(idx(new_dim)) * hop)
+    at = f.dims.index(dim)
+    coords = {k: c for k, c in f.coords.items() if c.dim != dim} | {dim: C.Default(nperseg, dim)}
+    c = f.coords.get(dim)
+    if count and isinstance(c, (C.Sampled, C.Interp, C.Dense)):
+        coords[new_dim] = c.take(np.arange(count) * hop)
+        coords[new_dim].dim = new_dim
+    extents = f.extents | {dim: nperseg, new_dim: count}
+    return f._with(rows, dims=(*f.dims[:at], new_dim, *f.dims[at:]), coords=coords, extents=extents)
+
+
 def stft(f: LabeledFrame, window="hann", nperseg: int = 256, noverlap: int | None = None, nfft: int | None = None, onesided: bool = True,
          dim={"last": "spectrum"}, scaling: str = "spectrum") -> LabeledFrame:  # noqa: B006
     """Short-time spectra; time labels are frame centres, frequency is the last dim."""
