@@ -1,5 +1,9 @@
 """SQL for the record queries that SQL can express over whole tables."""
 
+from .instants_sql import P4_CLASSES, P4_FOUND
+
+__all__ = ["P4_CLASSES", "P4_FOUND"]
+
 _COVERAGE = """
 WITH steps AS (SELECT series_id, max(sampling_interval) AS series_step FROM segments GROUP BY series_id),
 covered AS (
