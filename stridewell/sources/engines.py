@@ -49,6 +49,15 @@ class Engine:
     def decode(self, raw: bytes, **options) -> Opened:
         raise NotImplementedError
 
+    def read(self, file, rows: slice = slice(None), columns: slice = slice(None), head: bool = False, **options) -> Opened:
+        """From an open file; ``head``: coordinates only."""
+        return _part(self.decode(file.read(), **options), rows, columns, head)
+
+
+def _part(opened: Opened, rows: slice, columns: slice, head: bool) -> Opened:
+    opened.data = None if head else np.asarray(opened.data[rows, columns])
+    return opened
+
 
 def _utc_ns(text) -> int:
     text = text.decode() if isinstance(text, bytes) else str(text)
@@ -63,7 +72,16 @@ class Hdf5Engine(Engine):
         except ImportError as e:
             raise ImportError("h5py is needed to open HDF5 files") from e
         with h5py.File(io.BytesIO(raw), "r") as f:
-            return self.decode_tree(f, **options)
+            return _part(self.decode_tree(f, **options), slice(None), slice(None), False)
+
+    def read(self, file, rows=slice(None), columns=slice(None), head=False, **options):
+        """Only the part asked for is read: arrays stay in the file until then."""
+        try:
+            import h5py
+        except ImportError as e:
+            raise ImportError("h5py is needed to open HDF5 files") from e
+        with h5py.File(file, "r") as f:
+            return _part(self.decode_tree(f, **options), rows, columns, head)
 
     def decode_tree(self, f, **options) -> Opened:
         raise NotImplementedError
@@ -76,7 +94,7 @@ class OptoEngine(Hdf5Engine):
 
     def decode_tree(self, f):
         header, sensors = f["header"], np.asarray(f["cableSpec"]["sensorDistances"])
-        dx, data = float(np.asarray(header["dx"])), np.asarray(f["data"])
+        dx, data = float(np.asarray(header["dx"])), f["data"]
         step = round(1e9 * float(np.asarray(header["dt"])))
         ties: list[int] = []
         for lo, hi in zip(np.asarray(f["demodSpec"]["roiStart"]), np.asarray(f["demodSpec"]["roiEnd"])):
@@ -118,13 +136,30 @@ class FebusEngine(Hdf5Engine):
         return Opened(kept.reshape(-1, kept.shape[2]), time, C.Interp.from_block(float(x0), kept.shape[2], float(dx), "distance"), snake)
 
 
+class _Turned:
+    """A stored array with its two dims swapped; parts of it are read as parts."""
+
+    def __init__(self, stored):
+        self.stored, self.shape = stored, stored.shape[::-1]
+
+    def __len__(self) -> int:
+        return self.shape[0]
+
+    def __getitem__(self, key):
+        rows, columns = key
+        return np.asarray(self.stored[columns, rows]).T
+
+    def __array__(self, dtype=None, copy=None):
+        return np.asarray(self[:, :], dtype)
+
+
 class ProdmlEngine(Hdf5Engine, aliases=("optasense", "sintela")):
     name = "prodml"
 
     def decode_tree(self, f, swapped_dims: bool = False):
         acquisition = f["Acquisition"]
         raw = acquisition["Raw[0]"]["RawData"]
-        data = np.asarray(raw).T if swapped_dims else np.asarray(raw)
+        data = _Turned(raw) if swapped_dims else raw
         dx = float(acquisition.attrs["SpatialSamplingInterval"])
         n, m = data.shape
         ends = [_utc_ns(raw.attrs["PartStartTime"]), _utc_ns(raw.attrs["PartEndTime"])]
@@ -137,7 +172,7 @@ class Terra15Engine(Hdf5Engine):
 
     def decode_tree(self, f, tz: str = "UTC"):
         product = f["data_product"]
-        stamps, data = np.asarray(product["gps_time"], float), np.asarray(product["data"])
+        stamps, data = np.asarray(product["gps_time"], float), product["data"]
         ends = [int(pd.Timestamp(s, unit="s", tz=tz).value) for s in (stamps[0], stamps[-1])]
         time = C.Interp([0, len(data) - 1] if len(data) > 1 else [0], ends if len(data) > 1 else ends[:1], "time", True)
         return Opened(data, time, C.Interp.from_block(float(f.attrs["sensing_range_start"]), data.shape[1], float(f.attrs["dx"]), "distance"))
@@ -151,7 +186,7 @@ class ApSensingEngine(Hdf5Engine):
         start = start.decode() if isinstance(start, bytes) else start
         if not start.endswith("Z"):
             raise NotImplementedError("only UTC time stamps are supported")
-        server, data = f["ProcessingServer"], np.asarray(f["DAS"])
+        server, data = f["ProcessingServer"], f["DAS"]
         step = round(1e9 / np.asarray(server["DataRate"]).item())
         time = C.Sampled(np.array([_utc_ns(start)]), [len(data)], step, "time", True)
         dx = float(np.asarray(server["SpatialSampling"]).item())
@@ -184,6 +219,27 @@ def decode_any(raw: bytes, first: str | None = None, **options) -> tuple[str, Op
     raise ValueError("no engine can read this file")
 
 
+def open_file(file, engine: str | Callable | None, last: str | None, rows: slice = slice(None), columns: slice = slice(None), head: bool = False, **options) -> tuple[str | None, Opened]:
+    """An open file by a named engine, a function of its bytes, or a probe that begins with the engine that worked last."""
+    if callable(engine):
+        return None, _part(engine(file.read(), **options), rows, columns, head)
+    if engine is None:
+        tag = file.read(4)
+        names = ["silixa"] if tag == b"TDSm" else sorted({e.name for e in Engine.registry.values() if e.name != "silixa"}, key=lambda n: n != last)
+    else:
+        names = [engine]
+    for name in names:
+        file.seek(0)
+        try:
+            return name, Engine.registry[name]().read(file, rows, columns, head, **options)
+        except ImportError:
+            raise
+        except Exception:
+            if engine is not None:
+                raise
+    raise ValueError("no engine can read this file")
+
+
 _BLOCKS = "path string, name string, distance__i long, distance double, start_ns long, step_ns long, i0 long, samples array<double>"
 
 
@@ -225,6 +281,12 @@ def open_files(spark: SparkSession, paths: str | list[str], engine: str | Callab
     return files.mapInPandas(run, _BLOCKS)
 
 
+def template_pattern(template: str) -> str:
+    """A pattern of paths with a group for each field."""
+    pieces = re.split(r"([{\[]\w+[}\]]|\*)", template)
+    return "".join(f"(?P<{m[1:-1]}>[^/]+)" if re.fullmatch(r"[{\[]\w+[}\]]", m) else "[^/]*" if m == "*" else re.escape(m) for m in pieces)
+
+
 def open_tree(spark: SparkSession, template: str, **options) -> DataFrame:
     """Files of a path template: ``{field}`` names a mapping level, ``[field]`` a sequence level.
 
@@ -233,17 +295,23 @@ def open_tree(spark: SparkSession, template: str, **options) -> DataFrame:
     """
     fields = re.findall(r"[{\[](\w+)[}\]]", template)
     sequences = re.findall(r"\[(\w+)\]", template)
-    pattern = "".join(f"(?P<{m[1:-1]}>[^/]+)" if re.fullmatch(r"[{\[]\w+[}\]]", m) else re.escape(m) if m != "*" else "[^/]*" for m in re.split(r"([{\[]\w+[}\]]|\*)", template))
-    plain = re.sub(r"\(\?P<\w+>", "(", pattern)
+    plain = re.sub(r"\(\?P<\w+>", "(", template_pattern(template))
     df = open_files(spark, re.sub(r"[{\[]\w+[}\]]", "*", template), **options)
     for k, name in enumerate(fields):
         df = df.withColumn(name, F.regexp_extract("path", plain + "$", k + 1))
     from pyspark.sql import Window
 
+    if not sequences:
+        return df
+    # files are numbered from their paths, one row each, not from their samples
+    listed = spark.read.format("binaryFile").load(re.sub(r"[{\[]\w+[}\]]", "*", template)).select("path")
+    for k, name in enumerate(fields):
+        listed = listed.withColumn(name, F.regexp_extract("path", plain + "$", k + 1))
     for name in sequences:
         w = Window.partitionBy(*[x for x in fields if x not in sequences]).orderBy(name)
-        df = df.withColumn(name, (F.dense_rank().over(w) - 1).cast("int"))
-    return df
+        listed = listed.withColumn(f"__{name}", (F.dense_rank().over(w) - 1).cast("int"))
+    df = df.drop(*sequences).join(listed.select("path", *[f"__{name}" for name in sequences]), "path")
+    return df.withColumnsRenamed({f"__{name}": name for name in sequences})
 
 
 def combine(blocks: DataFrame, tolerance_ns: int = 0) -> DataFrame:

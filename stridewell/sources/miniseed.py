@@ -10,10 +10,12 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Encodings that are plain arrays.
 PLAIN = {1: "i2", 3: "i4", 4: "f4", 5: "f8"}
@@ -39,7 +41,7 @@ def records(data: bytes) -> Iterator[tuple]:
     """(network, station, location, channel, start_ns, rate, samples) of each record."""
     at = 0
     while at + 48 <= len(data):
-        raw = data[at:]
+        raw = memoryview(data)[at:]
         year = struct.unpack_from(">H", raw, 20)[0]
         order = ">" if 1900 <= year <= 2100 else "<"
         station, location, channel, network = (x.decode("ascii").strip() for x in struct.unpack_from("5s2s3s2s", raw, 8))
@@ -141,16 +143,86 @@ def open_traces(spark: SparkSession, paths: str | list[str], ignore_last_sample:
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, TRACES)
 
 
-def write_record(network: str, station: str, location: str, channel: str, start_ns: int, rate: int, samples: np.ndarray, power: int = 12) -> bytes:
-    """One big-endian record of 32-bit integers or 64-bit floats."""
+def _ratio(rate: float) -> tuple[int, int]:
+    """Factor and multiplier of a sampling rate: factor / -multiplier samples a second."""
+    f = Fraction(rate).limit_denominator(32767)
+    if not 0 < f.numerator <= 32767:
+        raise ValueError(f"a rate of {rate} can't be written")
+    return f.numerator, -f.denominator if f.denominator > 1 else 1
+
+
+def write_record(network: str, station: str, location: str, channel: str, start_ns: int, rate: float, samples: np.ndarray, power: int = 12) -> bytes:
+    """One big-endian record of 32-bit integers or 64-bit floats; the start is kept to the microsecond."""
     code = 5 if samples.dtype.kind == "f" else 3
     raw = samples.astype(">" + PLAIN[code]).tobytes()
     if len(raw) > (1 << power) - 64:
         raise ValueError("too many samples for a record")
     t = datetime.fromtimestamp(start_ns // 1_000_000_000, timezone.utc)
     pad = lambda s, n: s.encode().ljust(n)
+    factor, multiplier = _ratio(rate)
+    tenths, micro = divmod(start_ns % 1_000_000_000 // 1000, 100)
     head = b"000001D " + pad(station, 5) + pad(location, 2) + pad(channel, 3) + pad(network, 2)
-    head += struct.pack(">HHBBBBH", t.year, t.timetuple().tm_yday, t.hour, t.minute, t.second, 0, start_ns % 1_000_000_000 // 100_000)
-    head += struct.pack(">HhhBBBBiHH", len(samples), rate, 1, 0, 0, 0, 1, 0, 64, 48)
-    head += struct.pack(">HHBBBB", 1000, 0, code, 1, power, 0)
+    head += struct.pack(">HHBBBBH", t.year, t.timetuple().tm_yday, t.hour, t.minute, t.second, 0, tenths)
+    head += struct.pack(">HhhBBBBiHH", len(samples), factor, multiplier, 0, 0, 0, 2, 0, 64, 48)
+    head += struct.pack(">HHBBBB", 1000, 56, code, 1, power, 0)
+    head += struct.pack(">HHBbBB", 1001, 0, 0, micro, 0, 0)
     return (head.ljust(64, b"\0") + raw).ljust(1 << power, b"\0")
+
+
+DAY_NS = 86_400_000_000_000
+
+
+def day_files(traces: DataFrame, flat: bool = False) -> DataFrame:
+    """Traces cut at midnight (UTC), with the file each piece belongs to.
+
+    In the day archive: year/network/station/channel.D/network.station.location.channel.D.year.day;
+    flat: the last name only.  Traces with a null start or step, or no samples, are left out.
+    """
+    step = "greatest(1L, cast(round(delta * 1e9) as bigint))"
+    rows = traces.filter("start_ns IS NOT NULL AND delta > 0 AND size(samples) > 0").withColumn("step", F.expr(step))
+    last = "start_ns + (size(samples) - 1) * step"
+    day = f"({{0}} - pmod({{0}}, {DAY_NS})) div {DAY_NS}"
+    rows = rows.withColumn("day", F.explode(F.expr(f"sequence({day.format('start_ns')}, {day.format('(' + last + ')')})")))
+    lo = f"greatest(0L, (day * {DAY_NS} - start_ns + step - 1) div step)"
+    hi = f"least(cast(size(samples) as bigint), ((day + 1) * {DAY_NS} - start_ns + step - 1) div step)"
+    rows = rows.withColumn("lo", F.expr(lo)).withColumn("n", F.expr(f"{hi} - {lo}")).filter("n > 0")
+    date = F.expr("date_add(DATE'1970-01-01', cast(day as int))")
+    year, of_year = F.date_format(date, "yyyy"), F.date_format(date, "DDD")
+    name = F.concat_ws(".", "network", "station", "location", "channel", F.lit("D"), year, of_year)
+    file = name if flat else F.concat_ws("/", year, "network", "station", F.concat("channel", F.lit(".D")), name)
+    return rows.select(
+        file.alias("file"), "network", "station", "location", "channel", (F.col("start_ns") + F.col("lo") * F.col("step")).alias("start_ns"), "delta",
+        F.expr("slice(samples, cast(lo + 1 as int), cast(n as int))").alias("samples"),
+    )
+
+
+def write_files(traces: DataFrame, folder: str, flat: bool = False, power: int = 12) -> DataFrame:
+    """Write traces as miniSEED, a file a channel and day; returns file and records of what was written.
+
+    A file is written by one task, whole, under its final name, so a repeated
+    task writes the same again.  ``folder`` is a path or URI that all executors see.
+    """
+    from .opening import output_of
+
+    room = ((1 << power) - 64) // 8
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, name, records_ = None, None, 0
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                if r.file != name:
+                    if out is not None:
+                        out.close()
+                        yield pd.DataFrame({"file": [name], "records": [records_]})
+                    out, name, records_ = output_of(f"{folder}/{r.file}"), r.file, 0
+                samples = np.asarray(r.samples, float)
+                for at in range(0, len(samples), room):
+                    start = r.start_ns + round(at * r.delta * 1e9)
+                    out.write(write_record(r.network, r.station, r.location, r.channel, start, 1 / r.delta, samples[at : at + room], power))
+                    records_ += 1
+        if out is not None:
+            out.close()
+            yield pd.DataFrame({"file": [name], "records": [records_]})
+
+    pieces = day_files(traces, flat).repartition("file").sortWithinPartitions("file", "start_ns")
+    return pieces.mapInPandas(run, "file string, records long").checkpoint()  # written once, now

@@ -173,7 +173,89 @@ def test_open_any(spark, tmp_path):
 
     (tmp_path / "S1").mkdir()
     (tmp_path / "S1" / "0.tdms").write_bytes(silixa())
-    assert open_any(spark, f"{tmp_path}/S1/*.tdms").count() == 3 and "station" in open_any(spark, f"{tmp_path}/{{station}}/*.tdms").columns
+    assert open_any(spark, f"{tmp_path}/S1/*.tdms").shape == (20, 3) and open_any(spark, f"{tmp_path}/{{station}}/*.tdms").fields == ("station",)
     f = LabeledFrame.from_numpy(spark, np.arange(3.0), dims=("x",))
     save_frame(f, str(tmp_path / "native"))
     assert open_any(spark, str(tmp_path / "native"), engine="native").equals(f)
+
+
+def test_files_become_frames(spark, tmp_path):
+    from stridewell.sources.opening import open_frames, open_tree_frames
+
+    starts = ["2023-05-01T00:00:00", "2023-05-01T00:00:00.020", "2023-05-01T00:00:05"]
+    for k, start in enumerate(starts):
+        folder = tmp_path / f"DAS0{k // 2 + 1}"
+        folder.mkdir(exist_ok=True)
+        (folder / f"{9 - k}.tdms").write_bytes(silixa(start))  # in another order by name
+    (tmp_path / "DAS01" / "bad.tdms").write_bytes(b"TDSm broken")
+    block = np.arange(60.0).reshape(20, 3)
+    f = open_frames(spark, f"{tmp_path}/*/*.tdms")
+    assert f.dims == ("time", "distance") and f.shape == (60, 3) and len(f.coords["time"].tie_values) == 2
+    assert np.array_equal(f.to_numpy(), np.concatenate([block] * 3)) and f.coords["distance"].values().tolist() == [5.0, 7.0, 9.0]
+    plan = f.df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "Union" not in plan  # one plan, whatever the number of files
+    part = open_frames(spark, f"{tmp_path}/*/*.tdms", sel={"time": slice("2023-05-01T00:00:00.015", "2023-05-01T00:00:00.024"), "distance": slice(6.0, None)})
+    assert part.shape == (10, 2) and np.array_equal(part.to_numpy(), np.concatenate([block] * 2)[15:25, 1:])
+    assert part.coords["time"].start == f.coords["time"].start + 15_000_000
+    assert np.array_equal(open_frames(spark, f"{tmp_path}/*/*.tdms", isel={"time": slice(55, None)}).to_numpy(), block[15:])
+    tree = open_tree_frames(spark, f"{tmp_path}/{{station}}/[acquisition].tdms")
+    assert tree.fields == ("station", "acquisition") and [(p, g.shape) for p, g in tree.frames()] == [(("DAS01", 0), (20, 3)), (("DAS01", 1), (20, 3)), (("DAS02", 0), (20, 3))]
+    by_station = open_tree_frames(spark, f"{tmp_path}/{{station}}/*.tdms")
+    assert [(p, g.shape) for p, g in by_station.frames()] == [(("DAS01",), (40, 3)), (("DAS02",), (20, 3))]
+    with pytest.raises(Exception):
+        open_frames(spark, f"{tmp_path}/*/*.tdms", "silixa", on_error="raise")
+
+    def own(raw):
+        n = len(raw) % 7 + 1
+        return engines.Opened(np.full((n, 2), float(n)), C.Sampled(np.array([len(raw) * 10**9]), [n], NS, "time", True), C.Dense(np.arange(2.0), "distance"))
+
+    (tmp_path / "x").mkdir()
+    for n in (1, 20, 300):
+        (tmp_path / "x" / f"{n}.bin").write_bytes(b"z" * n)
+    made = open_frames(spark, f"{tmp_path}/x/*.bin", own)
+    assert made.shape == (1 % 7 + 1 + 20 % 7 + 1 + 300 % 7 + 1, 2) and made.to_numpy()[0, 0] == 2
+
+
+def test_frames_of_files_that_do_not_fit(spark, tmp_path):
+    from stridewell.sources.opening import open_frames
+
+    for k in range(4):
+        (tmp_path / f"{k}.bin").write_bytes(bytes([k]) * 4)
+
+    def own(raw):
+        k = raw[0]
+        return engines.Opened(np.full((3, 2), float(k)), C.Sampled(np.array([k * 3 * NS]), [3], NS, "time", True), C.Dense(np.arange(2.0) + k // 2, "distance"))
+
+    found = open_frames(spark, f"{tmp_path}/*.bin", own)
+    assert [f.shape for f in found] == [(6, 2), (6, 2)] and found[1].to_numpy()[:, 0].tolist() == [2, 2, 2, 3, 3, 3]
+
+
+def test_stored_trees_are_united(spark, tmp_path):
+    from stridewell.sources.opening import open_any
+    from stridewell.tree import Tree
+
+    def part(start, k):
+        return LabeledFrame.from_numpy(spark, np.full((4, 2), float(k)), {"time": C.Sampled.from_block(start, 4, 1.0, "time"), "x": C.Dense(np.arange(2.0), "x")}, ("time", "x"))
+
+    Tree({"a": part("2023-01-01", 1)}, "station").save(str(tmp_path / "one"))
+    Tree({"a": part("2023-01-01T00:00:04", 2), "b": part("2023-01-01", 3)}, "station").save(str(tmp_path / "two"))
+    tree = open_any(spark, [str(tmp_path / "two"), str(tmp_path / "one")], engine="tree")
+    assert tree.name == "station" and [(p, f.shape) for p, f in tree.frames()] == [(("a",), (8, 2)), (("b",), (4, 2))]
+    assert tree["a"].to_numpy()[:, 0].tolist() == [1] * 4 + [2] * 4
+
+
+def test_day_archive(spark, tmp_path):
+    from stridewell.sources import miniseed
+
+    midnight = 19_358 * miniseed.DAY_NS
+    x = np.random.default_rng(0).normal(size=3000)
+    rows = [("FR", "STA", "00", "HHZ", midnight - 10 * NS + 123_000, 0.02, x.tolist()), ("FR", "STA", "00", "HHN", midnight, 5.0, x[:7].tolist()), ("FR", "STA", "00", "HHE", None, 1.0, [1.0])]
+    traces = spark.createDataFrame(rows, "network string, station string, location string, channel string, start_ns long, delta double, samples array<double>")
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "checkpoints"))
+    written = {r.file: r.records for r in miniseed.write_files(traces, str(tmp_path / "sds")).collect()}
+    assert set(written) == {"2022/FR/STA/HHZ.D/FR.STA.00.HHZ.D.2022.365", "2023/FR/STA/HHZ.D/FR.STA.00.HHZ.D.2023.001", "2023/FR/STA/HHN.D/FR.STA.00.HHN.D.2023.001"}
+    back = sorted(miniseed.open_traces(spark, f"{tmp_path}/sds/*/*/*/*/*").collect(), key=lambda r: (r.channel, r.start_ns))
+    north, vertical = [r for r in back if r.channel == "HHN"], [r for r in back if r.channel == "HHZ"]
+    assert np.allclose(np.concatenate([r.samples for r in vertical]), x) and vertical[0].start_ns == midnight - 10 * NS + 123_000 and vertical[1].start_ns >= midnight
+    assert north[0].delta == pytest.approx(5.0) and np.allclose(north[0].samples, x[:7])
+    assert {r.file for r in miniseed.write_files(traces, str(tmp_path / "flat"), flat=True).collect()} == {n.split("/")[-1] for n in written}
