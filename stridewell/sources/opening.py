@@ -41,7 +41,7 @@ class Part:
     distance: C.Coordinate
 
 
-def _located(path: str):
+def located(path: str):
     from pyarrow import fs
 
     uri = re.sub(r"^file:/+", "file:///", path)
@@ -51,13 +51,13 @@ def _located(path: str):
 
 def file_of(path: str):
     """A file that can be read from any place, wherever it lies."""
-    system, inner = _located(path)
+    system, inner = located(path)
     return system.open_input_file(inner)
 
 
 def output_of(path: str):
     """A new file, with the folders above it."""
-    system, inner = _located(path)
+    system, inner = located(path)
     system.create_dir(inner.rsplit("/", 1)[0], recursive=True)
     return system.open_output_stream(inner)
 

@@ -113,6 +113,37 @@ def test_packets_that_come_late_under_an_earlier_name(spark, tmp_path):
         assert sorted(r.start_ns for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted(4 * [*range(n + 1)])
 
 
+def test_headers_are_told_by_content():
+    import json
+
+    h = packets.header_for(2, 5, "short", 1.0, "ms", 2.0) | {"roiTable": [{"roiStart": 10, "roiEnd": 14, "roiDec": 2}, {"roiStart": 100, "roiEnd": 102, "roiDec": 2}]}
+    d = packets.Decoder()
+    with pytest.warns(UserWarning):
+        assert list(d.feed(b"early")) == []
+    text = json.dumps(h).encode()
+    assert list(d.feed(text)) == []
+    start = int.from_bytes(b'{"a": 1}', "little")  # a packet that begins like a header
+    rows = list(d.feed(packets.encode_packet(start, np.arange(10).reshape(2, 5), "short")))
+    assert [r[1] for r in rows] == [10.0, 12.0, 14.0, 100.0, 102.0] and rows[3][4] == [3.0, 8.0] and {r[2] for r in rows} == {start}
+    with pytest.warns(UserWarning):
+        assert list(d.feed(b"x" * 27)) == []
+    same = json.dumps(packets.header_for(1, 1, "short", 1.0)).encode()
+    d.layout = packets.Layout.from_header(packets.header_for((len(same) - 8) // 2, 1, "short", 1.0) if len(same) % 2 == 0 else packets.header_for(1, len(same) - 8, "short", 1.0))
+    assert list(d.feed(same)) == [] and d.layout.distances.tolist() == [0.0]  # a header as long as a packet
+    for bad in ({"bytesPerPackage": 3}, {"roiTable": h["roiTable"][:1] * 4}):
+        with pytest.raises(ValueError):
+            packets.Layout.from_header(h | bad)
+
+
+def test_listing_of_patterns(tmp_path):
+    for name in ("a/1.log", "a/2.txt", "b/3.log", "c/d/4.log"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"")
+    assert packets.listed(f"{tmp_path}/*/*.log") == [f"{tmp_path}/a/1.log", f"{tmp_path}/b/3.log"]
+    assert packets.listed(f"file://{tmp_path}/a/*") == [f"file://{tmp_path}/a/1.log", f"file://{tmp_path}/a/2.txt"]
+    assert packets.listed(f"{tmp_path}/a/1.log") == [f"{tmp_path}/a/1.log"] and packets.listed(f"{tmp_path}/none/*.log") == []
+
+
 def test_traces(spark, tmp_path):
     time = C.Sampled(np.array([0, 60 * 10_000_000]), [50, 40], 10_000_000, "time", True)
     f = LabeledFrame.from_numpy(spark, np.arange(180.0).reshape(2, 90), {"channel": np.array(["HHZ", "HHN"], object), "time": time}, ("channel", "time"))
