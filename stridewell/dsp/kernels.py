@@ -50,6 +50,20 @@ def _extend(x: np.ndarray, pad: int, padtype: str | None) -> np.ndarray:
     return np.concatenate([left, x, right], axis=1)
 
 
+def extend_side(x: np.ndarray, pad: int, padtype: str, left: bool, skip: int = 0) -> np.ndarray:
+    """One end of a lane turned over; ``skip`` samples at the beginning are padding already."""
+    lane = x[:, skip:]
+    if pad >= lane.shape[1]:
+        raise ValueError("the padding must be shorter than the lane's outer blocks")
+    whole = _extend(lane, pad, padtype)
+    return np.concatenate([whole[:, :pad], x], axis=1) if left else np.concatenate([x, whole[:, whole.shape[1] - pad :]], axis=1)
+
+
+def sos_padding(sos) -> int:
+    sos = np.asarray(sos)
+    return 3 * int(2 * len(sos) + 1 - min((sos[:, 2] == 0).sum(), (sos[:, 5] == 0).sum()))
+
+
 def _both_ways(run, zi, x: np.ndarray, pad: int, padtype) -> np.ndarray:
     pad = 0 if padtype is None else pad
     y = _extend(np.asarray(x, float), pad, padtype)
@@ -66,8 +80,7 @@ def filtfilt(b, a, x, padtype="odd", padlen=None):
 
 def sosfiltfilt(sos, x, padtype="odd", padlen=None):
     zi = sosfilt_zi(sos)
-    taps = 2 * len(sos) + 1 - min((sos[:, 2] == 0).sum(), (sos[:, 5] == 0).sum())
-    pad = 3 * taps if padlen is None else padlen
+    pad = sos_padding(sos) if padlen is None else padlen
     return _both_ways(lambda y, y0: sosfilt(sos, y, zi * y0[:, None, None])[0], zi, x, min(pad, x.shape[1] - 1), padtype)
 
 

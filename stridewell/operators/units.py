@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import BROADCAST_ROWS, broadcast_checked
 from ..functions.unitgraph import CANONICAL, CASED, EDGES, SPELLINGS, conversion_rows
 
 # Words by which remarks name a field.
@@ -44,14 +45,15 @@ def to_canonical(df: DataFrame, *, dimension: str = "dimension", value: str = "v
     or an unknown unit or dimension the common value is null; an unknown unit is
     not common.  All rows are kept, repeated ones too.
     """
+    known = conversion_rows(canonical, edges)
     rows = df.sparkSession.createDataFrame(
-        conversion_rows(canonical, edges), "__u_dim string, __u_text string, __u_unit string, __u_cased boolean, __u_scale double, __u_offset double, __u_target string"
+        known, "__u_dim string, __u_text string, __u_unit string, __u_cased boolean, __u_scale double, __u_offset double, __u_target string"
     )
     clean = F.regexp_replace(F.trim(F.col(unit)), r"(?<=.)\.$", "")
     cased = [s for table in CASED.values() for spellings in table.values() for s in spellings]
     text = F.when(clean.isin(cased), clean).otherwise(F.lower(clean))
     keyed = df.withColumn("__text", text)
-    joined = keyed.join(F.broadcast(rows), (F.col(dimension) == F.col("__u_dim")) & (F.col("__text") == F.col("__u_text")), "left")
+    joined = keyed.join(F.broadcast(rows) if len(known) <= BROADCAST_ROWS else rows, (F.col(dimension) == F.col("__u_dim")) & (F.col("__text") == F.col("__u_text")), "left")
     home = F.create_map(*[F.lit(x) for pair in canonical.items() for x in pair])
     target = F.try_element_at(home, F.col(dimension))
     number = F.col(value).cast("double")
@@ -75,7 +77,7 @@ def header_quantities(headers: DataFrame, instruments: DataFrame) -> DataFrame:
     is not common; its common value is the rate.  Fields that are null, or hold
     no number, give no row.
     """
-    systems = F.broadcast(instruments.select("instrument", "unit_system").dropDuplicates(["instrument"]))  # one row an instrument
+    systems = broadcast_checked(instruments.select("instrument", "unit_system").dropDuplicates(["instrument"]))
     h = headers.select("acq_id", "instrument", "dx", "dxunit", "dt", "dtunit", "datarate", "spacing", "remarks").join(systems, "instrument", "left")
     imperial = F.when(F.col("unit_system") == "imperial", F.lit("ft"))
     blank = lambda c: F.when(F.trim(F.col(c)) != "", F.col(c))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.blocks import broadcast_checked
 from ..operators import compaction, drift, grid, intervals, pairs, spikes, timestamps, units
 from ..session import ensure_checkpoint_dir
 from ..tables import table
@@ -14,6 +15,11 @@ from ..tables import table
 MINUTE_NS = 60_000_000_000
 
 
+def _instruments(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """One row an instrument, broadcast if they are counted to be few."""
+    return broadcast_checked(table(spark, folder, "instruments").dropDuplicates(["instrument"]).select("instrument", *columns))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     covered = intervals.coverage(table(spark, folder, "segments")).filter("step IS NOT NULL")
     covered = covered.withColumn("end", F.expr("try_add(tie_values, try_multiply(tie_lengths, step))"))
@@ -48,7 +54,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_instants(spark: SparkSession, folder: str) -> DataFrame:
     """The start of every acquisition as one UTC instant, with the notation it was read in."""
-    clocks = F.broadcast(table(spark, folder, "instruments").select("instrument", "tz", "date_order"))  # one row an instrument
+    clocks = _instruments(spark, folder, "tz", "date_order")
     headers = table(spark, folder, "acq_headers").select(
         "acq_id", "instrument", F.coalesce(F.when(F.trim("metadata_timestamp") != "", F.col("metadata_timestamp")), "header_time").alias("start"),
         F.unix_micros(F.col("received_ts").cast("timestamp")).alias("arrival"),
@@ -88,7 +94,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_flags(spark: SparkSession, folder: str) -> DataFrame:
     """Implausible readings of both layouts with their cause."""
-    bounds = F.broadcast(table(spark, folder, "instruments").select("instrument", "range_lo", "range_hi"))  # one row an instrument
+    bounds = _instruments(spark, folder, "range_lo", "range_hi")
     long = table(spark, folder, "readings").select("reading_id", "lane_id", "instrument", "time__ns", "value").join(bounds, "instrument", "left")
     packed = table(spark, folder, "packed_blocks").select("block_id", "lane_id", "instrument", "start_ns", "step_ns", "samples").join(bounds, "instrument", "left")
     a = spikes.implausible(long, lane="lane_id", at="time__ns", row_id="reading_id", value="value", low="range_lo", high="range_hi")

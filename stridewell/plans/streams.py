@@ -72,10 +72,14 @@ def _(spark, folder):
     rows = events.select(F.col("ts").cast("timestamp").alias("at"), "event_type", F.round(F.col("value") * 10000).cast("long").alias("q"))
     sums = rows.withWatermark("at", "30 days").groupBy("event_type", F.window("at", "1 day").alias("w")).agg(F.count("*").alias("n"), F.sum("q").alias("q"))
     flat = sums.select("event_type", F.expr("unix_micros(w.start) div 86400000000").alias("day"), "n", "q")
-    name = f"sums_{uuid.uuid4().hex}"
-    stream = flat.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
+    flat_schema = flat.schema
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/out")  # all sums as they are now
+
+    stream = flat.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
     stream.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(flat_schema).parquet(f"{place}/out")
 
 
 def _is_folder(path: str) -> bool:

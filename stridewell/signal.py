@@ -1,7 +1,9 @@
 """Signal processing along one dimension of a labeled frame.
 
 Frequencies are in units of the axis (Hz on time axes).  What windows can say
-lives in :mod:`stridewell.axis`; the rest runs on packed lanes.
+lives in :mod:`stridewell.axis`; the rest runs on packed lanes.  Filters take
+lanes of over ``pack.LANE_SAMPLES`` samples block by block, with equal results;
+transforms need whole lanes.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 from . import coords as C
+from . import pack
 from .axis import detrend, differentiate, integrate, medfilt, segment_mean_removal, sliding_mean_removal, taper
 from .dsp import design, kernels
 from .frame import LabeledFrame
@@ -23,13 +26,70 @@ __all__ = [
 def filter(f: LabeledFrame, freq, btype: str, corners: int = 4, zerophase: bool = False, dim: str = "last") -> LabeledFrame:
     """Butterworth filter; the design is made once, on the driver."""
     sos = design.iir_sos(corners, freq, btype, fs=rate(f, dim))
-    return along(f, dim, (lambda x: kernels.sosfiltfilt(sos, x)) if zerophase else (lambda x: kernels.sosfilt(sos, x)[0]))
+    return sosfiltfilt(sos, f, dim) if zerophase else sosfilt(sos, f, dim)
+
+
+def _is_long(f: LabeledFrame, dim: str) -> bool:
+    """Whether lanes are too long to be one row each."""
+    return f.size(dim) > pack.LANE_SAMPLES
+
+
+def _forward(f: LabeledFrame, dim: str, step) -> LabeledFrame:
+    """A causal filter over blocks, whose state goes from block to block."""
+    dim = f.axis(dim)
+
+    def stage(x, state, first, last):
+        y, state = step(x[None], state)
+        return y[0], state
+
+    blocks = pack.run_blocks(pack.pack_blocks(f, dim, pack.BLOCK_SAMPLES), stage)
+    return pack.unpack_blocks(blocks, f, dim, pack.BLOCK_SAMPLES)
+
+
+def _forth_and_back(f: LabeledFrame, dim: str, step, zi: np.ndarray, reach: int, padtype) -> LabeledFrame:
+    """A filter in both directions over blocks: the first and the last block carry the lane's turned-over ends."""
+    dim = f.axis(dim)
+    reach = min(reach, f.size(dim) - 1) if padtype is not None else 0
+    if reach >= pack.BLOCK_SAMPLES:
+        raise ValueError("the padding must be shorter than a block")
+
+    def pass_over(head: bool):
+        def stage(x, state, first, last):
+            before = after = 0
+            if head and reach:
+                whole = x[None]
+                if first:
+                    whole, before = kernels.extend_side(whole, reach, padtype, True), reach
+                if last:
+                    after = reach
+                    whole = kernels.extend_side(whole, reach, padtype, False, skip=before)
+                x = whole[0]
+            if not head:
+                x = x[::-1]
+            if state is None:
+                state = zi * x[0]
+            y, state = step(x[None], state)
+            y = y[0]
+            return (y if head else y[::-1]), state
+
+        return stage
+
+    # forward with the padding kept in the outer blocks, backward over all, then the padding falls away
+    forth = pack.run_blocks(pack.pack_blocks(f, dim, pack.BLOCK_SAMPLES), pass_over(True))
+    back = pack.run_blocks(forth, pass_over(False), backward=True)
+
+    def trim(x, state, first, last):
+        return x[reach if first else 0 : len(x) - reach if last else len(x)], None
+
+    return pack.unpack_blocks(pack.run_blocks(back, trim), f, dim, pack.BLOCK_SAMPLES)
 
 
 def lfilter(b, a, f: LabeledFrame, dim: str = "last", zi=None):
     """Filter from rest; with ``zi`` (see :func:`sosfilt`) also the states after it."""
     if zi is not None:
         return _with_states(f, dim, zi, (max(len(a), len(b)) - 1,), lambda x, z: kernels.lfilter(b, a, x, z))
+    if _is_long(f, dim):
+        return _forward(f, dim, lambda x, z: kernels.lfilter(b, a, x, z))
     return along(f, dim, lambda x: kernels.lfilter(b, a, x)[0])
 
 
@@ -39,6 +99,8 @@ def sosfilt(sos, f: LabeledFrame, dim: str = "last", zi=None):
     columns and ``state``.  ``zi`` is ``...`` (rest), numbers for all lanes, or such a DataFrame."""
     if zi is not None:
         return _with_states(f, dim, zi, (len(sos), 2), lambda x, z: kernels.sosfilt(sos, x, z))
+    if _is_long(f, dim):
+        return _forward(f, dim, lambda x, z: kernels.sosfilt(sos, x, z))
     return along(f, dim, lambda x: kernels.sosfilt(sos, x)[0])
 
 
@@ -47,11 +109,11 @@ def _with_states(f: LabeledFrame, dim: str, zi, shape: tuple[int, ...], step):
     from pyspark.sql import DataFrame
     from pyspark.sql import functions as F
 
-    from .pack import pack, run_lanes, unpack
+    from .pack import run_lanes, unpack
 
     dim = f.axis(dim)
     k = int(np.prod(shape))
-    rows = pack(f, dim)
+    rows = pack.pack(f, dim)
     if isinstance(zi, DataFrame):
         rows = rows.join(zi, f.lanes(dim), "left").withColumn("state", F.coalesce("state", F.array_repeat(F.lit(0.0), k)))
     else:
@@ -70,10 +132,16 @@ def _with_states(f: LabeledFrame, dim: str, zi, shape: tuple[int, ...], step):
 
 
 def filtfilt(b, a, f: LabeledFrame, dim: str = "last", padtype="odd", padlen=None) -> LabeledFrame:
+    if _is_long(f, dim):
+        reach = 3 * max(len(a), len(b)) if padlen is None else padlen
+        return _forth_and_back(f, dim, lambda x, z: kernels.lfilter(b, a, x, z), design.lfilter_zi(b, a), reach, padtype)
     return along(f, dim, lambda x: kernels.filtfilt(b, a, x, padtype, padlen))
 
 
 def sosfiltfilt(sos, f: LabeledFrame, dim: str = "last", padtype="odd", padlen=None) -> LabeledFrame:
+    if _is_long(f, dim):
+        reach = kernels.sos_padding(sos) if padlen is None else padlen
+        return _forth_and_back(f, dim, lambda x, z: kernels.sosfilt(sos, x, z), design.sosfilt_zi(sos), reach, padtype)
     return along(f, dim, lambda x: kernels.sosfiltfilt(sos, x, padtype, padlen))
 
 
@@ -215,7 +283,7 @@ def stft(f: LabeledFrame, window="hann", nperseg: int = 256, noverlap: int | Non
     from pyspark.sql import functions as F
 
     from .frame import idx
-    from .pack import pack, run_lanes
+    from .pack import run_lanes
 
     old, new = _axes(f, dim)
     noverlap = nperseg // 2 if noverlap is None else noverlap
@@ -223,7 +291,7 @@ def stft(f: LabeledFrame, window="hann", nperseg: int = 256, noverlap: int | Non
     fs = rate(f, old)
     frames = (f.size(old) - nperseg) // hop + 1
     freqs = np.fft.rfftfreq(nfft, 1 / fs) if onesided else np.fft.fftshift(np.fft.fftfreq(nfft, 1 / fs))
-    packed = run_lanes(pack(f, old), [lambda x: kernels.stft(x, window, nperseg, noverlap, nfft, onesided, scaling, 1 / fs).reshape(len(x), -1)], True)
+    packed = run_lanes(pack.pack(f, old), [lambda x: kernels.stft(x, window, nperseg, noverlap, nfft, onesided, scaling, 1 / fs).reshape(len(x), -1)], True)
     rows = packed.select(*f.lanes(old), F.posexplode("samples").alias("p", f.value))
     rows = rows.withColumn(idx(old), F.expr(f"cast(p div {len(freqs)} as long)")).withColumn(idx(new), F.expr(f"cast(p % {len(freqs)} as long)")).drop("p")
     coords = {k: c for k, c in f.coords.items() if c.dim != old}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import coords as C
 from ..frame import LabeledFrame, idx
+from ..operators.blocks import BROADCAST_ROWS
 from ..pack import pack, unpack
 
 # Band code letters of the SEED convention, by sampling rate in Hz:
@@ -54,7 +55,7 @@ def from_traces(traces: DataFrame, dim: str = "time") -> LabeledFrame:
     if lo != hi or d0 != d1 or n0 != n1:
         raise ValueError("traces aren't synchronized; group them by start, step and length first")
     axis = traces.sparkSession.createDataFrame(list(enumerate(names)), "channel__i long, channel string")
-    packed = traces.join(F.broadcast(axis), "channel").select("channel__i", "samples")  # one row a channel
+    packed = traces.join(F.broadcast(axis) if len(names) <= BROADCAST_ROWS else axis, "channel").select("channel__i", "samples")  # one row a channel
     coords = {"channel": C.Dense(np.array(names, object), "channel"), dim: C.Sampled(np.array([lo]), [n0], int(round(d0 * C.NS)), dim, True)}
     shell = LabeledFrame(packed.withColumn(idx(dim), F.lit(0)), ("channel", dim), coords, extents={"channel": len(names), dim: n0})
     return unpack(packed, shell, dim, coords, n0)

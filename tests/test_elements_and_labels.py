@@ -201,3 +201,25 @@ def test_trees(spark, tmp_path):
     with pytest.raises(ValueError):
         as_frame([a, part("2023-01-01T00:00:05", 5, 2).isel(x=0)], "time")
     assert unique(["a", "b", "a"]) == ["a", "b"] and unique([1, 1]) == 1
+
+
+@pytest.mark.parametrize("n", [100, 97, 60])
+def test_long_lanes_are_filtered_in_blocks(spark, monkeypatch, n):
+    from stridewell import pack
+
+    x = np.random.default_rng(7).normal(size=(3, n))
+    b, a, sos = [0.2, 0.1], [1.0, -0.5, 0.1], design.iir_sos(4, 0.2)
+    runs = {
+        "lfilter": lambda f: signal.lfilter(b, a, f, "time"), "sosfilt": lambda f: signal.sosfilt(sos, f, "time"), "filtfilt": lambda f: signal.filtfilt(b, a, f, "time"),
+        "sosfiltfilt": lambda f: signal.sosfiltfilt(sos, f, "time"), "filter": lambda f: signal.filter(f, [5.0, 20.0], "bandpass", 2, True, "time"),
+        "unpadded": lambda f: signal.sosfiltfilt(sos, f, "time", padtype=None),
+    }
+    f = LabeledFrame.from_numpy(spark, x, {"time": C.Sampled.from_block("2023-01-01", n, 0.01, "time")}, ("lane", "time"))
+    want = {k: run(f).to_numpy() for k, run in runs.items()}
+    monkeypatch.setattr(pack, "LANE_SAMPLES", 50)
+    monkeypatch.setattr(pack, "BLOCK_SAMPLES", 30)
+    for k, run in runs.items():
+        got = run(f)
+        assert "samples" not in got.df.columns and np.allclose(got.to_numpy(), want[k], atol=1e-10), k
+    one = LabeledFrame.from_numpy(spark, x[0], {"time": C.Sampled.from_block("2023-01-01", n, 0.01, "time")}, ("time",))
+    assert np.allclose(runs["sosfilt"](one).to_numpy(), want["sosfilt"][0])
