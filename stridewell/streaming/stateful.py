@@ -8,6 +8,7 @@ equal those of the whole lane.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -33,6 +34,11 @@ class OrderedBlocks:
         if i0 + len(samples) > self.next and len(samples):
             if i0 not in self.pending or len(samples) > len(self.pending[i0]):
                 self.pending[i0] = samples
+        yield from self.ready()
+        if len(self.pending) > self.most:
+            raise RuntimeError(f"{len(self.pending)} blocks wait for sample {self.next}")
+
+    def ready(self) -> Iterator[np.ndarray]:
         while self.pending:
             at = min(self.pending)
             if at > self.next:
@@ -42,53 +48,91 @@ class OrderedBlocks:
             self.next += len(fresh)
             if len(fresh):
                 yield fresh
-        if len(self.pending) > self.most:
-            raise RuntimeError(f"{len(self.pending)} blocks wait for sample {self.next}")
+
+    def skip(self) -> int:
+        """Give up what lies before the first waiting block; how many samples that is."""
+        if not self.pending:
+            return 0
+        lost = min(self.pending) - self.next
+        self.next += lost
+        return lost
 
 
 def _load(state: GroupState, fresh: Callable):
     return pickle.loads(state.get[0]) if state.exists else fresh()
 
 
-def filter_stream(blocks: DataFrame, atom: Atom, fs: float = 1.0, lane: str = "lane") -> DataFrame:
-    """A chain of stages on a stream (or a batch) of lane, i0, samples blocks."""
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        order, inner, out_at = _load(state, lambda: (OrderedBlocks(), None, 0))
-        rows = []
-        for frame in frames:
-            for i0, samples in zip(frame["i0"], frame["samples"]):
-                for x in order.push(int(i0), np.asarray(samples, float)):
-                    y, inner = atom.call(x[None], inner, fs)
-                    if y.shape[1]:
-                        rows.append((key[0], out_at, y[0]))
-                        out_at += y.shape[1]
-        state.update((pickle.dumps((order, inner, out_at)),))
-        yield pd.DataFrame(rows, columns=[lane, "i0", "samples"])
+def _run(blocks: DataFrame, lane: str, columns: str, work: Callable, gap: Callable, when: str | None, patience: str | None) -> DataFrame:
+    """The lanes' blocks in order through ``work(inner, key, samples) -> (rows, inner)``.
 
+    With ``when`` (a timestamp column) and ``patience``, a lane whose next block
+    hasn't come when the watermark has passed the waiting ones goes on after the
+    gap: ``gap(inner, next) -> inner``.
+    """
     kind = blocks.schema[lane].dataType.simpleString()
-    return blocks.groupBy(lane).applyInPandasWithState(
-        step, f"`{lane}` {kind}, i0 long, samples array<double>", _STATE, "append", GroupStateTimeout.NoTimeout
-    )
-
+    names = [lane, *[c.split()[0] for c in columns.split(", ")]]
+    if when:
+        blocks = blocks.withWatermark(when, patience or "0 seconds")
 
-def pick_stream(blocks: DataFrame, thresh: float, lane: str = "lane") -> DataFrame:
-    """Threshold picks of each lane: lane, i (place in the lane), value."""
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        order, inner, latest = _load(state, lambda: (OrderedBlocks(), None, 0))
+        rows: list[tuple] = []
+
+        def take(samples: np.ndarray) -> None:
+            nonlocal inner
+            found, inner = work(inner, key[0], samples)
+            rows.extend(found)
+
+        if state.hasTimedOut:
+            while order.skip():
+                inner = gap(inner, order.next)
+                for x in order.ready():
+                    take(x)
+                break  # one gap at a time: later blocks may still come
+        else:
+            for frame in frames:
+                if when and len(frame):
+                    latest = max(latest, int(pd.Timestamp(frame[when].max()).value // 1_000_000))
+                for i0, samples in zip(frame["i0"], frame["samples"]):
+                    for x in order.push(int(i0), np.asarray(samples, float)):
+                        take(x)
+        state.update((pickle.dumps((order, inner, latest)),))
+        if when and order.pending:
+            state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame(rows, columns=names)
+
+    timeout = GroupStateTimeout.EventTimeTimeout if when else GroupStateTimeout.NoTimeout
+    return blocks.groupBy(lane).applyInPandasWithState(step, f"`{lane}` {kind}, {columns}", _STATE, "append", timeout)
+
+
+def filter_stream(blocks: DataFrame, atom: Atom, fs: float = 1.0, lane: str = "lane", when: str | None = None, patience: str | None = None) -> DataFrame:
+    """A chain of stages on a stream (or a batch) of lane, i0, samples blocks.
+
+    A lost block holds its lane up, unless ``when`` names a time column and
+    ``patience`` how far the watermark lies behind it: then the chain begins anew after the gap.
+    """
+
+    def work(inner, key, samples):
+        state, at = inner or (None, 0)
+        y, state = atom.call(samples[None], state, fs)
+        rows = [(key, at, y[0])] if y.shape[1] else []
+        return rows, (state, at + y.shape[1])
+
+    def gap(inner, place):
+        return None, math.ceil(place * atom.factor(fs) - 1e-9)
+
+    return _run(blocks, lane, "i0 long, samples array<double>", work, gap, when, patience)
+
+
+def pick_stream(blocks: DataFrame, thresh: float, lane: str = "lane", when: str | None = None, patience: str | None = None) -> DataFrame:
+    """Threshold picks of each lane: lane, i (place in the lane), value.  A gap (see :func:`filter_stream`) drops an open trigger."""
     trigger = Trigger(thresh)
 
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        order, inner = _load(state, lambda: (OrderedBlocks(), None))
-        rows = []
-        for frame in frames:
-            for i0, samples in zip(frame["i0"], frame["samples"]):
-                for x in order.push(int(i0), np.asarray(samples, float)):
-                    picks, inner = trigger.call(x, inner)
-                    rows += [(key[0], i, v) for i, v in picks]
-        state.update((pickle.dumps((order, inner)),))
-        yield pd.DataFrame(rows, columns=[lane, "i", "value"])
+    def work(inner, key, samples):
+        picks, inner = trigger.call(samples, inner)
+        return [(key, i, v) for i, v in picks], inner
 
-    kind = blocks.schema[lane].dataType.simpleString()
-    return blocks.groupBy(lane).applyInPandasWithState(step, f"`{lane}` {kind}, i long, value double", _STATE, "append", GroupStateTimeout.NoTimeout)
+    return _run(blocks, lane, "i long, value double", work, lambda inner, place: {"offset": place, "open": None}, when, patience)
 
 
 def process(stream: DataFrame, folder: str, checkpoint: str, kind: str = "parquet", trigger: dict | None = None) -> StreamingQuery:

@@ -94,3 +94,27 @@ def test_streams_equal_the_batch(spark, tmp_path):
     q.awaitTermination()
     got = {(int(r.lane), int(r.i)) for r in spark.read.option("header", True).csv(str(tmp_path / "picks")).collect()}
     assert got == {(k, i) for k in range(3) for i, _ in Trigger(0.8).call(x[k])[0]}
+
+
+def test_a_lost_block_holds_its_lane_up_only_until_the_watermark(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import functions as F
+
+    x = np.arange(40.0)
+    at = lambda k: datetime(2024, 1, 1) + timedelta(minutes=k)
+    schema = "lane int, i0 long, samples array<double>, at timestamp"
+    sent = [[(1, 0), (2, 0)], [(1, 20), (2, 10)], [(2, 20), (2, 30)], [(1, 30)], [(9, 0)], [(9, 10)]]  # lane 1 loses the block at 10
+    stream = None
+    for n, blocks in enumerate(sent):
+        rows = [(lane, i0, x[i0 : i0 + 10].tolist(), at(10 * n + (100 if lane == 9 else 0))) for lane, i0 in blocks]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        out = filter_stream(stream, DownSample(5), when="at", patience="15 minutes")
+        process(out, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    got = {}
+    for r in spark.read.parquet(str(tmp_path / "out")).filter(F.col("lane") < 9).collect():
+        for k, v in enumerate(r.samples):
+            got[r.lane, r.i0 + k] = v
+    assert {k: v for k, v in got.items() if k[0] == 2} == {(2, k): 5.0 * k for k in range(8)}
+    assert {k: v for k, v in got.items() if k[0] == 1} == {(1, k): 5.0 * k for k in (0, 1, 4, 5, 6, 7)}
