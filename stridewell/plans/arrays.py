@@ -194,7 +194,7 @@ query("sliding_mean_boxcar", EV + ", k AS (SELECT unnest(range(-12, 13)) AS k),
       "m AS (SELECT n.lane__i, n.time__i, avg(g.value) AS m FROM near n JOIN g ON g.lane__i = n.lane__i AND g.time__i = n.j GROUP BY ALL) "
       f"SELECT {GRID.format('value - m')} FROM g JOIN m USING (lane__i, time__i)")(
     lambda s, d: out(axis.sliding_mean_removal(ev_grid(s, d), 24 * 3600, "boxcar", "time")))
-query("sliding_mean_hann", FILTERS["sliding_mean_hann"])(lambda s, d: out4(axis.sliding_mean_removal(ev_grid(s, d), 24 * 3600, "hann", "time")))
+query("sliding_mean_hann", FILTERS["sliding_mean_hann"])(lambda s, d: out(axis.sliding_mean_removal(ev_grid(s, d), 24 * 3600, "hann", "time")))
 query("medfilt_k3", EV + f", n AS (SELECT *, coalesce(lag(value) {_W}, 0) AS a, coalesce(lead(value) {_W}, 0) AS c FROM g) "
       f"SELECT {GRID.format('a + value + c - greatest(a, value, c) - least(a, value, c)')} FROM n")(lambda s, d: out(axis.medfilt(ev_grid(s, d), {"time": 3})))
 query("medfilt_2d", EV + ", k AS (SELECT dt, dl FROM (SELECT unnest(range(-1, 2)) AS dt), (SELECT unnest(range(-1, 2)) AS dl)), "

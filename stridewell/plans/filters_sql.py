@@ -138,5 +138,5 @@ FILTERS = {
     "sliding_mean_hann": RECURSIVE + SERIES + _values("h", [0.5 - 0.5 * math.cos(2 * math.pi * k / 24) for k in range(25)])
     + """, near AS (SELECT lane__i, j, w, CASE WHEN j + k - 12 < 0 THEN 12 - j - k WHEN j + k - 12 >= n THEN 2 * (n - 1) - (j + k - 12) ELSE j + k - 12 END AS i FROM src, h, ext),
       m AS (SELECT near.lane__i, near.j, sum(w * x) / sum(w) AS m FROM near JOIN src ON src.lane__i = near.lane__i AND src.j = near.i GROUP BY ALL)
-      SELECT """ + RESULT.format(time="j", value="x - m") + " FROM src JOIN m USING (lane__i, j)",
+      SELECT """ + RESULT.format(time="j", value="x - m").replace(", 4)", ", 6)") + " FROM src JOIN m USING (lane__i, j)",
 }
