@@ -12,7 +12,7 @@ arrays.register_sources()
 STREAMS = streams.__name__  # importing it registers its queries
 
 RECORDS = [
-    "p1_found", "p1_values", "p2_found", "p2_flags", "p3_found", "p3_grid", "p4_found", "p4_classes", "p4_from_order", "p4_instants", "p5_found", "p5_classes", "p5_manifest", "p5_plan", "p5_records",
+    "p1_found", "p1_values", "p2_found", "p2_flags", "p3_found", "p3_grid", "p4_found", "p4_classes", "p4_from_order", "p4_instants", "p4_utc", "p5_found", "p5_classes", "p5_manifest", "p5_plan", "p5_records",
     "p5_reconcile", "p6_found", "p6_table", "p7_found",
 ]
 

@@ -159,15 +159,16 @@ def asof(left: DataFrame, right: DataFrame, on: str, by: list[str] | None = None
     l = left.withColumn("__p", F.lit(None).cast(one.schema["__p"].dataType)).withColumn("__side", F.lit(1)).withColumn("__rank", F.xxhash64(*left.columns))
     both = l.unionByName(r, allowMissingColumns=True).withColumn("__key", F.struct(*by) if by else F.lit(0)).withColumn("__at", F.expr(line))
     both, cut = cut_blocks(both, "__key", "__at", target=target, fine=16, ties=None if kind in ("double", "float") else "__rank")
-    w = Window.partitionBy("__key", "block").orderBy(on, "__rank")
-    back = F.last("__p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("__p", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # both look back along an order: a window that looks ahead to the end is computed anew for every row
+    w = Window.partitionBy("__key", "block").rowsBetween(Window.unboundedPreceding, 0)
+    back = F.last("__p", ignorenulls=True).over(w.orderBy(on, "__rank"))
+    ahead = F.last("__p", ignorenulls=True).over(w.orderBy(F.desc(on), F.desc("__rank")))
     both = both.withColumn("__b", back).withColumn("__a", ahead)
     if cut is not None:
         ends = both.groupBy("__key", "block").agg(F.max("__p").alias("__last"), F.min("__p").alias("__first"))
-        blocks = Window.partitionBy("__key").orderBy("block")  # one row a block
-        before = F.max("__last").over(blocks.rowsBetween(Window.unboundedPreceding, -1))
-        after = F.min("__first").over(blocks.rowsBetween(1, Window.unboundedFollowing))
+        blocks = Window.partitionBy("__key").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+        before = F.max("__last").over(blocks.orderBy("block"))
+        after = F.min("__first").over(blocks.orderBy(F.desc("block")))
         ends = ends.select(F.col("__key").alias("__k"), F.col("block").alias("__n"), before.alias("__before"), after.alias("__after"))
         both = both.join(ends, both["__key"].eqNullSafe(F.col("__k")) & (both["block"] == F.col("__n")))
         both = both.withColumn("__b", F.coalesce("__b", "__before")).withColumn("__a", F.coalesce("__a", "__after"))

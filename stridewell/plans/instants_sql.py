@@ -73,6 +73,8 @@ read AS (
 
 P4_FOUND = INSTANTS + "SELECT a.acq_id AS acq_id_a, b.acq_id AS acq_id_b FROM read a JOIN read b ON a.instant = b.instant AND a.acq_id < b.acq_id"
 
+P4_UTC = INSTANTS + "SELECT acq_id, instant AS instant_us FROM read"
+
 P4_CLASSES = INSTANTS + """
 SELECT acq_id, representative, n - 1 AS links FROM (SELECT acq_id, min(acq_id) OVER (PARTITION BY instant) AS representative, count(*) OVER (PARTITION BY instant) AS n FROM read) WHERE n > 1
 """

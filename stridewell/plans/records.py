@@ -62,6 +62,11 @@ def p4_instants(spark: SparkSession, folder: str) -> DataFrame:
     return timestamps.normalise(headers.join(clocks, "instrument", "left"), "acq_id", "instrument", "start", "arrival")
 
 
+def p4_utc(spark: SparkSession, folder: str) -> DataFrame:
+    """The usable starts alone."""
+    return p4_instants(spark, folder).filter("instant_us IS NOT NULL").select("acq_id", "instant_us")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.class_pairs(p4_instants(spark, folder).filter("instant_us IS NOT NULL"), "instant_us", "acq_id")
 

@@ -1,8 +1,8 @@
 """SQL for the record queries that SQL can express over whole tables."""
 
-from .instants_sql import P4_CLASSES, P4_FOUND
+from .instants_sql import P4_CLASSES, P4_FOUND, P4_UTC
 
-__all__ = ["P4_CLASSES", "P4_FOUND"]
+__all__ = ["P4_CLASSES", "P4_FOUND", "P4_UTC"]
 
 _COVERAGE = """
 WITH steps AS (SELECT series_id, max(sampling_interval) AS series_step FROM segments GROUP BY series_id),
@@ -159,6 +159,51 @@ SELECT DISTINCT acq_id, field FROM (
 
 P1_FOUND = _p1_found()
 
+
+def _p1_values() -> str:
+    """Every number with its unit as spelled, and its value by the known conversions."""
+    from ..functions.unitgraph import CASED, SPELLINGS, conversion_rows
+    from ..operators.units import FIELD_WORDS
+
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(d)}, {quoted(s)}, {quoted(u)}, {scale!r}::DOUBLE, {quoted(t)})" for d, s, u, _, scale, _, t in conversion_rows() if d != "temperature")
+    cased = ", ".join(quoted(s) for table in CASED.values() for spellings in table.values() for s in spellings)
+    times, millis = (", ".join(map(quoted, spellings)) for spellings in ([s for v in SPELLINGS["time"].values() for s in v], SPELLINGS["time"]["ms"]))
+
+    def remark(field: str, dimension: str) -> str:
+        found = {s for t in (SPELLINGS, CASED) for v in t.get(dimension, {}).values() for s in v if s[0].isalpha()}
+        stop = "" if field == "spacing" else ";,/"
+        words = "|".join(sorted(found, key=lambda s: (-len(s), s)))
+        pattern = rf"(?:^|[^\pL])(?:{'|'.join(FIELD_WORDS[field])})(?:[^\pL.{stop}][^.{stop}]{{0,40}}?)?[^\pL\d.{stop}]({words})(?:$|[^\pL\d])"
+        return f"nullif(regexp_extract(remarks, '{pattern}', 1, 'i'), '')"
+
+    number = r"^\s*((?:every|each|alle|toutes les)\s+)?([+-]?[0-9]+(?:[.,][0-9]+)?(?:[eE][+-]?[0-9]+)?)\s*(.*?)\s*$"
+    imperial = "CASE WHEN unit_system = 'imperial' THEN 'ft' END"
+    return f"""
+WITH known(dim, spelling, u, scale, target) AS (VALUES {known}),
+h AS (SELECT DISTINCT acq_id, dx, dxunit, dt, dtunit, spacing, remarks, unit_system, regexp_extract(datarate, '{number}', ['every', 'n', 'unit'], 'i') AS rate FROM acq_headers LEFT JOIN instruments USING (instrument)),
+items AS (
+  SELECT acq_id, 'dx' AS field, 0 AS part, 'length' AS dim, dx AS value, coalesce(CASE WHEN trim(dxunit) <> '' THEN dxunit END, {remark('dx', 'length')}, {imperial}) AS unit, false AS period FROM h
+  UNION ALL SELECT acq_id, 'dt', 0, 'time', dt, coalesce(CASE WHEN trim(dtunit) <> '' THEN dtunit END, {remark('dt', 'time')}), false FROM h
+  UNION ALL SELECT acq_id, 'datarate', 0, CASE WHEN p THEN 'time' ELSE 'rate' END, value, unit, p FROM (
+    SELECT *, rate.every <> '' OR coalesce(lower(unit) IN ({times}), false) AS p FROM (
+      SELECT acq_id, rate, TRY_CAST(replace(rate.n, ',', '.') AS DOUBLE) AS value, coalesce(nullif(rate.unit, ''), {remark('datarate', 'rate')}) AS unit FROM h))
+  UNION ALL SELECT acq_id, 'spacing', 0, 'length', spacing[1], coalesce({remark('spacing', 'length')}, {imperial}), false FROM h
+  UNION ALL SELECT acq_id, 'spacing', 1, 'time', spacing[2], coalesce({remark('spacing', 'time')}, 'ms'), false FROM h),
+spelled AS (
+  SELECT *, CASE WHEN c IN ({cased}) THEN c ELSE lower(c) END AS text
+  FROM (SELECT *, regexp_replace(trim(unit), '(.)\\.$', '\\1') AS c FROM items WHERE value IS NOT NULL AND NOT isnan(value)))
+SELECT DISTINCT acq_id, field, part, value, unit,
+  CASE WHEN period THEN false WHEN field = 'spacing' AND part = 1 THEN lower(trim(unit)) IN ({millis}) ELSE coalesce(text, '') = '' OR coalesce(u = target, false) END AS is_common,
+  CASE WHEN period THEN 'Hz' ELSE CASE spelled.dim WHEN 'length' THEN 'm' WHEN 'time' THEN 's' ELSE 'Hz' END END AS common_unit,
+  CASE WHEN period THEN CASE WHEN value * scale <> 0 THEN 1 / (CASE WHEN coalesce(text, '') = '' THEN value ELSE value * scale END) END
+       WHEN coalesce(text, '') = '' THEN value ELSE value * scale END AS common_value
+FROM spelled LEFT JOIN known ON known.dim = spelled.dim AND spelling = text
+"""
+
+
+P1_VALUES = _p1_values()
+
 P6_FOUND = r"""
 WITH h AS (SELECT DISTINCT device_id, header_id, file_no, attrs_json FROM zone_headers WHERE device_id IS NOT NULL AND file_no IS NOT NULL AND header_id IS NOT NULL AND json_type(attrs_json) = 'OBJECT'),
 n AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY file_no, header_id) AS seq FROM h),
