@@ -478,6 +478,19 @@ def _either(sign: str, bitwise: str) -> Callable:
     return call
 
 
+def with_segment(df: DataFrame, index: str, cuts: list[int], number: str, start: str) -> DataFrame:
+    """Add the number of the segment [cuts[k], cuts[k + 1]) that an index lies in, and its first index."""
+    if len(cuts) <= WRITTEN_PIECES:
+        at = F.array_size(F.filter(F.array(*[F.lit(int(c)).cast("long") for c in cuts[:-1]]), lambda c: c <= F.col(index))) - 1
+        return df.withColumn(number, at.cast("long")).withColumn(start, F.get(F.array(*[F.lit(int(c)).cast("long") for c in cuts[:-1]]), F.col(number).cast("int")))
+    width = max(1, cuts[-1] // (4 * len(cuts)))
+    rows = [(part, k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a for part in range(a // width, (b - 1) // width + 1)]
+    table = df.sparkSession.createDataFrame(rows, f"__part long, `{number}` long, `{start}` long, __end long")
+    table = F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
+    on = (F.expr(f"`{index}` div {width}") == F.col("__part")) & (F.col(index) >= F.col(start)) & (F.col(index) < F.col("__end"))
+    return df.join(table, on).drop("__part", "__end")
+
+
 def with_label(df: DataFrame, c: C.Coordinate, name: str) -> DataFrame:
     """Add the labels of a coordinate; long descriptors are joined on parts of the index."""
     pieces = None if c.dim is None else c.pieces(WRITTEN_PIECES)

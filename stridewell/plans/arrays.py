@@ -459,6 +459,15 @@ query("filtfilt", FILTERS["filtfilt"])(lambda s, d: out4(signal.filtfilt([0.2, 0
 query("lfilter_iir", EV.replace("WITH ev", "WITH RECURSIVE ev", 1) + ", y AS (SELECT lane__i, time__i, 0.5 * value AS v FROM g WHERE time__i = 0 UNION ALL "
       f"SELECT g.lane__i, g.time__i, 0.5 * g.value + 0.5 * y.v FROM y JOIN g ON g.lane__i = y.lane__i AND g.time__i = y.time__i + 1) SELECT {GRID.format('v')} FROM y")(
     lambda s, d: out(signal.lfilter([0.5], [1.0, -0.5], ev_grid(s, d), "time")))
+@query("filter_per_segment", FILTERS["filter_per_segment"])
+def _(s, d):
+    f = ev_grid(s, d)
+    a, b, c = f.isel(time=slice(0, 100)), f.isel(time=slice(100, 350)), f.isel(time=slice(350, None))
+    late = lambda g, hours: g._with(g.df, coords=g.coords | {"time": g.coords["time"].shift(hours * HOUR_NS)})
+    gapped = setops.concat([a, late(b, 3), late(c, 7)], "time")
+    return out4(signal.per_segment(gapped, lambda g: signal.sosfilt(_sos(), g, "time"), "time"))
+
+
 query("decimate", FILTERS["decimate"])(lambda s, d: out4(signal.decimate(ev_grid(s, d), 4, dim="time")))
 query("resample", FILTERS["resample"])(lambda s, d: out4(signal.resample(ev_grid(s, d), 180, "time")))
 query("resample_poly", FILTERS["resample_poly"])(lambda s, d: out4(signal.resample_poly(ev_grid(s, d), 2, 3, "time")))

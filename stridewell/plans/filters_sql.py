@@ -119,6 +119,8 @@ FILTERS = {
     "sosfilt": _result(iir("done", "src", lowpass(4, 0.2)), "done"),
     "sosfiltfilt": _result(both_ways(lowpass(4, 0.2), 15), "done"),
     "filter_bandpass_zerophase": _result(both_ways(bandpass(4, 0.1, 0.4), 27), "done"),
+    "filter_per_segment": RECURSIVE + SERIES.replace("SELECT lane__i, time__i AS j, value AS x FROM g", "SELECT lane__i * 4 + s AS lane__i, time__i - a AS j, value AS x FROM g JOIN (VALUES (0, 0, 100), (1, 100, 350), (2, 350, 1000000000)) v(s, a, b) ON time__i >= a AND time__i < b")
+    + iir("done", "src", lowpass(4, 0.2)) + " SELECT " + RESULT.format(time="j + [0, 100, 350][lane__i % 4 + 1]", value="y").replace(" lane__i,", " lane__i // 4 AS lane__i,") + " FROM done",
     "filtfilt": _result(both_ways(_ONE_POLE, 6), "done"),
     "decimate": _result(both_ways(lowpass(8, 0.2, 0.05), 27), "done", "j // 4", " WHERE j % 4 = 0"),
     "stream_filter_decimate": RECURSIVE + SERIES + _values("h", _windowed(31, 0.2, _HAMMING))

@@ -18,7 +18,7 @@ from .frame import LabeledFrame
 from .pack import along, rate
 
 __all__ = [
-    "decimate", "detrend", "differentiate", "fft", "filter", "filtfilt", "frames", "hilbert", "ifft", "integrate", "irfft", "lfilter", "medfilt", "resample",
+    "decimate", "detrend", "differentiate", "fft", "filter", "filtfilt", "frames", "hilbert", "ifft", "integrate", "irfft", "lfilter", "medfilt", "per_segment", "resample",
     "resample_poly", "rfft", "segment_mean_removal", "sliding_mean_removal", "sosfilt", "sosfiltfilt", "stft", "taper",
 ]
 
@@ -251,6 +251,40 @@ def irfft(f: LabeledFrame, n: int | None = None, dim={"last": "signal"}, norm=No
     return _inverse(f, dim, lambda z: np.fft.irfft(z, n, axis=1, norm=norm), n, False)
 
 
+def per_segment(f: LabeledFrame, run, dim: str = "last", tolerance=None) -> LabeledFrame:
+    """``run`` over each stretch of an axis between its discontinuities by itself.
+
+    Stretches become lanes of their own, so all of them are one plan.  ``run``
+    takes and gives a frame and must keep the number of samples (filters,
+    detrending, running sums, Hilbert).
+    """
+    from pyspark.sql import functions as F
+
+    from .frame import idx, with_segment
+
+    dim = f.axis(dim)
+    c = f.coords[dim]
+    cuts = [0, *c.split_indices("discontinuities", tolerance).tolist(), c.size]
+    if len(cuts) <= 2:
+        return run(f)
+    i = idx(dim)
+    rows = with_segment(f.df, i, cuts, idx("segment"), "__first").withColumn(i, F.col(i) - F.col("__first")).drop("__first")
+    longest = int(np.diff(cuts).max())
+    along_ = c.slice(slice(0, min(2, c.size)))
+    step = c.sampling_interval(cast=False)
+    axis = C.Sampled(np.array([along_.start]), [longest], step, dim, c.is_time)
+    others = {k: v for k, v in f.coords.items() if v.dim not in (dim, None) and not isinstance(v, C.Column)}
+    apart = f._with(rows, dims=("segment", *f.dims), coords=others | {dim: axis}, extents=f.extents | {"segment": len(cuts) - 1, dim: longest})
+    done = run(apart)
+    firsts = F.array(*[F.lit(int(a)).cast("long") for a in cuts[:-1]])
+    if len(cuts) > 1000:
+        starts = f.df.sparkSession.createDataFrame(list(enumerate(cuts[:-1])), f"`{idx('segment')}` long, __first long")
+        back = done.df.join(starts, idx("segment"))
+    else:
+        back = done.df.withColumn("__first", F.get(firsts, F.col(idx("segment")).cast("int")))
+    return f._with(back.withColumn(i, F.col(i) + F.col("__first")).drop("__first", idx("segment")), value=done.value)
+
+
 def frames(f: LabeledFrame, nperseg: int, noverlap: int, dim: str = "last", new_dim: str = "frame") -> LabeledFrame:
     """Overlapping frames of ``nperseg`` samples as a dim of their own; samples after the last whole frame are left out."""
     from pyspark.sql import functions as F

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import coords as C
-from ..frame import LabeledFrame, idx
+from ..frame import LabeledFrame, idx, with_label, with_segment
 from ..operators.blocks import BROADCAST_ROWS
-from ..pack import pack, unpack
+from ..pack import unpack
 
 # Band code letters of the SEED convention, by sampling rate in Hz:
 # T from 1e-6 to 1e-5, P to 1e-4, R to 0.001, U to 0.01, V to 0.1, L to 1, M to 10, B to 80, H to 250, C to 1000, F to 5000
@@ -34,18 +34,26 @@ def to_traces(f: LabeledFrame, dim: str = "time", channel: str | None = None, ne
     dim = f.axis(dim)
     c = f.coords[dim]
     cuts = [0, *c.split_indices("discontinuities", 0).tolist(), c.size]
-    delta = c.sampling_interval()
-    parts = None
-    for lo, hi in zip(cuts, cuts[1:]):
-        piece = f.isel({dim: slice(lo, hi)})
-        rows = pack(piece, dim)
-        name = f.coords[channel].expr(F.col(idx(channel))).cast("string") if channel else F.concat_ws("_", *[F.col(x).cast("string") for x in f.lanes(dim)])
-        rows = rows.select(
-            F.lit(network).alias("network"), F.lit(station).alias("station"), F.lit(location).alias("location"), name.alias("channel"),
-            F.lit(int(c.label(np.array([lo]))[0])).alias("start_ns"), F.lit(float(delta)).alias("delta"), "samples",
-        )
-        parts = rows if parts is None else parts.unionByName(rows)
-    return parts
+    rows = with_segment(f.df, idx(dim), cuts, "__no", "__first")
+    pair = F.struct(F.col(idx(dim)).alias("i"), F.col(f.value).cast("double").alias("v"))
+    rows = rows.groupBy(*f.lanes(dim), "__first").agg(F.array_sort(F.collect_list(pair)).alias("p"))
+    rows = with_label(rows.withColumnRenamed("__first", idx(dim)), c, "start_ns")
+    if channel:
+        rows = with_label(rows, f.coords[channel], "__channel").withColumn("channel", F.col("__channel").cast("string"))
+    else:
+        rows = rows.withColumn("channel", F.concat_ws("_", *[F.col(x).cast("string") for x in f.lanes(dim)]))
+    return rows.select(
+        F.lit(network).alias("network"), F.lit(station).alias("station"), F.lit(location).alias("location"), "channel",
+        F.col("start_ns").cast("long").alias("start_ns"), F.lit(float(c.sampling_interval())).alias("delta"), F.transform("p", lambda p: p["v"]).alias("samples"),
+    )
+
+
+def time_coordinate(start_ns: int, n: int, delta: float, ignore_last_sample: bool = False, kind: str = "sampled", dim: str = "time") -> C.Coordinate:
+    """The time axis of a trace, its step to the microsecond."""
+    step, n = round(delta * 1e6) * 1000, n - bool(ignore_last_sample)
+    if kind == "interpolated":
+        return C.Interp([0, n - 1] if n > 1 else [0][:n], [start_ns, start_ns + (n - 1) * step] if n > 1 else [start_ns][:n], dim, True)
+    return C.Sampled(np.array([start_ns][: int(n > 0)], np.int64), [n] if n > 0 else [], step, dim, True)
 
 
 def from_traces(traces: DataFrame, dim: str = "time") -> LabeledFrame:

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..pipeline import Atom, Trigger
@@ -150,6 +151,33 @@ def blocks_of(packed: DataFrame, size: int) -> DataFrame:
     return rows.withColumn("samples", F.expr(f"slice(samples, cast(i0 + 1 as int), {size})"))
 
 
+class Monitor(StreamingQueryListener):
+    """Running shares (0.3 for the newest batch) of the time that streams spend reading, working and writing."""
+
+    PARTS = {"read": ("latestOffset", "getBatch", "queryPlanning"), "work": ("addBatch",), "write": ("walCommit", "commitOffsets", "commitBatch")}
+
+    def __init__(self, weight: float = 0.3):
+        self.weight, self.shares, self.batches = weight, {}, 0
+
+    def note(self, durations: dict) -> None:
+        spent = {part: sum(durations.get(k, 0) for k in keys) for part, keys in self.PARTS.items()}
+        total = sum(spent.values())
+        if not total:
+            return
+        now = {part: ms / total for part, ms in spent.items()}
+        self.shares = {k: self.weight * v + (1 - self.weight) * self.shares.get(k, v) for k, v in now.items()}
+        self.batches += 1
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.note(dict(event.progress.durationMs))
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def progress(query: StreamingQuery) -> dict:
     """Rows, rate and times of the last micro-batch."""
     p = query.lastProgress

@@ -6,11 +6,13 @@ import pytest
 
 from stridewell import axis, picking, signal
 from stridewell import coords as C
-from stridewell.dsp import design
+from stridewell.dsp import design, kernels
 from stridewell.frame import LabeledFrame, with_label
 from stridewell.functions import elementwise as E
 from stridewell.pipeline import IIRFilter, LazyModule, Sequential, WindowModel, pick_phases
 from stridewell.pipeline import DownSample
+from stridewell.sources.traces import time_coordinate, to_traces
+from stridewell.streaming.stateful import Monitor
 from stridewell.tree import Tree, as_frame, unique
 
 ODD = [np.nan, np.inf, -np.inf, 0.0, -0.0, 1.5, -1.5, 7.0, -7.0, 2.0**53 + 2, -1e300, 0.1, 3.0]
@@ -223,3 +225,33 @@ def test_long_lanes_are_filtered_in_blocks(spark, monkeypatch, n):
         assert "samples" not in got.df.columns and np.allclose(got.to_numpy(), want[k], atol=1e-10), k
     one = LabeledFrame.from_numpy(spark, x[0], {"time": C.Sampled.from_block("2023-01-01", n, 0.01, "time")}, ("time",))
     assert np.allclose(runs["sosfilt"](one).to_numpy(), want["sosfilt"][0])
+
+
+def test_stretches_by_themselves(spark, monkeypatch):
+    time = C.Sampled(np.array([0, 100 * 10**9, 300 * 10**9]), [40, 25, 35], 10**9, "time", True)
+    x = np.random.default_rng(8).normal(size=(2, 100))
+    f = LabeledFrame.from_numpy(spark, x, {"time": time, "lane": C.Dense(np.arange(2.0), "lane")}, ("lane", "time"))
+    sos = design.iir_sos(4, 0.2)
+    parts = [x[:, :40], x[:, 40:65], x[:, 65:]]
+    for pieces in (32, 2):
+        monkeypatch.setattr("stridewell.frame.WRITTEN_PIECES", pieces)
+        got = signal.per_segment(f, lambda g: signal.sosfilt(sos, g, "time"), "time")
+        want = np.concatenate([kernels.sosfilt(sos, p)[0] for p in parts], axis=1)
+        assert got.dims == f.dims and got.coords.keys() == f.coords.keys() and np.allclose(got.to_numpy(), want)
+        flat = signal.per_segment(f, lambda g: axis.detrend(g, "constant", "time"), "time").to_numpy()
+        assert np.allclose(flat, np.concatenate([p - p.mean(1, keepdims=True) for p in parts], axis=1))
+        traces = to_traces(f, "time", "lane")
+        assert "Union" not in traces._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted((r.channel, r.start_ns, len(r.samples)) for r in traces.collect()) == [(k, int(t), n) for k in ("0.0", "1.0") for t, n in zip(time.tie_values, (40, 25, 35))]
+    whole = signal.per_segment(f.isel(time=slice(0, 40)), lambda g: signal.sosfilt(sos, g, "time"), "time")
+    assert np.allclose(whole.to_numpy(), kernels.sosfilt(sos, parts[0])[0])
+
+
+def test_axes_of_traces_and_shares_of_time():
+    assert time_coordinate(5, 3, 0.01).values().tolist() == [5, 10_000_005, 20_000_005] == time_coordinate(5, 4, 0.01, True, "interpolated").values().tolist()
+    assert time_coordinate(5, 1, 0.01, True).size == 0 == time_coordinate(5, 1, 0.01, True, "interpolated").size
+    m = Monitor()
+    m.note({"addBatch": 60, "getBatch": 20, "walCommit": 20})
+    m.note({"addBatch": 100})
+    m.note({})
+    assert m.batches == 2 and m.shares == pytest.approx({"read": 0.14, "work": 0.72, "write": 0.14})
