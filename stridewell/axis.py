@@ -181,16 +181,13 @@ def medfilt(f: LabeledFrame, kernel: dict[str, int]) -> LabeledFrame:
         near = F.collect_list(F.col(f.value)).over(_window(f, dim).rowsBetween(-reach, reach))
         padded = F.array_sort(F.concat(near, F.array_repeat(F.lit(0.0), F.lit(kernel[dim]) - F.size(near))))
         return f._with(f.df.withColumn(f.value, F.get(padded, F.lit(reach))))
+    # one window a dim: neighbours along the first, then the lists of neighbours along the next
     cells = math.prod(kernel.values())
-    shifted = f.df
-    for d, k in kernel.items():
-        n = f.size(d)
-        shifted = shifted.withColumn("__s", F.explode(F.expr(f"sequence({-(k // 2)}, {k // 2})")))
-        shifted = shifted.withColumn(idx(d), F.col(idx(d)) + F.col("__s")).drop("__s").filter(f"`{idx(d)}` >= 0 AND `{idx(d)}` < {n}")
-    keys = [idx(d) for d in f.dims]
-    near = shifted.groupBy(*keys).agg(F.collect_list(F.col(f.value)).alias("__v"))
-    padded = F.concat("__v", F.array_repeat(F.lit(0.0), F.lit(cells) - F.size("__v")))
-    return f._with(near.select(*keys, F.get(F.array_sort(padded), F.lit(cells // 2)).alias(f.value)))
+    df = f.df.withColumn("__v", F.array(f.value))
+    for d in wide:
+        df = df.withColumn("__v", F.flatten(F.collect_list("__v").over(_window(f, d).rangeBetween(-(kernel[d] // 2), kernel[d] // 2))))
+    padded = F.array_sort(F.concat("__v", F.array_repeat(F.lit(0.0), F.lit(cells) - F.size("__v"))))
+    return f._with(df.withColumn(f.value, F.get(padded, F.lit(cells // 2))).drop("__v"))
 
 
 def fir(f: LabeledFrame, taps: Sequence[float], dim: str = "last") -> LabeledFrame:

@@ -198,32 +198,34 @@ _COLUMNS = [("device_id", "long", pa.int64()), ("block", "int", pa.int32()), ("h
             *((name, "map<string,string>", pa.map_(pa.string(), pa.string())) for name in ("extras", "collisions"))]
 
 
-def _walk(table: pd.DataFrame, init: dict | None, unknown: tuple = (None, None)):
-    """States of a group's files in order: (row, state, changes, earlier names)."""
+def _walk(group: pa.Table, init: dict | None, unknown: tuple = (None, None), named: bool = True):
+    """States of a group's files in order: (header id, file number, state, changes, earlier names unless not asked for)."""
     names = {n: [1, n] for n in init or {}}
     state, last = init, None
-    for row in table.itertuples(index=False):
-        if row.header_id == last:
+    for header, file_no, text in zip(*(group.column(c).to_pylist() for c in ("header_id", "file_no", "attrs_json"))):
+        if header == last:
             continue  # delivered again
-        last = row.header_id
-        attrs = _parse(row.attrs_json)
+        last = header
+        attrs = _parse(text)
         if attrs is None:
             continue
         state, changes = advance(state, attrs, unknown)
-        names = follow(names, state, changes)
-        yield row, state, changes, names
+        if named:
+            names = follow(names, state, changes)
+        yield header, file_no, state, changes, names
 
 
 def drift(df: DataFrame, *, changes_only: bool = False, device: str = "device_id", file_no: str = "file_no", header: str = "header_id", attrs: str = "attrs_json", target: int = 20_000) -> DataFrame:
     """Changes, schema version and migrated attributes of every file.
 
     One row a header: device_id, header_id, file_no, changes (array of attr,
-    change, earlier name) and, unless ``changes_only``, fingerprint, version, the migrated columns,
+    change, earlier name) and fingerprint, version, the migrated columns,
     ``extras`` (other attributes as JSON) and ``collisions`` (attributes kept in
     ``extras`` under their own name, and the taken name they'd have been given).  Files are taken by file_no, equal
     ones by header id; headers delivered twice come out once.  Headers with a
     null device, number or id, or whose attributes aren't a JSON object, are left
     out and change no state.  A null attribute keeps its last known value.
+    With ``changes_only`` there are device_id, header_id, file_no and changes of headers that have any.
     Devices with many files are cut into blocks, whose states are handed on.
     """
     rows = df.select(
@@ -235,12 +237,11 @@ def drift(df: DataFrame, *, changes_only: bool = False, device: str = "device_id
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, ["device_id", "block"]):
-            table = group.to_pandas()
-            steps = list(_walk(table, None, (_INHERITED, None)))
-            if steps:
-                yield pa.RecordBatch.from_pydict(
-                    {"device_id": [int(table.device_id[0])], "block": pa.array([int(table.block[0])], pa.int32()), "summary": [json.dumps(steps[-1][1])]}
-                )
+            state = None
+            for _, _, state, _, _ in _walk(group, None, (_INHERITED, None), False):
+                pass
+            if state is not None:
+                yield pa.RecordBatch.from_pydict({"device_id": group["device_id"][:1].combine_chunks(), "block": group["block"][:1].combine_chunks(), "summary": [json.dumps(state)]})
 
     def hand_on(frame: pd.DataFrame) -> pd.DataFrame:
         out, now = [], None
@@ -253,13 +254,11 @@ def drift(df: DataFrame, *, changes_only: bool = False, device: str = "device_id
 
     def relate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, ["device_id", "block"]):
-            table = group.to_pandas()
-            init = table["init"][0]
-            steps = list(_walk(table, json.loads(init) if isinstance(init, str) else None))
-            if steps:
-                yield pa.RecordBatch.from_pydict(
-                    {"device_id": [int(table.device_id[0])], "block": pa.array([int(table.block[0])], pa.int32()), "names": [json.dumps(steps[-1][3])]}
-                )
+            init, names = group["init"][0].as_py(), None
+            for *_, names in _walk(group, json.loads(init) if init else None):
+                pass
+            if names is not None:
+                yield pa.RecordBatch.from_pydict({"device_id": group["device_id"][:1].combine_chunks(), "block": group["block"][:1].combine_chunks(), "names": [json.dumps(names)]})
 
     def hand_on_names(frame: pd.DataFrame) -> pd.DataFrame:
         out, earlier = [], {}
@@ -290,13 +289,15 @@ def drift(df: DataFrame, *, changes_only: bool = False, device: str = "device_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[dict] = []
         for group in whole_groups(batches, ["device_id", "block"]):
-            table = group.to_pandas()
-            init, known = table["init"][0], table["earlier"][0]
-            known = json.loads(known) if isinstance(known, str) else {}
+            init, known = group["init"][0].as_py(), group["earlier"][0].as_py()
+            known = json.loads(known) if known else {}
+            device, block = group["device_id"][0].as_py(), group["block"][0].as_py()
             held, found = None, {}
-            for row, state, changes, names in _walk(table, json.loads(init) if isinstance(init, str) else None):
+            for header, file_no, state, changes, names in _walk(group, json.loads(init) if init else None, named=not changes_only):
+                if changes_only and not changes:
+                    continue
                 named = [{"attr": a, "change": c, "earlier": e} for a, c, e in changes]
-                made = {"device_id": row.device_id, "block": row.block, "header_id": row.header_id, "file_no": row.file_no, "changes": named}
+                made = {"device_id": device, "block": block, "header_id": header, "file_no": file_no, "changes": named}
                 if not changes_only:
                     if names is not held:
                         held, found = names, _unknown(_known(names, known))
