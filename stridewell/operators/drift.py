@@ -1,9 +1,10 @@
 """Schemas that drift from file to file.
 
 The files of a device are read in order against the device's state: the
-attributes present, with their last known type and value.  Each change of state
-is recorded, each set of names and types is a schema fingerprint, and a device's
-fingerprints are numbered as versions, in the order in which they first came.  Whatever its version, a file's
+attributes present, with their last known type and value.  Each set of names and
+types is a schema, known by its fingerprint; a file whose schema isn't that of the
+file before begins a step from one to the other, whose changes are recorded.  A
+device's fingerprints are numbered as versions, in the order in which they first came.  Whatever its version, a file's
 attributes are then routed through the same chain of migration steps (renames,
 casts, defaults) into one table.  Steps go by name; a name that no step knows
 is taken as the one it was found to be renamed from.
@@ -68,12 +69,24 @@ def advance(state: dict | None, attrs: dict, unknown: tuple = (None, None)) -> t
     a state (a device's first file) there are no changes, and null attributes are
     ``unknown``.
     """
-    before = state or {}
-    after = {}
-    for name, value in attrs.items():
-        after[name] = before.get(name, list(unknown if state is None else (None, None))) if value is None else [json_type(value), value]
+    after = carry(state, attrs, unknown)
+    return after, [] if state is None or shape(state) == shape(after) else step(state, after)
+
+
+def carry(state: dict | None, attrs: dict, unknown: tuple = (None, None)) -> dict:
+    """The state after a file: its attributes, null ones with what was last known of them."""
     if state is None:
-        return after, []
+        return {name: list(unknown) if value is None else [json_type(value), value] for name, value in attrs.items()}
+    return {name: state.get(name, [None, None]) if value is None else [json_type(value), value] for name, value in attrs.items()}
+
+
+def shape(state: dict) -> frozenset:
+    """The schema of a file, names with their types.  Files of one shape follow each other without a change."""
+    return frozenset((name, kind) for name, (kind, _) in state.items())
+
+
+def step(before: dict, after: dict) -> list[tuple[str, str, str | None]]:
+    """The changes from a schema to the next one: (attr, change, earlier name)."""
     changes = []
     gone = sorted(before.keys() - after.keys())
     for name in sorted(after.keys() - before.keys()):
@@ -89,7 +102,7 @@ def advance(state: dict | None, attrs: dict, unknown: tuple = (None, None)) -> t
         old, new = before[name][0], after[name][0]
         if old is not None and new is not None and old != new:
             changes.append((name, "retyped", None))
-    return after, sorted(changes)
+    return sorted(changes)
 
 
 def follow(names: dict, state: dict, changes: list) -> dict:
@@ -113,8 +126,8 @@ def _known(names: dict, earlier: dict) -> dict:
 
 
 def fingerprint(state: dict) -> str:
-    shape = sorted((name, kind) for name, (kind, _) in state.items())
-    return hashlib.blake2b(json.dumps(shape).encode(), digest_size=8).hexdigest()
+    """Of a schema, whatever the order of its attributes."""
+    return hashlib.blake2b(json.dumps(sorted(shape(state), key=lambda a: a[0])).encode(), digest_size=8).hexdigest()
 
 
 def _parse(text: str | None) -> dict | None:
