@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import arrays, records, records_sql, streams
+from .plans import arrays, records, records_sql, rounds, streams
 
 arrays.register_sources()
-STREAMS = streams.__name__  # importing it registers its queries
+MORE = (streams.__name__, rounds.__name__)  # importing them registers their queries
 
 RECORDS = [
     "p1_found", "p1_values", "p2_found", "p2_flags", "p3_found", "p3_grid", "p4_found", "p4_classes", "p4_from_order", "p4_instants", "p4_utc", "p5_found", "p5_classes", "p5_manifest", "p5_plan", "p5_records",

@@ -148,8 +148,8 @@ def _read_chunks(data: bytes, at: int, end: int, active, interleaved: bool, out:
 
 
 def write(properties: dict, columns: np.ndarray, interleaved: bool = False) -> bytes:
-    """A one-segment file of int16 or float32 channels (for tests and exchange)."""
-    codes = {"int16": 2, "float32": 9}
+    """A one-segment file of int16, float32 or float64 channels."""
+    codes = {"int16": 2, "float32": 9, "float64": 10}
     code = codes[columns.dtype.name]
 
     def text(s: str) -> bytes:
