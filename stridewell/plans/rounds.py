@@ -182,8 +182,8 @@ def _in_two(s: SparkSession, d: str) -> DataFrame:
 
 _MODEL = WindowModel(lambda w: np.stack([w - w.mean(axis=1, keepdims=True), w * 0 + 1], axis=1), 20, phases=["P", "N"])
 query("window_model", EV + ", e AS (SELECT max(time__i) + 1 AS total FROM g), w AS (SELECT unnest(range((total - 20) // 10 + 1)) * 10 AS s FROM e), m AS (SELECT lane__i, s, avg(value) AS m FROM g JOIN w ON time__i >= s AND time__i < s + 20 GROUP BY ALL) "
-      f"SELECT time__i, g.lane__i, p::BIGINT AS phase__i, {R.format('CASE WHEN p = 0 THEN avg(value - m) ELSE 1 END')} AS value "
-      "FROM g JOIN m ON g.lane__i = m.lane__i AND time__i >= s AND time__i < s + 20, e, (SELECT unnest(range(2)) AS p) WHERE time__i < ((total - 20) // 10 + 1) * 10 GROUP BY ALL")(
+      f"SELECT time__i, g.lane__i, p AS phase__i, {R.format('CASE WHEN p = 0 THEN avg(value - m) ELSE 1 END')} AS value "
+      "FROM g JOIN m ON g.lane__i = m.lane__i AND time__i >= s AND time__i < s + 20, e, (SELECT unnest(range(2))::BIGINT AS p) WHERE time__i < ((total - 20) // 10 + 1) * 10 GROUP BY time__i, g.lane__i, p")(
     lambda s, d: out(pick_phases(ev_grid(s, d), _MODEL, "time")))
 
 # -- more functions ------------------------------------------------------------------------------------
