@@ -38,7 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _SPANS = """
 WITH d AS (SELECT doc_id, any_value(text) AS text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 200 GROUP BY doc_id),
-w AS (SELECT doc_id, i, hash(substr(text, i + 1, 200)) AS h FROM d, LATERAL (SELECT unnest(range(length(text) - 199)) AS i)),
+w AS (SELECT doc_id, i, md5_number(substr(text, i + 1, 200)) AS h FROM d, LATERAL (SELECT unnest(range(length(text) - 199)) AS i)),
 r AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
 s AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS c FROM w SEMI JOIN r USING (h)),
 k AS (SELECT doc_id, i, sum(c) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM s),
