@@ -210,8 +210,8 @@ query("upsample", EV + f"SELECT time__i * 3 + k AS time__i, lane__i, {R.format('
 query("common_mode_removal", EV + f"SELECT {GRID.format('value - avg(value) OVER (PARTITION BY time__i)')} FROM g")(
     lambda s, d: (lambda f: out(f - f.reduce("mean", "lane")))(ev_grid(s, d)))
 query("align_add", EV + f"SELECT {GRID.format('value + 2 * value')} FROM g")(lambda s, d: (lambda f: out(f + f * 2.0))(ev_grid(s, d)))
-query("broadcast_outer", EV + f", a AS (SELECT time__i, sum(value) AS u FROM g GROUP BY 1), c AS (SELECT lane__i, sum(value) AS v FROM g GROUP BY 1) SELECT {GRID.format('u * v / 7e5')} FROM a, c")(
-    lambda s, d: (lambda f: out((f.reduce("sum", "lane") * f.reduce("sum", "time")) / 7e5))(ev_grid(s, d)))
+query("broadcast_outer", EV + f", a AS (SELECT time__i, sum(value) AS u FROM g GROUP BY 1), c AS (SELECT lane__i, sum(value) AS v FROM g GROUP BY 1) SELECT {GRID.format('u * v / 314159.26535e0')} FROM a, c")(
+    lambda s, d: (lambda f: out((f.reduce("sum", "lane") * f.reduce("sum", "time")) / 314159.26535))(ev_grid(s, d)))
 query("subtract_total_mean", EV + f"SELECT {GRID.format('value - (SELECT avg(value) FROM g)')} FROM g")(lambda s, d: (lambda f: out(f - f.reduce("mean")))(ev_grid(s, d)))
 query("divide_by_zero", EV + "SELECT time__i, lane__i, CASE WHEN value = 0 THEN 'Infinity'::DOUBLE ELSE round(1 / value, 6) + 0.0 END AS value FROM g")(
     lambda s, d: out(ev_grid(s, d).apply(lambda x: divide(F.lit(1.0), x))))
